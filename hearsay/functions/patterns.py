@@ -1,39 +1,31 @@
 """Regex text shared by every cleaner.
 
-``\\w``, ``\\d`` and ``\\s`` are ASCII-only in Java, so the Unicode classes are spelled out. The
-same text is valid in RE2, which lets a second engine check the results; only ``EMAIL_RUN`` and
-``NAME_RUN`` use Java syntax, to stay linear.
+Python's ``\\w``, ``\\d`` and ``\\s`` cover all of Unicode while Java's are ASCII, so the classes are
+spelled out. They use as few ranges and properties as possible, because a backtracking engine
+tests them one after the other at every character.
 """
 
 # Character classes and removal patterns.
-SPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-WORD = r"\p{L}\p{N}_"
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+WORD = r"\w\p{L}\p{N}"
 MENTION = f"@[{WORD}]+"
 HASHTAG = f"#[{WORD}]+"
 URL = r"https?://[a-zA-Z0-9$-_@.&+!*\\(),]+"
-EMAIL = f"[^{SPACE}]+@[^{SPACE}]+"
 NUMBER = r"\p{Nd}+"
 PUNCTUATION = f"[^{WORD}{SPACE}]"
-EMOJI = (
-    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
-    r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
-)
 STRICT_EMOJI = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{2702}-\x{27B0}\x{24C2}]+"
 )
+# The default emoji ranges; the last one holds three smaller ranges and most of CJK.
+EMOJI = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{24C2}-\x{1F251}]+"
 SPACES = f"[{SPACE}]+"
 NON_SPACE = f"[^{SPACE}]"
 
-# The same e-mail match for a backtracking engine. A match always covers a whole unbroken run, so it
-# starts only where a run starts, and the first part never gives characters back; time stays linear
-# in the length of a run. Printable ASCII is listed first because it is the cheap test.
-_RUN_CHAR = f"[!-~[^{SPACE}]]"
-_RUN_CHAR_BUT_AT = f"[!-?A-~[^{SPACE}@]]"
-EMAIL_RUN = f"(?<!{_RUN_CHAR}){_RUN_CHAR}{_RUN_CHAR_BUT_AT}*+@{_RUN_CHAR}+"
+# Non-space text around an at sign. A match always covers a whole unbroken run, so it starts only
+# where a run starts, and the part before the sign never gives characters back: time stays linear
+# in the length of a run.
+EMAIL = f"(?<!{NON_SPACE}){NON_SPACE}[^{SPACE}@]*+@{NON_SPACE}+"
 
 # Vectoriser tokens: unbroken runs of two or more word characters.
 TOKEN = f"[{WORD}]{{2,}}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, bind, is_not_blank
+from .text import as_column, bind, is_not_blank, once
 
 # Label spellings, the result for text without a score, and output names.
 POSITIVE_LABELS = ("POSITIVE", "POS", "1")
@@ -101,12 +101,15 @@ def star_scores(items: Column | str) -> Column:
 
 def hit_scores(positive_hits: Column, negative_hits: Column) -> Column:
     """Shares of positive and negative words; text with neither gets the default."""
-    hits = positive_hits + negative_hits
-    pos = positive_hits / F.nullif(hits, F.lit(0))
-    neg = negative_hits / F.nullif(hits, F.lit(0))
-    label = F.when(pos > neg, "POSITIVE").otherwise("NEGATIVE")
-    scored = _scores(label, F.greatest(pos, neg), pos, neg, F.lit(0.0))
-    return F.when(hits > 0, scored).otherwise(default_scores())
+
+    def rule(hits: Column) -> Column:
+        p, n = hits["p"], hits["n"]
+        total = F.nullif(p + n, F.lit(0))
+        label = F.when(p > n, "POSITIVE").otherwise("NEGATIVE")
+        scored = _scores(label, F.greatest(p, n) / total, p / total, n / total, F.lit(0.0))
+        return F.when(p + n > 0, scored).otherwise(default_scores())
+
+    return bind(F.struct(positive_hits.alias("p"), negative_hits.alias("n")), rule)
 
 
 def unless_blank(text: Column | str, scores: Column) -> Column:
@@ -118,5 +121,6 @@ def truncate(c: Column | str, max_chars: int = MODEL_MAX_CHARS) -> Column:
     return F.left(as_column(c), F.lit(max_chars))
 
 
-def sentiment_fields(scores: str) -> dict[str, Column]:
-    return {name: F.col(f"{scores}.{field}") for field, name in SENTIMENT_COLUMNS.items()}
+def sentiment_columns(scores: Column) -> Column:
+    """The five ``sentiment_*`` columns of a struct of scores, for ``select``."""
+    return once(scores).alias(*SENTIMENT_COLUMNS.values())

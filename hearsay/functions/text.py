@@ -31,6 +31,15 @@ def bind(c: Column | str, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(as_column(c)), fn), F.lit(0))
 
 
+def once(fields: Column) -> Column:
+    """The fields of a struct as columns for ``select``, computed once per row.
+
+    They pass through a generator. A filter on them stays above it, where on a plain projection it
+    would be pushed down and compute them again.
+    """
+    return F.inline(F.array(fields))
+
+
 def words(c: Column | str) -> Column:
     """Whitespace-separated words; empty pieces left out."""
     return F.filter(F.split(as_column(c), P.SPACES), lambda w: w != "")
@@ -63,7 +72,7 @@ def remove_urls(c: Column | str) -> Column:
 
 def remove_emails(c: Column | str) -> Column:
     return bind(
-        c, lambda x: F.when(F.contains(x, F.lit("@")), remove_pattern(x, P.EMAIL_RUN)).otherwise(x)
+        c, lambda x: F.when(F.contains(x, F.lit("@")), remove_pattern(x, P.EMAIL)).otherwise(x)
     )
 
 

@@ -16,11 +16,11 @@ from ..functions.scores import (
     default_scores,
     hit_scores,
     normalize_scores,
-    sentiment_fields,
+    sentiment_columns,
     truncate,
     unless_blank,
 )
-from ..functions.text import words
+from ..functions.text import bind, once, words
 from ..schema import MODEL_OUTPUT
 from .joins import lookup_join
 from .vectorize import TermModel, fit_terms
@@ -63,11 +63,6 @@ def _word_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return exploded.groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
-def _with_scores(df: DataFrame, scores: Column) -> DataFrame:
-    scored = df.withColumn("_scores", scores)
-    return scored.withColumns(sentiment_fields("_scores")).drop("_scores")
-
-
 def score_sentiment(
     df: DataFrame,
     lexicon: Lexicon,
@@ -86,12 +81,9 @@ def score_sentiment(
     tokens = _scored_words(text_column, max_chars)
     rows = _inline_rows(lexicon, ("word", "polarity"))
     if rows is not None:
-        counted = df.withColumn("_words", tokens).withColumns(
-            {
-                "_positive": _hits(F.col("_words"), (w for w, p in rows if p > 0)),
-                "_negative": _hits(F.col("_words"), (w for w, p in rows if p < 0)),
-            }
-        )
+        positive, negative = (w for w, p in rows if p > 0), (w for w, p in rows if p < 0)
+        scores = bind(tokens, lambda t: hit_scores(_hits(t, positive), _hits(t, negative)))
+        counted = df
     else:
         table = _as_table(df, lexicon, "word string, polarity int")
         table = table.groupBy("word").agg(
@@ -104,8 +96,9 @@ def score_sentiment(
             F.sum(F.col("n") * F.col("q")).alias("_negative"),
         )
         counted = df.join(hits, key, "left").fillna(0, ["_positive", "_negative"])
-    scores = unless_blank(text_column, hit_scores(F.col("_positive"), F.col("_negative")))
-    return _with_scores(counted, scores).drop("_words", "_positive", "_negative")
+        scores = hit_scores(F.col("_positive"), F.col("_negative"))
+    scores = unless_blank(text_column, scores)
+    return counted.select(*df.columns, sentiment_columns(scores))
 
 
 def score_emotion(
@@ -122,24 +115,30 @@ def score_emotion(
     rows = _inline_rows(lexicon, ("word", "emotion"))
     if rows is not None:
         # Most hits first, then the name: the least of (-hits, name).
-        ranked = [
-            F.struct(
-                (-_hits(F.col("_words"), (w for w, e in rows if e == name))).alias("rank"),
-                F.lit(name).alias("emotion"),
+        classes = sorted({e for _, e in rows})
+
+        def ranked(t: Column) -> Column:
+            return F.array(
+                *[
+                    F.struct(
+                        (-_hits(t, (w for w, e in rows if e == name))).alias("rank"),
+                        F.lit(name).alias("emotion"),
+                    )
+                    for name in classes
+                ]
             )
-            for name in sorted({e for _, e in rows})
-        ]
-        counted = df.withColumn("_words", tokens).withColumn("_best", F.array_min(F.array(*ranked)))
+
+        best, counted = F.array_min(bind(tokens, ranked)), df
     else:
         table = _as_table(df, lexicon, "word string, emotion string").distinct()
         table = table.groupBy("word").agg(F.collect_list("emotion").alias("emotions"))
         matched = lookup_join(_word_counts(df, key, tokens), table, "word", [key], "inner")
         per_class = matched.select(key, "n", F.explode("emotions").alias("emotion"))
         per_class = per_class.groupBy(key, "emotion").agg((-F.sum("n")).alias("rank"))
-        best = per_class.groupBy(key).agg(F.min(F.struct("rank", "emotion")).alias("_best"))
-        counted = df.join(best, key, "left")
-    label = F.when(F.col("_best.rank") < 0, F.col("_best.emotion")).otherwise(F.lit(default))
-    return counted.withColumn(output, label).drop("_words", "_best")
+        top = per_class.groupBy(key).agg(F.min(F.struct("rank", "emotion")).alias("_best"))
+        best, counted = F.col("_best"), df.join(top, key, "left")
+    label = bind(best, lambda b: F.when(b["rank"] < 0, b["emotion"]).otherwise(F.lit(default)))
+    return counted.select(*df.columns, once(F.struct(label.alias(output))).alias(output))
 
 
 Model = Callable[[list[str]], list[list[dict]]]
@@ -187,7 +186,7 @@ def score_with_model(
     model_scores = F.pandas_udf(score, MODEL_OUTPUT)
     raw = df.withColumn("_raw", model_scores(truncate(text_column, max_chars)))
     scores = F.coalesce(normalize_scores(adapt(F.col("_raw"))), default_scores())
-    return _with_scores(raw, unless_blank(text_column, scores)).drop("_raw")
+    return raw.select(*df.columns, sentiment_columns(unless_blank(text_column, scores)))
 
 
 class TrainedScorer:
@@ -205,10 +204,8 @@ class TrainedScorer:
             F.struct(F.lit("NEGATIVE").alias("label"), share[0].alias("score")),
             F.struct(F.lit("POSITIVE").alias("label"), share[1].alias("score")),
         )
-        labelled = predicted.select(*df.columns, items.alias("_items"))
-        return _with_scores(
-            labelled, unless_blank(text_column, normalize_scores("_items"))
-        ).drop("_items")
+        scores = unless_blank(text_column, normalize_scores(items))
+        return predicted.select(*df.columns, sentiment_columns(scores))
 
 
 def train_scorer(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearsay.functions import patterns as P
+from hearsay.functions.patterns import SPACE_CHARS
 from hearsay.functions.text import BASIC_STOPWORDS
 from hearsay.schema import POST
 
@@ -52,7 +52,7 @@ register(
     *FLAT_ITEMS,
     RAW,
 )
-TAGS_OF = f"regexp_extract_all(lower(text), {Q.quote(P.TAG_WORD)}, 1)"
+TAGS_OF = f"regexp_extract_all(lower(text), {Q.quote(Q.TAG_WORD)}, 1)"
 register(
     "union_by_tag",
     f"""SELECT post_id, text, tag AS source_hashtag
@@ -126,7 +126,7 @@ register(
 
 def valid(n: int) -> str:
     return (
-        f"length(trim(text, {Q.quote(P.SPACE_CHARS)})) >= {n} AND len({Q.words('text')}) >= 2"
+        f"length(trim(text, {Q.quote(SPACE_CHARS)})) >= {n} AND len({Q.words('text')}) >= 2"
     )
 
 
@@ -191,7 +191,7 @@ register(
 )
 register(
     "clean_with_udf",
-    f"SELECT post_id, lower({Q.replaced('text', P.NUMBER, '#')}) AS text_cleaned FROM noisy",
+    f"SELECT post_id, lower({Q.replaced('text', Q.NUMBER, '#')}) AS text_cleaned FROM noisy",
     V.NOISY,
 )
 register(
@@ -331,7 +331,7 @@ register(
 
 def emotions() -> str:
     names = sorted({e for _, e in V.EMOTIONS})
-    tokens = f"string_split_regex(lower(text), {Q.quote(P.SPACES)})"
+    tokens = f"string_split_regex(lower(text), {Q.quote(Q.SPACES)})"
     counts = ", ".join(
         f"{Q.hits('tokens', [w for w, e in V.EMOTIONS if e == n])} AS {n}" for n in names
     )
@@ -483,12 +483,11 @@ register(
     ORDER BY sum(value) DESC, term LIMIT 20""",
     KEYWORDS,
 )
-NAME_RUN = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 gazetteer = ", ".join(f"({Q.quote(n)}, {Q.quote(t)})" for n, t in V.GAZETTEER)
 register(
     "entity_counts",
     f"""SELECT type, name, count(*) AS count
-    FROM (SELECT unnest(regexp_extract_all({Q.clean('text', 'ner')}, {Q.quote(NAME_RUN)})) AS name
+    FROM (SELECT unnest(regexp_extract_all({Q.clean('text', 'ner')}, {Q.quote(Q.NAME_RUN)})) AS name
           FROM noisy)
     JOIN (VALUES {gazetteer}) AS g(name, type) USING (name) GROUP BY type, name""",
     V.NOISY,
@@ -496,6 +495,6 @@ register(
 register(
     "entity_candidates",
     f"""SELECT name, count(*) AS count
-    FROM (SELECT unnest(regexp_extract_all(text, {Q.quote(NAME_RUN)})) AS name FROM posts)
+    FROM (SELECT unnest(regexp_extract_all(text, {Q.quote(Q.NAME_RUN)})) AS name FROM posts)
     GROUP BY name""",
 )

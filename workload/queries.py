@@ -412,11 +412,8 @@ def normalize_scores(spark, sf_dir):
         .when(F.col("lang") == "de", F.array(star))
         .otherwise(F.array(neg, pos, pos))
     )
-    normal = scored.select("post_id", S.normalize_scores(items).alias("s"))
-    return rounded(
-        normal.select("post_id", *[c.alias(n) for n, c in S.sentiment_fields("s").items()]),
-        *SENTIMENT[1:],
-    )
+    normal = scored.select("post_id", S.sentiment_columns(S.normalize_scores(items)))
+    return rounded(normal, *SENTIMENT[1:])
 
 
 @query

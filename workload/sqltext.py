@@ -4,9 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from hearsay.functions import patterns as P
+from hearsay.functions.patterns import SPACE_CHARS, URL
 from hearsay.functions.text import BASIC_STOPWORDS
 
+# RE2 has neither the White_Space property nor look-behind nor possessive repeats, so the checking
+# engine gets plain patterns, written independently of the ones in the package.
+SPACE = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+WORD = r"\p{L}\p{N}_"
+SPACES = f"[{SPACE}]+"
+NON_SPACE = f"[^{SPACE}]"
+EMAIL = f"{NON_SPACE}+@{NON_SPACE}+"
+MENTION = f"@[{WORD}]+"
+HASHTAG = f"#[{WORD}]+"
+TAG_WORD = f"#([{WORD}]+)"
+NUMBER = r"\p{Nd}+"
+PUNCTUATION = f"[^{WORD}{SPACE}]"
+EMOJI = (
+    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
+    r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+)
+TOKEN = f"[{WORD}]{{2,}}"
+SPECIAL = rf"[^\p{{L}}\p{{N}}{SPACE}]"
+DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
+NAME_RUN = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+
 
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -21,39 +45,39 @@ def replaced(x: str, pattern: str, by: str = " ") -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, {quote(P.SPACES)}), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({x}, {quote(SPACES)}), lambda w: w <> '')"
 
 
 def is_not_blank(x: str) -> str:
-    return f"regexp_matches({x}, {quote(P.NON_SPACE)})"
+    return f"regexp_matches({x}, {quote(NON_SPACE)})"
 
 
 def emails(x: str) -> str:
-    return replaced(x, P.EMAIL)
+    return replaced(x, EMAIL)
 
 
 def mentions(x: str) -> str:
-    return replaced(x, P.MENTION)
+    return replaced(x, MENTION)
 
 
 def urls(x: str) -> str:
-    return replaced(x, P.URL)
+    return replaced(x, URL)
 
 
 def hashtags(x: str) -> str:
-    return replaced(x, P.HASHTAG)
+    return replaced(x, HASHTAG)
 
 
 def emojis(x: str) -> str:
-    return replaced(x, P.EMOJI)
+    return replaced(x, EMOJI)
 
 
 def numbers(x: str) -> str:
-    return replaced(x, P.NUMBER)
+    return replaced(x, NUMBER)
 
 
 def punctuation(x: str) -> str:
-    return replaced(x, P.PUNCTUATION)
+    return replaced(x, PUNCTUATION)
 
 
 def lower(x: str) -> str:
@@ -61,7 +85,7 @@ def lower(x: str) -> str:
 
 
 def whitespace(x: str) -> str:
-    return f"trim({replaced(x, P.SPACES)}, ' ')"
+    return f"trim({replaced(x, SPACES)}, ' ')"
 
 
 def short(n: int) -> Callable[[str], str]:
@@ -103,7 +127,7 @@ def hits(tokens: str, vocabulary: Iterable[str]) -> str:
 def scored(source: str, lexicon, text: str = "text", max_chars: int | None = None) -> str:
     """WITH items ending in ``scored``: ``source`` plus the five sentiment columns."""
     used = text if max_chars is None else f"left({text}, {max_chars})"
-    tokens = f"string_split_regex(lower({used}), {quote(P.SPACES)})"
+    tokens = f"string_split_regex(lower({used}), {quote(SPACES)})"
     positive = hits("tokens", sorted({w for w, p in lexicon if p > 0}))
     negative = hits("tokens", sorted({w for w, p in lexicon if p < 0}))
     return f"""tokenized AS (SELECT *, {tokens} AS tokens FROM {source}),
@@ -131,8 +155,8 @@ def text_statistics(x: str) -> dict[str, str]:
         "text_exclamation_count": f"length({x}) - length(replace({x}, '!', ''))",
         "text_question_count": f"length({x}) - length(replace({x}, '?', ''))",
         "text_uppercase_ratio": rf"coalesce({count(r'\p{Lu}')}::DOUBLE / nullif(length({x}), 0), 0)",
-        "text_digit_count": count(P.DIGIT),
-        "text_special_char_count": count(P.SPECIAL),
+        "text_digit_count": count(DIGIT),
+        "text_special_char_count": count(SPECIAL),
     }
 
 
@@ -159,7 +183,7 @@ def term_weights(
 ) -> str:
     """WITH items ending in ``weights(post_id, term, value)``."""
     tokens = (
-        f"list_filter(regexp_extract_all(lower({text}), {quote(P.TOKEN)}), "
+        f"list_filter(regexp_extract_all(lower({text}), {quote(TOKEN)}), "
         f"lambda t: NOT list_contains({string_list(sorted(stop))}, t))"
     )
     grams = " UNION ALL ".join(

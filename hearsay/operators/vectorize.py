@@ -53,9 +53,12 @@ def terms(
         if n == 1:
             return t
         starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(0)))
-        return F.transform(
-            starts, lambda _, i: F.array_join(F.slice(t, i + F.lit(1), F.lit(n)), " ")
-        )
+
+        def gram(x: Column, i: Column) -> Column:
+            rest = (part for k in range(1, n) for part in (F.lit(" "), F.get(t, i + k)))
+            return F.concat(x, *rest)
+
+        return F.transform(starts, gram)
 
     return bind(tokens, lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
 

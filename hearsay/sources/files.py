@@ -1,4 +1,4 @@
-"""CSV and JSON tables of posts."""
+"""CSV, JSON and Parquet tables of posts."""
 
 from __future__ import annotations
 
@@ -14,6 +14,19 @@ from ..schema import POST
 CSV_ROWS_PER_FILE = 250_000
 
 
+def read_parquet(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """A Parquet table. One read by fewer tasks than there are cores is spread over all of them.
+
+    That is the case for small files only, which cannot be split inside a row group; on anything
+    larger the scan itself is parallel enough and nothing is shuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_by)
+    return df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = POST) -> DataFrame:
     """Quoted CSV with a header; quoted fields may hold line breaks, empty fields are null."""
     return (

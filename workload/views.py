@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.operators.sentiment import score_sentiment
+from hearsay.sources.files import read_parquet
 
 LEXICON = (("the", 1), ("with", 1), ("this", 1), ("and", -1), ("for", -1), ("was", -1))
 EMOTIONS = (("that", "JOY"), ("are", "JOY"), ("from", "ANGER"), ("was", "ANGER"), ("this", "FEAR"))
@@ -18,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts; the source stands for the tag a post was collected under."""
-    return table(spark, sf_dir, "documents").select(
+    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", spread_by="doc_id")
+    return documents.select(
         F.col("doc_id").alias("post_id"),
         "text",
         F.col("source").alias("source_hashtag"),

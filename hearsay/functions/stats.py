@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import patterns as P
-from .text import as_column, words
+from .text import as_column, bind, words
 
 # Names of the derived columns, in order.
 TEXT_STATS = (
@@ -30,26 +30,29 @@ def _occurrences(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def text_statistics(c: Column | str) -> dict[str, Column]:
-    """The nine statistics by name; all are null for null text."""
+def text_statistics(c: Column | str) -> Column:
+    """A struct of the nine statistics; its fields are null for null text."""
     c = as_column(c)
     chars = F.length(c)
-    pieces = words(c)
-    letters = F.aggregate(pieces, F.lit(0), lambda acc, w: acc + F.length(w))
     sentences = F.filter(F.split(c, r"\."), lambda s: s.rlike(P.NON_SPACE))
     zero_if_text = F.when(c.isNotNull(), F.lit(0.0))
-    columns = (
-        chars,
-        F.size(pieces),
-        F.size(sentences),
-        F.coalesce(letters / F.nullif(F.size(pieces), F.lit(0)), zero_if_text),
-        _occurrences(c, "!"),
-        _occurrences(c, "?"),
-        F.coalesce(F.regexp_count(c, F.lit(P.UPPER)) / F.nullif(chars, F.lit(0)), zero_if_text),
-        F.regexp_count(c, F.lit(P.DIGIT)),
-        F.regexp_count(c, F.lit(P.SPECIAL)),
-    )
-    return dict(zip(TEXT_STATS, columns))
+
+    def rule(pieces: Column) -> Column:
+        letters = F.aggregate(pieces, F.lit(0), lambda acc, w: acc + F.length(w))
+        columns = (
+            chars,
+            F.size(pieces),
+            F.size(sentences),
+            F.coalesce(letters / F.nullif(F.size(pieces), F.lit(0)), zero_if_text),
+            _occurrences(c, "!"),
+            _occurrences(c, "?"),
+            F.coalesce(F.regexp_count(c, F.lit(P.UPPER)) / F.nullif(chars, F.lit(0)), zero_if_text),
+            F.regexp_count(c, F.lit(P.DIGIT)),
+            F.regexp_count(c, F.lit(P.SPECIAL)),
+        )
+        return F.struct(*[x.alias(name) for name, x in zip(TEXT_STATS, columns)])
+
+    return bind(words(c), rule)
 
 
 def to_datetime(c: Column | str, dtype: T.DataType, formats: Sequence[str] = ()) -> Column:

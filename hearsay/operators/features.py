@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import text_statistics, time_features
+from ..functions.stats import TEXT_STATS, text_statistics, time_features
+from ..functions.text import once
 from .filters import coerce_dates
 from .joins import lookup_join
 from .quantiles import exact_quantiles
@@ -19,8 +20,8 @@ def add_text_features(df: DataFrame, text_column: str = "text_cleaned") -> DataF
     """Nine ``text_*`` columns."""
     if text_column not in df.columns:
         return df
-    stats = text_statistics(text_column)
-    return df.withColumns({f"text_{name}": c for name, c in stats.items()})
+    names = [f"text_{name}" for name in TEXT_STATS]
+    return df.select("*", once(text_statistics(text_column)).alias(*names))
 
 
 def add_time_features(df: DataFrame, date_column: str = "date") -> DataFrame:

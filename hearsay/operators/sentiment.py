@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions.scores import (
     MODEL_MAX_CHARS,
     default_scores,
@@ -20,7 +21,7 @@ from ..functions.scores import (
     truncate,
     unless_blank,
 )
-from ..functions.text import bind, once, words
+from ..functions.text import bind, once
 from ..schema import MODEL_OUTPUT
 from .joins import lookup_join
 from .vectorize import TermModel, fit_terms
@@ -48,7 +49,12 @@ def _as_table(df: DataFrame, lexicon: Lexicon, schema: str) -> DataFrame:
 
 def _scored_words(text_column: str, max_chars: int | None) -> Column:
     text = F.col(text_column) if max_chars is None else truncate(text_column, max_chars)
-    return words(F.lower(text))
+    return F.split(F.lower(text), P.SPACES)
+
+
+def _known_words(tokens: Column, rows: list[tuple]) -> Column:
+    """The few tokens that are in the word list at all; classes are counted among these."""
+    return F.filter(tokens, lambda w: w.isin(sorted({w for w, _ in rows})))
 
 
 def _hits(tokens: Column, vocabulary: Iterable[str]) -> Column:
@@ -81,8 +87,8 @@ def score_sentiment(
     tokens = _scored_words(text_column, max_chars)
     rows = _inline_rows(lexicon, ("word", "polarity"))
     if rows is not None:
-        positive, negative = (w for w, p in rows if p > 0), (w for w, p in rows if p < 0)
-        scores = bind(tokens, lambda t: hit_scores(_hits(t, positive), _hits(t, negative)))
+        positive, negative = [w for w, p in rows if p > 0], [w for w, p in rows if p < 0]
+        scores = bind(_known_words(tokens, rows), lambda t: hit_scores(_hits(t, positive), _hits(t, negative)))
         counted = df
     else:
         table = _as_table(df, lexicon, "word string, polarity int")
@@ -128,7 +134,7 @@ def score_emotion(
                 ]
             )
 
-        best, counted = F.array_min(bind(tokens, ranked)), df
+        best, counted = F.array_min(bind(_known_words(tokens, rows), ranked)), df
     else:
         table = _as_table(df, lexicon, "word string, emotion string").distinct()
         table = table.groupBy("word").agg(F.collect_list("emotion").alias("emotions"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NUM_TOPICS, RANDOM_SEED
+from .scratch import cut_lineage
 from .vectorize import TermModel, fit_counts
 
 
@@ -59,7 +60,12 @@ def fit_topics(
         featuresCol="_features",
         topicDistributionCol="topic_weights",
     )
-    return TopicModel(terms, lda.fit(vectors.select("_features")))
+    # Every iteration reads the vectors, so they are computed once; lost blocks are recomputed.
+    vectors = vectors.select("_features").persist()
+    try:
+        return TopicModel(terms, lda.fit(vectors))
+    finally:
+        vectors.unpersist()
 
 
 def topic_distribution(assigned: DataFrame) -> DataFrame:
@@ -69,7 +75,11 @@ def topic_distribution(assigned: DataFrame) -> DataFrame:
 def topic_clusters(
     assigned: DataFrame, k: int = NUM_TOPICS, seed: int = RANDOM_SEED
 ) -> DataFrame:
-    """Two coordinates per post by PCA of its topic weights, and a k-means cluster of those."""
+    """Two coordinates per post by PCA of its topic weights, and a k-means cluster of those.
+
+    The topic weights are read by both fits and by the result, so they are stored first.
+    """
+    assigned = cut_lineage(assigned)
     pca = PCA(k=2, inputCol="topic_weights", outputCol="_point").fit(assigned)
     points = pca.transform(assigned)
     means = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="cluster").fit(points)

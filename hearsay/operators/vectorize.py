@@ -129,36 +129,34 @@ def fit_terms(
 
     A document's terms are sorted so that the first of each run also counts the document. One
     aggregation by term, combined in each task first, then gives both frequencies; pairs of
-    document and term are never shuffled. A null term per document counts the documents in the
-    same pass. Only the chosen vocabulary reaches the driver.
+    document and term are never shuffled. Only the chosen vocabulary reaches the driver.
+
+    The input is read twice here and again by ``transform``: store it first when it is costly to
+    compute, as cleaned text is.
     """
     stop = tuple(english_stopwords() if stopwords is None else stopwords)
 
-    def entry(term: Column, is_new: Column) -> Column:
-        return F.struct(term.alias("term"), is_new.alias("is_new"))
-
     def flagged(t: Column) -> Column:
-        return F.transform(t, lambda x, i: entry(x, F.coalesce(F.get(t, i - 1) != x, F.lit(True))))
+        def entry(x: Column, i: Column) -> Column:
+            is_new = F.coalesce(F.get(t, i - F.lit(1)) != x, F.lit(True))
+            return F.struct(x.alias("term"), is_new.alias("is_new"))
+
+        return F.transform(t, entry)
 
-    document = F.array(entry(F.lit(None).cast("string"), F.lit(True)))
-    entries = F.concat(document, bind(F.sort_array(terms(text_column, ngram_range, stop)), flagged))
-    frequencies = (
+    n_docs = df.count()
+    in_range = (F.col("docs") >= _document_limit(min_df, n_docs)) & (
+        F.col("docs") <= _document_limit(max_df, n_docs)
+    )
+    entries = bind(F.sort_array(terms(text_column, ngram_range, stop)), flagged)
+    chosen = (
         df.select(F.inline(entries))
         .groupBy("term")
         .agg(F.count("*").alias("total"), F.count_if("is_new").alias("docs"))
-        .persist()
+        .where(in_range)
+        .orderBy(F.desc("total"), "term")
+        .limit(max_features)
     )
-    try:
-        counted = frequencies.where(F.col("term").isNull()).first()
-        n_docs = counted["docs"] if counted else 0
-        in_range = (F.col("docs") >= _document_limit(min_df, n_docs)) & (
-            F.col("docs") <= _document_limit(max_df, n_docs)
-        )
-        chosen = frequencies.where(F.col("term").isNotNull() & in_range)
-        chosen = chosen.orderBy(F.desc("total"), "term").limit(max_features)
-        rows = sorted((r["term"], r["docs"]) for r in chosen.collect())
-    finally:
-        frequencies.unpersist()
+    rows = sorted((r["term"], r["docs"]) for r in chosen.collect())
     if not rows:
         raise ValueError("No terms remain: lower min_df or raise max_df")
     return TermModel(

@@ -14,7 +14,7 @@ from hearsay.functions.text import BASIC_STOPWORDS
 from hearsay.operators import dedup, entities, features, filters, keywords, summary, topics
 from hearsay.operators import sentiment as sent
 from hearsay.operators import vectorize as vec
-from hearsay.operators.scratch import new_path
+from hearsay.operators.scratch import cut_lineage, new_path
 from hearsay.operators.topn import sample_rows
 from hearsay.plans import flows
 from hearsay.schema import POST
@@ -335,7 +335,7 @@ QUERIES["tfidf_advanced"] = _terms(vec.fit_advanced_tfidf)
 def _matrix(build) -> Query:
     def run(spark, sf_dir):
         posts = V.dated_posts(spark, sf_dir).select("post_id", "text", "date")
-        cleaned = filters.clean_posts(posts, cleaner=X.moderate_clean).drop("text")
+        cleaned = cut_lineage(filters.clean_posts(posts).drop("text"))
         matrix = build(cleaned, stopwords=BASIC_STOPWORDS)
         return rounded(matrix.long_form(["post_id"]), "value")
 
@@ -556,9 +556,8 @@ def entity_candidates(spark, sf_dir):
 
 
 def _topics(spark, sf_dir) -> tuple[topics.TopicModel, DataFrame]:
-    cleaned = filters.clean_posts(
-        V.posts(spark, sf_dir).select("post_id", "text"), cleaner=X.topic_clean
-    ).drop("text")
+    posts = V.posts(spark, sf_dir).select("post_id", "text")
+    cleaned = cut_lineage(filters.clean_posts(posts, cleaner=X.topic_clean).drop("text"))
     model = topics.fit_topics(cleaned, max_iter=10)
     return model, model.transform(cleaned)
 

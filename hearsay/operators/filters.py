@@ -63,15 +63,25 @@ def filter_by_date(
     start_date: str | None = None,
     end_date: str | None = None,
     date_column: str = "date",
+    day_column: str | None = None,
 ) -> DataFrame:
-    """Both bounds inclusive and optional. A bare end date means its midnight."""
+    """Both bounds inclusive and optional. A bare end date means its midnight.
+
+    ``day_column`` names the partition column of a table stored by day; other days are not read.
+    """
     if date_column not in df.columns:
         return df
     dated = coerce_dates(df, date_column)
     if start_date:
-        dated = dated.where(F.col(date_column) >= F.lit(start_date).cast("timestamp_ntz"))
+        start = F.lit(start_date).cast("timestamp_ntz")
+        dated = dated.where(F.col(date_column) >= start)
+        if day_column:
+            dated = dated.where(F.col(day_column) >= start.cast("date"))
     if end_date:
-        dated = dated.where(F.col(date_column) <= F.lit(end_date).cast("timestamp_ntz"))
+        end = F.lit(end_date).cast("timestamp_ntz")
+        dated = dated.where(F.col(date_column) <= end)
+        if day_column:
+            dated = dated.where(F.col(day_column) <= end.cast("date"))
     return dated
 
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .joins import SALTS
 
-# Up to this rank Spark trims each task's rows to the limit before the shuffle by itself.
-TRIMMED_BEFORE_SHUFFLE = 1000
-HASH_BITS = 20
+# Slices of the hash space in a sample: 16 ** HEX_DIGITS of them.
+HEX_DIGITS = 5
 
 
 def first_per_group(
@@ -22,34 +21,35 @@ def first_per_group(
     salt_by: Sequence[str],
     salts: int = SALTS,
 ) -> DataFrame:
-    """The first ``n`` rows of each group. ``order_by`` should be a total order."""
+    """The first ``n`` rows of each group. ``order_by`` should be a total order.
+
+    Rows are ranked within salted parts of a group first, and then only the first ``n`` of each
+    part within the group. A hot group is thereby shared by ``salts`` tasks, and none receives
+    what all scan tasks have kept of it.
+    """
 
     def ranked(frame: DataFrame, *keys: str) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order_by)
-        return frame.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
+        kept = frame.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
+        return kept.drop("_rank")
 
-    if n > TRIMMED_BEFORE_SHUFFLE:
-        salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts))
-        df = ranked(df.withColumn("_salt", salt), group, "_salt").drop("_rank", "_salt")
-    return ranked(df, group).drop("_rank")
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts))
+    parts = ranked(df.withColumn("_salt", salt), group, "_salt").drop("_salt")
+    return ranked(parts, group)
 
 
-def sample_rows(
-    df: DataFrame, key: str, n: int = 100, seed: int = 42, max_in_memory: int = 100_000
-) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by a seeded hash of a unique key.
+def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows, those with the smallest seeded hash of a unique key.
 
-    The choice does not depend on partitioning. A small sample is one top-n. A large one keeps all
-    rows below a cut in the hash space and ranks only the rows of the slice the cut falls into.
+    The choice does not depend on partitioning. A first pass over the key alone counts rows per
+    slice of the hash space. Rows of the slices that fit whole are kept as they are, and only the
+    slice where the sample ends is ranked. A plain top-n would send n rows of every scan task to a
+    single task.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     drawn = df.withColumn("_digest", digest)
-    if n <= max_in_memory:
-        return drawn.orderBy("_digest", key).limit(n).drop("_digest")
-
-    hex_digits = HASH_BITS // 4
-    drawn = drawn.withColumn("_slice", F.left("_digest", F.lit(hex_digits)))
-    # At most 2**HASH_BITS slices, whatever the number of rows.
+    drawn = drawn.withColumn("_slice", F.left("_digest", F.lit(HEX_DIGITS)))
+    # The number of slices is fixed, whatever the number of rows.
     slices = drawn.groupBy("_slice").count()
     up_to = F.sum("count").over(Window.orderBy("_slice"))
     split = slices.select("_slice", up_to.alias("up_to"), "count").where(F.col("up_to") > n)

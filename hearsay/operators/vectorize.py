@@ -28,6 +28,9 @@ from ..functions.stats import TEXT_STATS, TIME_FEATURES
 from ..functions.text import as_column, bind
 from ..schema import MAX_DF, MAX_FEATURES, MIN_DF
 from .features import add_text_features, add_time_features
+from .joins import lookup_join
+
+MAX_LITERAL_NAMES = 5000
 
 Proportion = int | float
 
@@ -100,8 +103,20 @@ class TermModel:
         """``(*keys, term, value)`` for the terms each document has."""
         vectors = self.transform(df.select(*keys, text_column), text_column, "_features")
         entries = explode_vector(vectors, keys, "_features")
-        names = F.array(*[F.lit(t) for t in self.vocabulary])
-        return entries.select(*keys, F.get(names, F.col("index")).alias("term"), "value")
+        return name_entries(entries, self.vocabulary, "term").select(*keys, "term", "value")
+
+
+def name_entries(entries: DataFrame, names: Sequence[str], output: str) -> DataFrame:
+    """Add the name at each ``index``: from a literal array, or a table when that would be long.
+
+    Either way there are as many names as vector positions, which ``max_features`` bounds.
+    """
+    if len(names) <= MAX_LITERAL_NAMES:
+        literal = F.array(*[F.lit(n) for n in names])
+        return entries.withColumn(output, F.get(literal, F.col("index")))
+    schema = f"index int, {output} string"
+    table = entries.sparkSession.createDataFrame(list(enumerate(names)), schema)
+    return lookup_join(entries, table, "index", ["index", "value"], "inner")
 
 
 def explode_vector(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -194,12 +209,9 @@ class FeatureMatrix:
         entries = F.arrays_zip(
             F.col("_parts.indices").alias("index"), F.col("_parts.values").alias("value")
         )
-        names = F.array(*[F.lit(n) for n in self.names])
-        return (
-            vectors.select(*keys, F.inline(entries).alias("index", "value"))
-            .where(F.col("value") != 0)
-            .select(*keys, F.get(names, F.col("index")).alias("feature"), "value")
-        )
+        stored = vectors.select(*keys, F.inline(entries).alias("index", "value"))
+        named = name_entries(stored.where(F.col("value") != 0), self.names, "feature")
+        return named.select(*keys, "feature", "value")
 
 
 def _sparse_parts(column: str) -> Column:

@@ -168,6 +168,14 @@ def test_terms_match_brute_force(spark, ngrams, max_features, min_df, max_df, tf
     assert got == pytest.approx(want)
 
 
+def test_long_vocabularies_are_named_by_a_join(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "id bigint, text_cleaned string")
+    model = vec.fit_tfidf(df, min_df=1, max_df=1.0)
+    short = model.long_form(df, ["id"]).collect()
+    monkeypatch.setattr(vec, "MAX_LITERAL_NAMES", 0)
+    assert sorted(model.long_form(df, ["id"]).collect()) == sorted(short)
+
+
 def test_default_stopwords_and_empty_vocabulary(spark):
     df = spark.createDataFrame([(1, "the the and"), (2, "the and")], "id bigint, text_cleaned string")
     with pytest.raises(ValueError):

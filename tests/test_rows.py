@@ -8,7 +8,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.operators import filters
+from hearsay.operators import filters, topn
 from hearsay.operators.dedup import dedup_posts
 from hearsay.operators.joins import fits_broadcast, lookup_join
 from hearsay.operators.scratch import new_path, shared_dir
@@ -153,11 +153,12 @@ def test_dedup_keeps_first_and_is_idempotent(spark, partitions):
     assert dedup_posts(got, ["post_id"]).count() == len(first)
 
 
-@pytest.mark.parametrize("in_memory", [100_000, 10])
+@pytest.mark.parametrize("hex_digits", [5, 1])
 @pytest.mark.parametrize("n", [0, 1, 100, 3999, 4000, 9999])
-def test_sample_is_exact_either_way(spark, n, in_memory):
+def test_sample_is_exact(spark, monkeypatch, n, hex_digits):
+    monkeypatch.setattr(topn, "HEX_DIGITS", hex_digits)
     df = skewed(spark).repartition(5)
-    got = [r["post_id"] for r in sample_rows(df, "post_id", n, 7, in_memory).collect()]
+    got = [r["post_id"] for r in sample_rows(df, "post_id", n, 7).collect()]
     ranked = sorted(range(4000), key=lambda i: (hashlib.md5(f"{i}7".encode()).hexdigest(), i))
     assert sorted(got) == sorted(ranked[:n])
 
@@ -184,6 +185,20 @@ def test_date_filter_bounds(spark):
     assert filters.filter_by_date(no_date, "2024-01-05").count() == len(dates)
 
 
+def test_day_partitions_are_pruned(spark):
+    path = new_path(spark, "days")
+    dates = [f"2024-01-{d:02d} 12:00:00" for d in range(1, 10)] + ["bad", None]
+    df = spark.createDataFrame([(d,) for d in dates], "date string")
+    files.write_by_day(df, path)
+    stored = spark.read.parquet(path)
+    got = filters.filter_by_date(stored, "2024-01-03", "2024-01-05", day_column="day")
+    assert sorted(r["date"].day for r in got.collect()) == [3, 4]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    pruned = text[text.index("PartitionFilters") :].splitlines()[0]
+    assert "day#" in pruned.split("PushedFilters")[0]
+    assert filters.filter_by_date(stored, day_column="day").count() == len(dates)
+
+
 def test_extra_date_formats(spark):
     df = spark.createDataFrame([("06/01/2024 10:30",), ("x",)], "date string")
     got = filters.coerce_dates(df, formats=["dd/MM/yyyy HH:mm"]).collect()

@@ -33,11 +33,14 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Long form ``(*by, metric, prob, value)`` of linearly interpolated quantiles.
+    """Long form ``(*by, metric, prob, value, count)`` of linearly interpolated quantiles.
 
     1. Count values per bin; tasks combine first, so the shuffle carries bins and not rows.
     2. Running counts over the bins say which bins hold the wanted ranks.
-    3. Only rows of those bins are counted per distinct value and ranked inside their bin.
+    3. Only values of those bins are ranked, each inside its bin.
+
+    ``count`` is the number of values of the group. Without ``by`` the input is scanned twice and
+    little is shuffled. With ``by`` equal values are counted together first and that is read twice.
     """
     items = F.array(
         *[
@@ -52,7 +55,11 @@ def exact_quantiles(
     )
     group = [*by, "metric"]
 
-    bins = values.groupBy(*group, "bin").count()
+    if by:
+        values = values.groupBy(*group, "bin", "value").agg(F.count("*").alias("count"))
+    else:
+        values = values.withColumn("count", F.lit(1).cast("bigint"))
+    bins = values.groupBy(*group, "bin").agg(F.sum("count").alias("count"))
     so_far = Window.partitionBy(*group).orderBy("bin")
     whole = Window.partitionBy(*group)
     bins = bins.select(
@@ -69,19 +76,14 @@ def exact_quantiles(
     low, high = F.floor("position"), F.ceil("position")
     after = F.col("before") + F.col("count")
     picked = targets.where((low < after) & (high >= F.col("before"))).select(
-        *group, "bin", "before", "prob", "position"
+        *group, "bin", "before", "n", "prob", "position"
     )
 
     wanted = picked.groupBy(*group, "bin", "before").agg(
-        F.collect_set(F.struct("prob", "position")).alias("targets")
+        F.collect_set(F.struct("prob", "position", "n")).alias("targets")
     )
-    if by:
-        # The number of groups is not known, so nothing is broadcast: equal values are first
-        # counted together, which leaves no hot key for the join.
-        values = values.groupBy(*group, "bin", "value").count()
-    else:
+    if not by:
         # At most two bins per metric and quantile.
-        values = values.withColumn("count", F.lit(1))
         wanted = F.broadcast(wanted)
     inside = values.alias("v").join(wanted.alias("w"), _same([*group, "bin"]), "inner")
     distinct = inside.groupBy(
@@ -95,13 +97,13 @@ def exact_quantiles(
     low, high = F.floor("position"), F.ceil("position")
     holds_low = (low >= first) & (low < F.col("upto"))
     holds_high = (high >= first) & (high < F.col("upto"))
-    ends = hits.groupBy(*group, "prob", "position").agg(
+    ends = hits.groupBy(*group, "prob", "position", "n").agg(
         F.max(F.when(holds_low, F.col("value"))).alias("low"),
         F.max(F.when(holds_high, F.col("value"))).alias("high"),
     )
     fraction = F.col("position") - F.floor("position")
     value = F.col("low") + (F.col("high") - F.col("low")) * fraction
-    return ends.select(*group, "prob", value.alias("value"))
+    return ends.select(*group, "prob", value.alias("value"), F.col("n").alias("count"))
 
 
 def _same(names: Sequence[str]) -> Column:

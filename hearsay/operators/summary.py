@@ -72,23 +72,14 @@ def sentiment_statistics(df: DataFrame) -> DataFrame:
 
 
 def confidence_boxstats(df: DataFrame, label_column: str = LABEL, score_column: str = SCORE) -> DataFrame:
-    """Minimum, quartiles, maximum and number of scores per label."""
+    """Minimum, quartiles, maximum and number of scores per label that has scores."""
+    names = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     labelled = df.where(F.col(label_column).isNotNull())
-    ends = labelled.groupBy(label_column).agg(
-        F.min(score_column).alias("min"),
-        F.max(score_column).alias("max"),
-        F.count(score_column).alias("count"),
-    )
-    quartiles = exact_quantiles(
-        labelled, {"score": score_column}, (0.25, 0.5, 0.75), by=(label_column,)
-    )
-    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    wide = quartiles.groupBy(label_column).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()]
-    )
-    return ends.join(wide, label_column, "left").select(
-        label_column, "min", "q1", "median", "q3", "max", "count"
+    found = exact_quantiles(
+        labelled, {"score": score_column}, tuple(names.values()), by=(label_column,)
     )
+    ends = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()]
+    return found.groupBy(label_column).agg(*ends, F.max("count").alias("count"))
 
 
 # Bucket start by period, and how the label at the end of the bucket follows from it.

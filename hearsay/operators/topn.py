@@ -42,9 +42,9 @@ def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFr
     """Exactly ``min(n, rows)`` rows, those with the smallest seeded hash of a unique key.
 
     The choice does not depend on partitioning. A first pass over the key alone counts rows per
-    slice of the hash space. Rows of the slices that fit whole are kept as they are, and only the
-    slice where the sample ends is ranked. A plain top-n would send n rows of every scan task to a
-    single task.
+    slice of the hash space, which says in which slice the sample ends. A second pass reads only
+    rows up to there and ranks them slice by slice. A plain top-n would send n rows of every scan
+    task to a single task.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     drawn = df.withColumn("_digest", digest)
@@ -56,8 +56,8 @@ def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFr
     before = F.col("up_to") - F.col("count")
     # The first slice that does not fit whole, and the room left for it; null when all rows fit.
     cut = split.agg(F.min(F.struct("_slice", (F.lit(n) - before).alias("room")))).scalar()
-    below = drawn.where(F.coalesce(F.col("_slice") < cut["_slice"], F.lit(True)))
+    inside = drawn.where(F.coalesce(F.col("_slice") <= cut["_slice"], F.lit(True)))
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_digest", key))
-    edge = drawn.where(F.col("_slice") == cut["_slice"]).withColumn("_rank", rank)
-    edge = edge.where(F.col("_rank") <= cut["room"])
-    return below.select(*df.columns).unionByName(edge.select(*df.columns))
+    ranked = inside.withColumn("_rank", rank)
+    kept = (F.col("_slice") < cut["_slice"]) | (F.col("_rank") <= cut["room"])
+    return ranked.where(F.coalesce(kept, F.lit(True))).select(*df.columns)

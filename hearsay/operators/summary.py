@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import SENTIMENT_COLUMNS
@@ -12,6 +12,7 @@ from ..functions.stats import to_datetime
 from ..functions.text import words
 from ..schema import SENTIMENT_LABELS
 from .quantiles import exact_quantiles
+from .topn import first_per_group
 
 LABEL = SENTIMENT_COLUMNS["label"]
 SCORE = SENTIMENT_COLUMNS["score"]
@@ -184,9 +185,8 @@ def top_words_by_label(
     counts = _explode_words(df, text_column, stopwords, label_column).groupBy(
         label_column, "word"
     ).agg(F.count("*").alias("count"))
-    order = Window.partitionBy(label_column).orderBy(F.desc("count"), "word")
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= n)
+    order = [F.desc("count"), F.col("word")]
+    return first_per_group(counts, label_column, order, n, ["word"], rank_as="rank")
 
 
 def dashboard(scored: DataFrame, text_column: str = "text_cleaned") -> dict[str, DataFrame]:

@@ -20,8 +20,11 @@ def first_per_group(
     n: int,
     salt_by: Sequence[str],
     salts: int = SALTS,
+    rank_as: str | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of each group. ``order_by`` should be a total order.
+    """The first ``n`` rows of each group, and optionally their rank.
+
+    ``order_by`` should be a total order.
 
     Rows are ranked within salted parts of a group first, and then only the first ``n`` of each
     part within the group. A hot group is thereby shared by ``salts`` tasks, and none receives
@@ -30,12 +33,12 @@ def first_per_group(
 
     def ranked(frame: DataFrame, *keys: str) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order_by)
-        kept = frame.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
-        return kept.drop("_rank")
+        return frame.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
 
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts))
-    parts = ranked(df.withColumn("_salt", salt), group, "_salt").drop("_salt")
-    return ranked(parts, group)
+    parts = ranked(df.withColumn("_salt", salt), group, "_salt").drop("_salt", "_rank")
+    first = ranked(parts, group)
+    return first.withColumnRenamed("_rank", rank_as) if rank_as else first.drop("_rank")
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFrame:

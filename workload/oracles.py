@@ -210,11 +210,11 @@ register("truncate_text", "SELECT post_id, left(text, 512) AS text_truncated FRO
 
 ROUNDED_STATS = ("text_avg_word_length", "text_uppercase_ratio")
 stats = ", ".join(
-    f"round({x}, 6) AS {n}" if n in ROUNDED_STATS else f"{x} AS {n}"
+    f"round({x}, 6) AS {n}" if n in ROUNDED_STATS else f"CAST({x} AS INTEGER) AS {n}"
     for n, x in Q.text_statistics("text").items()
 )
 register("text_features", f"SELECT post_id, {stats} FROM noisy", V.NOISY)
-fields = ", ".join(f"{x} AS {n}" for n, x in Q.TIME_FEATURES.items())
+fields = ", ".join(f"CAST({x} AS INTEGER) AS {n}" for n, x in Q.TIME_FEATURES.items())
 register(
     "temporal_features",
     f"""SELECT *, {fields}, CASE WHEN hour(date) <= 6 THEN 'Night' WHEN hour(date) <= 12
@@ -438,8 +438,8 @@ register(
 )
 register(
     "top_words_by_sentiment",
-    f"""SELECT sentiment_label, word, count(*) AS count,
-      row_number() OVER (PARTITION BY sentiment_label ORDER BY count(*) DESC, word) AS rank
+    f"""SELECT sentiment_label, word, count(*) AS count, CAST(row_number() OVER (
+        PARTITION BY sentiment_label ORDER BY count(*) DESC, word) AS INTEGER) AS rank
     FROM (SELECT sentiment_label, unnest({Q.words('lower(text)')}) AS word FROM scored)
     GROUP BY sentiment_label, word QUALIFY rank <= 100""",
     *SCORED,

@@ -150,16 +150,6 @@ def score_emotion(
 Model = Callable[[list[str]], list[list[dict]]]
 
 
-def _score_batch(model: Model, texts: list[str]) -> list[list[dict] | None]:
-    """A batch that fails is retried text by text; a text that fails has no score."""
-    try:
-        return list(model(texts))
-    except Exception:
-        if len(texts) == 1:
-            return [None]
-        return [_score_batch(model, [t])[0] for t in texts]
-
-
 def score_with_model(
     df: DataFrame,
     model_factory: Callable[[], Model],
@@ -176,6 +166,16 @@ def score_with_model(
     if text_column not in df.columns:
         return df
 
+    # Everything a worker needs is nested here, so the function travels without the package.
+    def score_batch(model: Model, texts: list[str]) -> list[list[dict] | None]:
+        """A batch that fails is retried text by text; a text that fails has no score."""
+        try:
+            return list(model(texts))
+        except Exception:
+            if len(texts) == 1:
+                return [None]
+            return [score_batch(model, [t])[0] for t in texts]
+
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_factory()
         for texts in batches:
@@ -183,7 +183,7 @@ def score_with_model(
             filled = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             for at in range(0, len(filled), batch_size):
                 chosen = filled[at : at + batch_size]
-                results = _score_batch(model, [texts.iloc[i] for i in chosen])
+                results = score_batch(model, [texts.iloc[i] for i in chosen])
                 for i, result in zip(chosen, results):
                     found.iat[i] = result
             yield found

@@ -36,15 +36,16 @@ def _inline_rows(lexicon: Lexicon, names: Sequence[str]) -> list[tuple] | None:
     """The rows of a small lexicon, or None when it has more than ``MAX_INLINE_WORDS``."""
     if isinstance(lexicon, DataFrame):
         rows = lexicon.select(*names).limit(MAX_INLINE_WORDS + 1).collect()
-        return [tuple(r) for r in rows] if len(rows) <= MAX_INLINE_WORDS else None
-    rows = list(lexicon)
-    return rows if len(rows) <= MAX_INLINE_WORDS else None
+    else:
+        rows = list(lexicon)
+    return [(w.lower(), x) for w, x in rows] if len(rows) <= MAX_INLINE_WORDS else None
 
 
 def _as_table(df: DataFrame, lexicon: Lexicon, schema: str) -> DataFrame:
-    if isinstance(lexicon, DataFrame):
-        return lexicon
-    return df.sparkSession.createDataFrame(list(lexicon), schema)
+    table = lexicon
+    if not isinstance(table, DataFrame):
+        table = df.sparkSession.createDataFrame(list(table), schema)
+    return table.withColumn("word", F.lower("word"))
 
 
 def _scored_words(text_column: str, max_chars: int | None) -> Column:
@@ -80,7 +81,7 @@ def score_sentiment(
 
     Whole texts are scored; ``max_chars`` sets the input limit of a fixed-length classifier. A word
     list of ordinary size is matched inside each row, without any shuffle. A longer one is joined
-    on the words, and then ``key`` must be unique.
+    on the words, and then ``key`` must be unique. Case does not matter.
     """
     if text_column not in df.columns:
         return df
@@ -88,7 +89,10 @@ def score_sentiment(
     rows = _inline_rows(lexicon, ("word", "polarity"))
     if rows is not None:
         positive, negative = [w for w, p in rows if p > 0], [w for w, p in rows if p < 0]
-        scores = bind(_known_words(tokens, rows), lambda t: hit_scores(_hits(t, positive), _hits(t, negative)))
+        scores = bind(
+            _known_words(tokens, rows),
+            lambda t: hit_scores(_hits(t, positive), _hits(t, negative)),
+        )
         counted = df
     else:
         table = _as_table(df, lexicon, "word string, polarity int")
@@ -121,7 +125,7 @@ def score_emotion(
     rows = _inline_rows(lexicon, ("word", "emotion"))
     if rows is not None:
         # Most hits first, then the name: the least of (-hits, name).
-        classes = sorted({e for _, e in rows})
+        classes = sorted({e for _, e in rows}) or [default]
 
         def ranked(t: Column) -> Column:
             return F.array(

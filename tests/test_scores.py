@@ -43,7 +43,7 @@ def test_star_labels_on_request(spark):
     assert score == pos
 
 
-LEXICON = [("good", 1), ("fine", 2), ("bad", -1), ("odd", 1), ("odd", -1)]
+LEXICON = [("Good", 1), ("fine", 2), ("bad", -1), ("odd", 1), ("odd", -1)]
 TEXTS = ["good good bad", "Bad\nday", "nothing here", "  ", None, "", "odd", "GOOD fine"]
 EXPECTED = [
     ("POSITIVE", 2 / 3, 2 / 3, 1 / 3, 0.0),
@@ -92,6 +92,11 @@ def test_emotions_inline_and_joined_agree(posts, monkeypatch, inline_words):
     ]
 
 
+def test_empty_word_lists_give_defaults(posts):
+    assert_scores(sent.score_sentiment(posts, []), [DEFAULT] * len(TEXTS))
+    assert {r["emotion"] for r in sent.score_emotion(posts, []).collect()} == {"NEUTRAL"}
+
+
 def test_whole_text_unless_limited(spark):
     df = spark.createDataFrame([(1, "x " * 400 + "good")], "post_id bigint, text_cleaned string")
     assert sent.score_sentiment(df, LEXICON).first()["sentiment_label"] == "POSITIVE"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from hearsay.functions.patterns import SPACE_CHARS, URL
+from hearsay.functions.patterns import DIGIT, SPACE_CHARS, URL
 from hearsay.functions.text import BASIC_STOPWORDS
 
 # RE2 has neither the White_Space property nor look-behind nor possessive repeats, so the checking
-# engine gets plain patterns, written independently of the ones in the package.
+# engine gets plain patterns. Only lists that read the same in both are taken from the package.
 SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -28,7 +28,6 @@ EMOJI = (
 )
 TOKEN = f"[{WORD}]{{2,}}"
 SPECIAL = rf"[^\p{{L}}\p{{N}}{SPACE}]"
-DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 NAME_RUN = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.operators.scratch import store
 
-from . import html_text, language, mixing, sharding, simhash
+from . import decontamination, embeddings, html_text, language, mixing, sharding, simhash
 from .common import fold
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,49 @@ JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.h = c.h
 """
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+LLM_ORACLES["op6_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n,
+         array_to_string(w[i + 1:i + 10], ' ') AS terms
+  FROM b, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+runs AS (
+  SELECT rid, i AS start, n, array_to_string(w[i + 1:i + n], ' ') AS terms
+  FROM d, sizes, unnest(range(0, len(w) - n + 1)) AS r(i)),
+found AS (SELECT rid, start, n, item FROM runs JOIN windows USING (n, terms)),
+hit AS (
+  SELECT rid, count(DISTINCT start + k) AS n_hit
+  FROM (SELECT DISTINCT rid, start, n FROM found), unnest(range(0, n)) AS r(k) GROUP BY rid),
+named AS (
+  SELECT rid, count(DISTINCT item) AS n_items,
+         string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  FROM found GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -113,6 +156,31 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+LLM_ORACLES["op9_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+  FROM embeddings WHERE embedding IS NOT NULL),
+usable AS (SELECT * FROM v WHERE norm > 0 AND isfinite(norm)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+     AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_links,
+       min(r.other) AS component_id, e.vec_id = min(r.other) AS kept
+FROM embeddings e JOIN reach r ON r.node = e.vec_id GROUP BY e.vec_id
+"""
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2

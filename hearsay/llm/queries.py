@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from hearsay.operators.scratch import store
 
-from . import decontamination, embeddings, html_text, language, mixing, sharding, simhash
+from . import (
+    decontamination,
+    embeddings,
+    html_text,
+    language,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+)
 from .common import fold
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +44,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 4) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    labels = table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, labels, ~F.col("held_out"), keep=("held_out",))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select(

@@ -14,6 +14,7 @@ from . import (
     embeddings,
     html_text,
     language,
+    lm_scoring,
     mixing,
     quality,
     sharding,
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8, worker_cache
+from .common import fold, utf8, worker_cache
 
 BUCKET_BITS = 16
 ORDERS = 3
@@ -156,3 +156,22 @@ def predict(
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*keep, utf8(text).alias("_llm_text")).mapInArrow(run, schema)
+
+
+def keep_known(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+    least: float = 0.5,
+) -> DataFrame:
+    """``docs`` without texts that have no letter, or no language with a posterior of ``least``.
+
+    Learns as the query does, from folds of the key other than 2. If nothing can be learned, only
+    texts without a letter go. Columns of any name stay as they are.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_llm_row"), F.col(text))
+    model = train(docs, text, lang, fold(key, 4) != 2)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    known = predict(rows, model, text, ("_llm_row",))
+    return known.where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    ).select("_llm_row.*")

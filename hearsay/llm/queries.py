@@ -14,6 +14,7 @@ from . import (
     embeddings,
     html_text,
     language,
+    licences,
     lm_scoring,
     mixing,
     quality,
@@ -171,6 +172,11 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
 
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.best_licence(licences.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))

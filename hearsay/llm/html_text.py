@@ -254,7 +254,7 @@ def main_nodes(root: Node) -> list[Node]:
         up = up.parent
     if best.parent is None:
         return [best]
-    least = max(10.0, worth(best) * SIBLING_SHARE)
+    least = worth(best) * SIBLING_SHARE
     kept = []
     for node in best.parent.children:
         if isinstance(node, str) or node.skipped:

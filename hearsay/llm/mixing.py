@@ -175,9 +175,14 @@ def mix_documents(
         ),
         "sizes",
     )
-    taken = mix(sized).where("copies > 0").select(FILE, ROW, "copies")
+    # Of the source's columns only the identity is used, so any other name may occur there.
+    taken = (
+        mix(sized)
+        .where("copies > 0")
+        .select(FILE, ROW, F.sequence(F.lit(1).cast("bigint"), F.col("copies")).alias("_llm_n"))
+    )
     return (
         known.join(taken, [FILE, ROW])
-        .withColumn(ROW, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        .withColumn("_llm_n", F.explode("_llm_n"))
         .select(*docs.columns)
     )

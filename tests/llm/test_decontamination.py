@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from hearsay.llm import decontamination as D
+
+from .helpers import documents
+
+
+def words(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+
+
+def plain(texts, items, size):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            windows.setdefault(tuple(w[i : i + size]), set()).add("" if item is None else str(item))
+    out = {}
+    for doc, text in enumerate(texts):
+        w, hit, found = words(text), set(), set()
+        for window, names in windows.items():
+            n = len(window)
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) == window:
+                    hit |= set(range(i, i + n))
+                    found |= names
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out[doc] = (len(w), len(hit), len(found), digest, bool(hit))
+    return out
+
+
+def judged(spark, texts, items, size, **more):
+    docs = documents(spark, texts).withColumns({"rid": F.lit(1), "words": F.lit("x")})
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = D.contamination(docs, bench, size, **more).collect()
+    return {r["doc_id"]: tuple(r)[1:] for r in got}
+
+
+@pytest.mark.parametrize("size", [2, 4])
+def test_brute_force(spark, size):
+    rng = random.Random(size)
+    text = lambda n: " ".join(rng.choices("aa Bb cc dd é ee".split(), k=n))
+    texts = [text(rng.randrange(40)) for _ in range(60)] + [None, "", "--", "aa aa aa aa aa"]
+    items = [(i, text(rng.randrange(8))) for i in range(12)]
+    items += [(0, "again one"), (None, "aa aa aa"), (50, None), (51, ""), (52, "É-cc.ee")]
+    assert judged(spark, texts, items, size) == plain(texts, items, size)
+
+
+def test_tokens():
+    assert words("Éa_B c1-d") == ["Éa", "b c1", "d"]
+
+
+def test_words_column(spark):
+    texts = ["Éa_B c1-d", "--a--", "", None, "ABC ÀÉ x\x00y", "İI"]
+    got = documents(spark, texts).select("doc_id", D.words("text").alias("w")).collect()
+    assert {r["doc_id"]: r["w"] for r in got} == {i: words(t) for i, t in enumerate(texts)}
+
+
+def test_empty_tables(spark):
+    clean = (2, 0, 0, hashlib.sha256(b"").hexdigest(), False)
+    assert judged(spark, ["a b"], [], 10) == {0: clean}
+    assert judged(spark, [], [(1, "a")], 10) == {}
+
+
+def test_joined_rather_than_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "fits_broadcast", lambda table: False)
+    monkeypatch.setattr("hearsay.operators.joins.fits_broadcast", lambda *a: False)
+    texts, items = ["x a b c d y", "a b", "c d a b c"], [(1, "a b c"), (2, "d")]
+    assert judged(spark, texts, items, 3) == plain(texts, items, 3)
+
+
+def test_proximity(spark):
+    # The rarest words, a and b, stand two words out of step in the last text.
+    texts = ["p q a b x c d r s", "a b c d", "d c b a", "a b p q r s t u c d", "b a c d"]
+    docs = documents(spark, texts)
+    index = D.stored_words(docs, "text", ("doc_id",))
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
+    found, _ = D.occurrences(index, bench, 4, slop=1)
+    got = found.join(index, "rid").groupBy("doc_id").agg(F.min("kind").alias("kind")).collect()
+    assert {r["doc_id"]: r["kind"] for r in got} == {0: "proximity", 1: "phrase"}
+
+
+def test_drop_contaminated(spark):
+    docs = documents(spark, ["x a b c y", "clean text", None, "a b c"]).withColumn("n", F.lit(1))
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    kept = D.drop_contaminated(docs.union(docs), bench)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 2, 2]

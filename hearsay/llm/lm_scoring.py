@@ -32,10 +32,11 @@ VOCABULARY = 1500
 CLASSES = 512
 SUFFIX = 3
 WIDTH = 32
-NOISE = 32
+NOISE = 64
 ROUNDS = 2
 BATCH = 4096
-RATE = 0.1
+RATE = 0.02  # of the first round; the next ones take RATE / 2, RATE / 3, ...
+SQUARES = 1e-9
 BLOCK_TOKENS = 1 << 20
 PIECE_BYTES = 1 << 22
 
@@ -85,14 +86,9 @@ class _Block:
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         counts = np.zeros(len(self.ids), dtype=np.int64)
-        for tokens, learn in zip(self.tokens, self.learn):
-            if learn:
-                counts += np.bincount(tokens[2:], minlength=len(counts)) if len(
-                    tokens
-                ) * 4 > len(counts) else 0
-        small = [t[2:] for t, x in zip(self.tokens, self.learn) if x and len(t) * 4 <= len(counts)]
-        if small:
-            counts += np.bincount(np.concatenate(small), minlength=len(counts))
+        learned = [t[2:] for t, learn in zip(self.tokens, self.learn) if learn]
+        if learned:
+            counts += np.bincount(np.concatenate(learned), minlength=len(counts))
         values = [
             self.keys,
             self.rids,
@@ -110,8 +106,9 @@ class _Block:
 def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFrame:
     """Stored blocks of about BLOCK_TOKENS tokens; a long text may go on in the next block.
 
-    A row holds, by text: key, a number of its own, whether it is learned from, how many tokens; then
-    all tokens as numbers (each text led by the two words before it), the block's words, and how often each occurs in learned texts.
+    A row holds, by text: key, a number of its own, whether it is learned from, how many tokens;
+    then all tokens as numbers (each text led by the two words before it), the block's words, and
+    how often each occurs in learned texts.
     """
     key_type = docs.schema[key].dataType
     schema = T.StructType(
@@ -194,9 +191,10 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 class Trainer:
     """Noise-contrastive estimation on batches, with step sizes that shrink by parameter."""
 
-    def __init__(self, parameters: dict[str, np.ndarray], seed: int) -> None:
+    def __init__(self, parameters: dict[str, np.ndarray], seed: int, rate: float) -> None:
+        self.rate = rate
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in self.p.items()}
+        self.squares = {k: np.full(v.shape, SQUARES, np.float32) for k, v in self.p.items()}
         self.rng = np.random.default_rng(seed)
         self.steps_from = np.cumsum(self.p["noise"])
         self.log_noise = np.log(NOISE * self.p["noise"]).astype(np.float32)
@@ -204,7 +202,7 @@ class Trainer:
     def _move(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
         squares = self.squares[name]
         squares[at] += gradient * gradient
-        self.p[name][at] -= RATE * gradient / np.sqrt(squares[at])
+        self.p[name][at] -= self.rate * gradient / np.sqrt(squares[at])
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, len(self.p["bias"])
@@ -238,7 +236,11 @@ class Trainer:
 
 
 def train_round(
-    blocks: DataFrame, parameters: dict[str, np.ndarray], vocabulary: dict[bytes, int], seed: int
+    blocks: DataFrame,
+    parameters: dict[str, np.ndarray],
+    vocabulary: dict[bytes, int],
+    seed: int,
+    rate: float,
 ) -> dict[str, np.ndarray]:
     """One pass over every learned token; the mean of the tasks' parameters by their tokens."""
     shared = blocks.sparkSession.sparkContext.broadcast((parameters, vocabulary))
@@ -247,7 +249,7 @@ def train_round(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, words_of = shared.value
-        trainer, seen = Trainer(start, seed), 0
+        trainer, seen = Trainer(start, seed, rate), 0
         for batch in batches:
             for row in range(batch.num_rows):
                 learn = np.array(batch.column(0)[row].as_py(), dtype=bool)
@@ -363,7 +365,7 @@ def score_texts(
     counts = np.concatenate(([ends], [c for _, c in top], class_n)).astype(np.float64)
     parameters = initial(counts, seed)
     for i in range(rounds):
-        parameters = train_round(blocks, parameters, vocabulary, seed + i)
+        parameters = train_round(blocks, parameters, vocabulary, seed + i, RATE / (1 + i))
     # Counts of the other words, for each block those of its own words.
     known = (
         words.select("block", "at", "word")

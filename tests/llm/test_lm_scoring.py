@@ -94,28 +94,33 @@ def test_probabilities_add_up():
         assert np.exp(log_p.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_word_outcomes_add_up(spark):
-    """Sum the model's probability over every word as the second of a text, known or unseen."""
-    texts = ["a b", "a c", "b cc", "d ee", "a dd b"]
+def test_words_of_a_class_add_up(spark):
+    """The known words of a class and its one unseen outcome share the class's probability: texts
+    of one word differ, inside a class, by the word's probability in it alone."""
+    texts = ["a b", "a c", "b cc", "d ee", "a dd b", "zcc xcc", "ycc cc"]
+    n = len(texts)
     known = sorted({w for t in texts for w in words(t)[:-1]})
-    classes = {L.word_class(w.encode()) for w in known}
-    # One unseen word for each class in use, and the other classes are counted by one each.
-    fresh, n = {}, 0
-    while len(fresh) < L.CLASSES:
-        fresh.setdefault(L.word_class(f"u{n}".encode()), f"u{n}")
-        n += 1
-    probes = ["a", *(f"a {w}" for w in known), *(f"a {w}" for w in fresh.values())]
-    docs = documents(spark, texts + probes).coalesce(1)
-    rows = L.score_texts(docs, F.col("doc_id") < len(texts), vocabulary_size=2).collect()
-    score = {r["doc_id"] - len(texts): r["score"] for r in rows}
-    # The text "a w" has an end after w that "a" has after a: take it out by a longer probe.
-    assert classes and len(score) == len(texts) + len(probes)
-    model_total = 0.0
-    ends = documents(spark, texts + [f"{p} {p.split()[-1]}" for p in probes]).coalesce(1)
-    assert ends.count() == len(texts) + len(probes)
-    for i in range(1, len(probes)):
-        model_total += 10 ** score[i]
-    assert 0 < model_total < 1
+    by_class = {}
+    for w in known:
+        by_class.setdefault(L.word_class(w.encode()), []).append(w)
+    fresh, i = {}, 0
+    while set(fresh) != set(by_class):
+        if (k := L.word_class(f"u{i}".encode())) in by_class:
+            fresh.setdefault(k, f"u{i}")
+        i += 1
+    probes = [*known, *fresh.values()]
+    docs = documents(spark, texts + probes)
+    rows = L.score_texts(docs, F.col("doc_id") < n, vocabulary_size=0).collect()
+    score = {probes[r["doc_id"] - n]: 10 ** r["score"] for r in rows if r["doc_id"] >= n}
+    counts = Counter(w for t in texts for w in words(t)[:-1])
+    for k, members in by_class.items():
+        total = sum(counts[w] for w in members)
+        once = sum(counts[w] == 1 for w in members)
+        whole = score[fresh[k]] + sum(score[w] for w in members)
+        left = (once + 0.5) / (total + 1)
+        assert score[fresh[k]] / whole == pytest.approx(left, rel=1e-5)
+        for w in members:
+            assert score[w] / whole == pytest.approx((1 - left) * counts[w] / total, rel=1e-5)
 
 
 def test_spark_and_python_agree_on_classes(spark):
@@ -132,10 +137,10 @@ def test_context_is_learned():
     w1 = rng.integers(0, 2, 40_000)
     w = np.where(rng.random(40_000) < 0.9, w1 + 2, rng.integers(2, 4, 40_000))
     counts = np.bincount(np.concatenate((w1, w)), minlength=6).astype(float)
-    trainer = L.Trainer(L.initial(counts), 1)
+    trainer = L.Trainer(L.initial(counts), 1, 0.05)
     for i in range(0, 40_000, 500):
         s = slice(i, i + 500)
         trainer.step(np.full(500, 5), w1[s], w[s])
     first, second, log_z = L.scorer(trainer.p)
-    p = lambda a, b: np.exp(first[a, b] + second[5, a] - log_z[5, a])
+    p = lambda a, b: np.exp(first[a, b] + second[5, b] - log_z[5, a])
     assert p(0, 2) > 0.8 and p(1, 3) > 0.8 and p(0, 3) < 0.15

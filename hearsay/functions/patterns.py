@@ -27,6 +27,9 @@ NON_SPACE = f"[^{SPACE}]"
 # in the length of a run.
 EMAIL = f"(?<!{NON_SPACE}){NON_SPACE}[^{SPACE}@]*+@{NON_SPACE}+"
 
+# Words without the punctuation beside them, as word lists and word counts see them.
+WORD_RUN = f"[{WORD}]+"
+
 # Vectoriser tokens: unbroken runs of two or more word characters.
 TOKEN = f"[{WORD}]{{2,}}"
 SPECIAL = rf"[^\p{{L}}\p{{N}}{SPACE}]"

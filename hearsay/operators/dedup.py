@@ -7,17 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .topn import first_per_group
+
 
 def dedup_posts(
-    df: DataFrame, order_by: Sequence[Column | str], text_column: str = "text"
+    df: DataFrame,
+    order_by: Sequence[Column | str],
+    text_column: str = "text",
+    key: str | Sequence[str] = "post_id",
 ) -> DataFrame:
-    """Keep the first row of each text by ``order_by``; null texts count as equal.
+    """Keep the first row of each text by ``order_by``, then by ``key``; null texts count as equal.
 
-    The key is a digest, so the shuffle is partitioned on 32 bytes and not on whole texts. Each
-    task first reduces its own rows to one per text, so a text that fills a third of the table
-    sends one row per task.
+    ``order_by`` may hold any sort order, ``F.desc`` too. ``key`` must be unique (one or more
+    columns), which also makes the order total. Only a digest of the text, the order and the key are
+    shuffled to find the first rows, and each task first reduces its rows to one per text; the rows
+    themselves move once, to meet the keys that stay.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    key = F.unhex(F.sha2(F.col(text_column), 256))
-    first = F.min_by(row, F.struct(*order_by))
-    return df.groupBy(key.alias("_text")).agg(first.alias("_row")).select("_row.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    digest = F.coalesce(F.sha2(F.col(text_column), 256), F.lit(""))
+    ranked = first_per_group(
+        df.withColumn("_digest", digest), "_digest", [*order, *keys], 1, keys, keep=keys
+    )
+    return df.join(ranked, keys, "left_semi")

@@ -1,4 +1,4 @@
-"""Names of organisations and people: capitalised runs looked up in a name table."""
+"""Names of organisations and people: mentions of a name table, and capitalised runs as candidates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import as_column
+from .joins import lookup_join
+from .scratch import store
+
+
+def _name_words(c: Column | str) -> Column:
+    return F.coalesce(
+        F.regexp_extract_all(as_column(c), F.lit(P.WORD_RUN), F.lit(0)),
+        F.array().cast("array<string>"),
+    )
 
 
 def name_candidates(c: Column | str) -> Column:
@@ -18,9 +27,54 @@ def candidate_counts(df: DataFrame, text_column: str = "text_cleaned") -> DataFr
     return exploded.groupBy("name").agg(F.count("*").alias("count"))
 
 
+def entity_mentions(
+    df: DataFrame, gazetteer: DataFrame, text_column: str = "text_cleaned"
+) -> DataFrame:
+    """``(type, name)`` of every mention: runs of words that are a name of the table.
+
+    Texts and names are compared as words, so punctuation and spacing do not matter, but case does.
+    Where names overlap, the one that starts first and then the longest wins; a name may have
+    several types. The table may have any size: runs of words are joined to it, not looked up in place.
+    """
+    name_words = F.array_join(_name_words("name"), " ").alias("_run")
+    known = gazetteer.select(name_words, "name", "type").where("_run != ''").distinct()
+    known = known.groupBy("_run").agg(F.sort_array(F.collect_set(F.struct("type", "name"))).alias("_as"))
+    known = store(known, "names")
+    longest = known.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 0
+    posts = store(
+        df.select(F.monotonically_increasing_id().alias("_row"), _name_words(text_column).alias("_w")),
+        "words",
+    )
+    runs = posts.select("_row", "_w", F.posexplode("_w").alias("_at", "_first")).select(
+        "_row", "_at", F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("_n"), "_w"
+    )
+    runs = runs.where(F.col("_at") + F.col("_n") <= F.size("_w")).select(
+        "_row", "_at", "_n", F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_run")
+    )
+    found = lookup_join(runs, known, "_run", ["_row", "_at"], "inner")
+    # Along a text: a mention counts if it starts after the last one that counted.
+    mention = F.struct("_at", (-F.col("_n")).alias("_longer"), "_as")
+    start = F.struct(
+        F.lit(0).alias("end"),
+        F.array().cast("array<array<struct<type:string,name:string>>>").alias("kept"),
+    )
+
+    def step(state: Column, m: Column) -> Column:
+        taken = F.struct(
+            (m["_at"] - m["_longer"]).alias("end"),
+            F.concat(state["kept"], F.array(m["_as"])).alias("kept"),
+        )
+        return F.when(m["_at"] >= state["end"], taken).otherwise(state)
+
+    ordered = found.groupBy("_row").agg(F.sort_array(F.collect_list(mention)).alias("_all"))
+    kept = F.aggregate("_all", start, step)["kept"]
+    return ordered.select(F.inline(F.flatten(kept))).select("type", "name")
+
+
 def entity_counts(
     df: DataFrame, gazetteer: DataFrame, text_column: str = "text_cleaned"
 ) -> DataFrame:
-    """``(type, name, count)``. Mentions are counted before the join, so it meets each name once."""
-    known = gazetteer.select("name", "type").distinct()
-    return candidate_counts(df, text_column).join(known, "name").select("type", "name", "count")
+    """``(type, name, count)`` of the mentions."""
+    return entity_mentions(df, gazetteer, text_column).groupBy("type", "name").agg(
+        F.count("*").alias("count")
+    )

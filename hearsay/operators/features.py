@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import TEXT_STATS, text_statistics, time_features
+from ..functions.stats import DATE_FORMATS, TEXT_STATS, text_statistics, time_features
 from ..functions.text import once
 from .filters import coerce_dates
 from .joins import lookup_join
@@ -24,10 +24,12 @@ def add_text_features(df: DataFrame, text_column: str = "text_cleaned") -> DataF
     return df.select("*", once(text_statistics(text_column)).alias(*names))
 
 
-def add_time_features(df: DataFrame, date_column: str = "date") -> DataFrame:
+def add_time_features(
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+) -> DataFrame:
     if date_column not in df.columns:
         return df
-    return coerce_dates(df, date_column).withColumns(time_features(date_column))
+    return coerce_dates(df, date_column, formats).withColumns(time_features(date_column))
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
@@ -101,12 +103,14 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard")
             c: found[c, 0.75] - found[c, 0.25] if (c, 0.5) in found else None for c in columns
         }
         return Scaler(method, centers, widths)
+    # NaN is no number to fit on, as in the quantiles.
+    used = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     if method == "standard":
-        parts = {c: (F.avg(c), F.stddev_pop(c)) for c in columns}
+        parts = {c: (F.avg(v), F.stddev_pop(v)) for c, v in used.items()}
     elif method == "minmax":
-        parts = {c: (F.min(c), F.max(c) - F.min(c)) for c in columns}
+        parts = {c: (F.min(v), F.max(v) - F.min(v)) for c, v in used.items()}
     else:
-        raise ValueError(f"Unsupported normalization method: {method}")
+        raise ValueError(f"no such scaling: {method!r} (standard, minmax or robust)")
     row = df.agg(
         *[part.cast("double").alias(f"{c}:{i}") for c, ps in parts.items() for i, part in enumerate(ps)]
     ).first()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import SENTIMENT_COLUMNS
-from ..functions.stats import to_datetime
+from ..functions.stats import DATE_FORMATS, to_datetime
 from ..functions.text import (
     Cleaner,
     as_column,
@@ -52,7 +53,9 @@ def clean_posts(
     return df.select(*others)
 
 
-def coerce_dates(df: DataFrame, date_column: str = "date", formats=()) -> DataFrame:
+def coerce_dates(
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+) -> DataFrame:
     """Read the date column as timestamps; values that are not dates become null."""
     parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
     return df.withColumn(date_column, parsed)
@@ -64,6 +67,7 @@ def filter_by_date(
     end_date: str | None = None,
     date_column: str = "date",
     day_column: str | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Both bounds inclusive and optional. A bare end date means its midnight.
 
@@ -71,7 +75,7 @@ def filter_by_date(
     """
     if date_column not in df.columns:
         return df
-    dated = coerce_dates(df, date_column)
+    dated = coerce_dates(df, date_column, formats)
     if start_date:
         start = F.lit(start_date).cast("timestamp_ntz")
         dated = dated.where(F.col(date_column) >= start)

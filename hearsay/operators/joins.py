@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+LEAST_SALTS = 32
+
+
+def salts_of(df: DataFrame) -> int:
+    """Parts of a hot key: as many as a shuffle has partitions, so its share of a task stays even
+    when the cluster and the data grow."""
+    return max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
 
 def fits_broadcast(
@@ -32,7 +39,7 @@ def lookup_join(
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``df`` to a table with one row per ``on``.
 
@@ -42,6 +49,7 @@ def lookup_join(
     """
     if fits_broadcast(table, max_rows, max_bytes):
         return df.join(F.broadcast(table), on, how)
+    salts = salts or salts_of(df)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.withColumn("_salt", salt).join(spread, [on, "_salt"], how).drop("_salt")

@@ -1,20 +1,71 @@
-"""Keywords by summed TF-IDF weight."""
+"""Keywords by summed TF-IDF weight, over all terms in range."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectorize import TermModel
+from ..schema import MAX_DF, MIN_DF
+from .joins import lookup_join
+from .scratch import store
+from .vectorize import Proportion, document_limit, english_stopwords, terms
+
 
+def keyword_scores(
+    df: DataFrame,
+    text_column: str = "text_cleaned",
+    ngram_range: tuple[int, int] = (1, 1),
+    min_df: Proportion = MIN_DF,
+    max_df: Proportion = MAX_DF,
+    stopwords: Sequence[str] | None = None,
+) -> DataFrame:
+    """``(term, score)``: the weight of each term over all posts, posts scaled to length 1.
 
-def keyword_scores(df: DataFrame, model: TermModel, text_column: str = "text_cleaned") -> DataFrame:
-    """``(term, score)``: the weight of each vocabulary term over all posts."""
-    entries = model.long_form(df, (), text_column)
-    return entries.groupBy("term").agg(F.sum("value").alias("score"))
+    Terms are those whose document frequency is in range, however many there are: counts and
+    frequencies stay distributed, and no vocabulary reaches the driver. Texts are read once; what is
+    kept of them is one row of term counts each.
+    """
+    stop = tuple(english_stopwords() if stopwords is None else stopwords)
+    grams = terms(text_column, ngram_range, stop)
+    posts = store(
+        df.select(F.monotonically_increasing_id().alias("_row"), grams.alias("terms")), "terms"
+    )
+    n_docs = posts.count()
+    counts = (
+        posts.select("_row", F.explode("terms").alias("term"))
+        .groupBy("_row", "term")
+        .agg(F.count("*").alias("tf"))
+    )
+    counts = store(counts, "counts")
+    frequencies = (
+        counts.groupBy("term")
+        .agg(F.count("*").alias("docs"))
+        .where(
+            (F.col("docs") >= document_limit(min_df, n_docs))
+            & (F.col("docs") <= document_limit(max_df, n_docs))
+        )
+    )
+    idf = F.log(F.lit(1 + n_docs).cast("double") / (1 + F.col("docs"))) + 1
+    idf_of = store(frequencies.select("term", idf.alias("idf")), "idf")
+    weighed = lookup_join(counts, idf_of, "term", ["_row"], "inner").select(
+        "_row", "term", (F.col("tf") * F.col("idf")).alias("w")
+    )
+    # A post's terms come together once, for its length.
+    whole = weighed.groupBy("_row").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+        F.collect_list(F.struct("term", "w")).alias("entries"),
+    )
+    return (
+        whole.select("length", F.inline("entries"))
+        .groupBy("term")
+        .agg(F.sum(F.col("w") / F.col("length")).alias("score"))
+    )
 
 
 def top_keywords(
-    df: DataFrame, model: TermModel, n: int = 20, text_column: str = "text_cleaned"
+    df: DataFrame, n: int = 20, text_column: str = "text_cleaned", **options
 ) -> DataFrame:
-    return keyword_scores(df, model, text_column).orderBy(F.desc("score"), "term").limit(n)
+    scores = keyword_scores(df, text_column, **options)
+    return scores.orderBy(F.desc("score"), "term").limit(n)

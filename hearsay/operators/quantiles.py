@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_column
+from .joins import fits_broadcast
+from .scratch import store
 
-# Bins per factor of e in magnitude. Wide enough data still gives at most a few million bins.
-BINS_PER_E = 1 << 14
+# Bins per factor of e in magnitude: under 200,000 for all doubles there are.
+BINS_PER_E = 64
+PARTS = 1024
 
 
 def _bin(v: Column) -> Column:
@@ -32,15 +35,18 @@ def exact_quantiles(
     columns: Mapping[str, Column | str],
     probs: Sequence[float],
     by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Long form ``(*by, metric, prob, value, count)`` of linearly interpolated quantiles.
 
-    1. Count values per bin; tasks combine first, so the shuffle carries bins and not rows.
-    2. Running counts over the bins say which bins hold the wanted ranks.
-    3. Only values of those bins are ranked, each inside its bin.
+    1. Values are stored once, narrow, and counted per logarithmic bin; running counts say in which
+       bin each wanted rank lies.
+    2. The values of such a bin are counted again in PARTS equal parts of the range they really
+       have, and so on, until the part with the rank holds one value only.
 
-    ``count`` is the number of values of the group. Without ``by`` the input is scanned twice and
-    little is shuffled. With ``by`` equal values are counted together first and that is read twice.
+    No values are sorted and no task sees a whole bin: each round sends at most PARTS counts of a
+    rank from each task, and a round narrows the range at least a thousandfold. ``count`` is the number of
+    values of the group; ``weight`` names a column that says how often each row counts.
     """
     items = F.array(
         *[
@@ -48,62 +54,95 @@ def exact_quantiles(
             for name, c in columns.items()
         ]
     )
-    values = (
-        df.select(*by, F.inline(items))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .select(*by, "metric", "value", _bin(F.col("value")).alias("bin"))
-    )
+    counted = (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("count")
     group = [*by, "metric"]
-
-    if by:
-        values = values.groupBy(*group, "bin", "value").agg(F.count("*").alias("count"))
-    else:
-        values = values.withColumn("count", F.lit(1).cast("bigint"))
-    bins = values.groupBy(*group, "bin").agg(F.sum("count").alias("count"))
+    values = store(
+        df.select(*by, counted, F.inline(items))
+        .where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("count") > 0))
+        .select(*group, "value", "count", _bin(F.col("value")).alias("bin")),
+        "values",
+    )
+    bins = values.groupBy(*group, "bin").agg(
+        F.sum("count").alias("count"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
     so_far = Window.partitionBy(*group).orderBy("bin")
     whole = Window.partitionBy(*group)
     bins = bins.select(
-        *group,
-        "bin",
-        "count",
+        "*",
         (F.sum("count").over(so_far) - F.col("count")).alias("before"),
         F.sum("count").over(whole).alias("n"),
     )
-    # Zero-based position of each quantile and the two ranks around it.
-    targets = bins.select(
-        "*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    ).withColumn("position", (F.col("n") - 1) * F.col("prob"))
-    low, high = F.floor("position"), F.ceil("position")
-    after = F.col("before") + F.col("count")
-    picked = targets.where((low < after) & (high >= F.col("before"))).select(
-        *group, "bin", "before", "n", "prob", "position"
+    # Zero-based position of each quantile and the ranks around it.
+    position = (F.col("n") - 1) * F.col("prob")
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    ends = F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position))))
+    state = (
+        bins.select("*", wanted.alias("prob"))
+        .select("*", position.alias("position"), ends.alias("rank"))
+        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count")))
+        .select(*group, "n", "prob", "position", "rank", "before", "low", "high")
+    )
+    state = store(state, "ranks")
+    done = state.where("low = high")
+    open_ranks = state.where("low < high")
+    while not open_ranks.isEmpty():
+        open_ranks = store(_narrowed(values, open_ranks, group), "ranks")
+        done = done.unionByName(open_ranks.where("low = high"))
+        open_ranks = open_ranks.where("low < high")
+    found = done.groupBy(*group, "prob", "position", "n").agg(
+        F.min(F.struct("rank", "low"))["low"].alias("low"),
+        F.max(F.struct("rank", "low"))["low"].alias("high"),
+    )
+    fraction = F.col("position") - F.floor("position")
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+        F.col("low") + (F.col("high") - F.col("low")) * fraction
     )
+    return found.select(*group, "prob", value.alias("value"), F.col("n").alias("count"))
+
 
-    wanted = picked.groupBy(*group, "bin", "before").agg(
-        F.collect_set(F.struct("prob", "position", "n")).alias("targets")
+def _narrowed(values: DataFrame, state: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Each rank's part of its range, with the least and greatest value in it."""
+    ranges = state.select(*group, "low", "high").distinct()
+    small = F.broadcast(ranges) if fits_broadcast(ranges) else ranges
+    inside = values.alias("v").join(
+        small.alias("w"),
+        _same(group)
+        & (F.col("v.value") >= F.col("w.low"))
+        & (F.col("v.value") <= F.col("w.high")),
     )
-    if not by:
-        # At most two bins per metric and quantile.
-        wanted = F.broadcast(wanted)
-    inside = values.alias("v").join(wanted.alias("w"), _same([*group, "bin"]), "inner")
-    distinct = inside.groupBy(
-        *[F.col(f"v.{c}").alias(c) for c in [*group, "bin", "value"]], F.col("w.before")
-    ).agg(F.sum("v.count").alias("count"), F.first("w.targets").alias("targets"))
-    in_bin = Window.partitionBy(*group, "bin").orderBy("value")
-    upto = F.sum("count").over(in_bin) + F.col("before")
-    ranked = distinct.select(*group, "value", "targets", upto.alias("upto"), "count")
-    hits = ranked.select(*group, "value", "upto", "count", F.inline("targets"))
-    first = F.col("upto") - F.col("count")
-    low, high = F.floor("position"), F.ceil("position")
-    holds_low = (low >= first) & (low < F.col("upto"))
-    holds_high = (high >= first) & (high < F.col("upto"))
-    ends = hits.groupBy(*group, "prob", "position", "n").agg(
-        F.max(F.when(holds_low, F.col("value"))).alias("low"),
-        F.max(F.when(holds_high, F.col("value"))).alias("high"),
+    # Halved, so that the width of no range overflows; the ends have parts of their own.
+    low, high, v = (F.col(c) / 2 for c in ("w.low", "w.high", "v.value"))
+    finite = F.lit(sys.float_info.max / 2)
+    low, high = F.greatest(low, -finite), F.least(high, finite)
+    inner = F.floor(F.least((v - low) / (high - low), F.lit(1.0)) * PARTS)
+    part = (
+        F.when(F.col("v.value") == F.col("w.low"), -1)
+        .when(F.col("v.value") == F.col("w.high"), PARTS + 1)
+        .otherwise(inner)
+    )
+    keys = [*group, "low", "high"]
+    parts = (
+        inside.select(
+            *[F.col(f"v.{c}").alias(c) for c in group], "w.low", "w.high", "v.value", "v.count",
+            part.cast("int").alias("part"),
+        )
+        .groupBy(*keys, "part")
+        .agg(F.sum("count").alias("count"), F.min("value").alias("least"), F.max("value").alias("most"))
+    )
+    so_far = Window.partitionBy(*keys).orderBy("part")
+    parts = parts.withColumn("offset", F.sum("count").over(so_far) - F.col("count"))
+    met = state.alias("v").join(
+        parts.alias("w"),
+        _same(keys)
+        & (F.col("v.rank") >= F.col("v.before") + F.col("w.offset"))
+        & (F.col("v.rank") < F.col("v.before") + F.col("w.offset") + F.col("w.count")),
+    )
+    return met.select(
+        *[F.col(f"v.{c}").alias(c) for c in [*group, "n", "prob", "position", "rank"]],
+        (F.col("v.before") + F.col("w.offset")).alias("before"),
+        F.col("w.least").alias("low"),
+        F.col("w.most").alias("high"),
     )
-    fraction = F.col("position") - F.floor("position")
-    value = F.col("low") + (F.col("high") - F.col("low")) * fraction
-    return ends.select(*group, "prob", value.alias("value"), F.col("n").alias("count"))
 
 
 def _same(names: Sequence[str]) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.scores import (
-    MODEL_MAX_CHARS,
     default_scores,
     hit_scores,
     normalize_scores,
@@ -24,33 +25,37 @@ from ..functions.scores import (
 from ..functions.text import bind, once
 from ..schema import MODEL_OUTPUT
 from .joins import lookup_join
+from .scratch import store
 from .vectorize import TermModel, fit_terms
 
-# A word list up to this size is tested in place as a hash set; a longer one is joined.
+# The most words that an inline word list may have.
 MAX_INLINE_WORDS = 20_000
 
 Lexicon = DataFrame | Iterable[tuple[str, object]]
 
 
-def _inline_rows(lexicon: Lexicon, names: Sequence[str]) -> list[tuple] | None:
-    """The rows of a small lexicon, or None when it has more than ``MAX_INLINE_WORDS``."""
+def _rows(lexicon: Lexicon, names: Sequence[str]) -> list[tuple]:
+    """The rows of a lexicon that is to be matched inline, lower-cased, without null words."""
     if isinstance(lexicon, DataFrame):
         rows = lexicon.select(*names).limit(MAX_INLINE_WORDS + 1).collect()
     else:
         rows = list(lexicon)
-    return [(w.lower(), x) for w, x in rows] if len(rows) <= MAX_INLINE_WORDS else None
+    if len(rows) > MAX_INLINE_WORDS:
+        raise ValueError(f"more than {MAX_INLINE_WORDS} words: use match='join'")
+    return [(w.lower(), x) for w, x in rows if w is not None and x is not None]
 
 
 def _as_table(df: DataFrame, lexicon: Lexicon, schema: str) -> DataFrame:
     table = lexicon
     if not isinstance(table, DataFrame):
         table = df.sparkSession.createDataFrame(list(table), schema)
-    return table.withColumn("word", F.lower("word"))
+    return table.withColumn("word", F.lower("word")).dropna()
 
 
 def _scored_words(text_column: str, max_chars: int | None) -> Column:
+    """Lower-cased runs of word characters, so punctuation beside a word does not hide it."""
     text = F.col(text_column) if max_chars is None else truncate(text_column, max_chars)
-    return F.split(F.lower(text), P.SPACES)
+    return F.regexp_extract_all(F.lower(text), F.lit(P.WORD_RUN), F.lit(0))
 
 
 def _known_words(tokens: Column, rows: list[tuple]) -> Column:
@@ -62,12 +67,22 @@ def _hits(tokens: Column, vocabulary: Iterable[str]) -> Column:
     wanted = sorted(set(vocabulary))
     if not wanted:
         return F.lit(0)
-    return F.size(F.filter(tokens, lambda w: w.isin(wanted)))
+    return F.coalesce(F.size(F.filter(tokens, lambda w: w.isin(wanted))), F.lit(0))
 
 
-def _word_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    exploded = df.select(key, F.explode(tokens).alias("word"))
-    return exploded.groupBy(key, "word").agg(F.count("*").alias("n"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows stored with a number of their own, so that keys may repeat, be null or be absent."""
+    return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _word_counts(df: DataFrame, tokens: Column) -> DataFrame:
+    exploded = df.select("_row", F.explode(tokens).alias("word"))
+    return exploded.groupBy("_row", "word").agg(F.count("*").alias("n"))
+
+
+def _check_match(match: str) -> None:
+    if match not in ("inline", "join"):
+        raise ValueError(f"match must be 'inline' or 'join', not {match!r}")
 
 
 def score_sentiment(
@@ -75,19 +90,22 @@ def score_sentiment(
     lexicon: Lexicon,
     text_column: str = "text_cleaned",
     max_chars: int | None = None,
-    key: str = "post_id",
+    match: str = "inline",
 ) -> DataFrame:
     """Score by a word list ``(word, polarity)``: shares of positive and negative words.
 
-    Whole texts are scored; ``max_chars`` sets the input limit of a fixed-length classifier. A word
-    list of ordinary size is matched inside each row, without any shuffle. A longer one is joined
-    on the words, and then ``key`` must be unique. Case does not matter.
+    Whole texts are scored; ``max_chars`` sets the input limit of a fixed-length classifier. Case
+    does not matter, null words are left out. ``match="inline"`` tests words inside each row, with
+    no shuffle, for lists of up to MAX_INLINE_WORDS (more is an error); ``match="join"`` takes lists
+    of any size: rows are stored with a number, counts of words are joined, and only their
+    sums meet the rows again. Both give the same scores for any rows.
     """
+    _check_match(match)
     if text_column not in df.columns:
         return df
     tokens = _scored_words(text_column, max_chars)
-    rows = _inline_rows(lexicon, ("word", "polarity"))
-    if rows is not None:
+    if match == "inline":
+        rows = _rows(lexicon, ("word", "polarity"))
         positive, negative = [w for w, p in rows if p > 0], [w for w, p in rows if p < 0]
         scores = bind(
             _known_words(tokens, rows),
@@ -95,17 +113,18 @@ def score_sentiment(
         )
         counted = df
     else:
+        numbered = _numbered(df)
         table = _as_table(df, lexicon, "word string, polarity int")
         table = table.groupBy("word").agg(
             F.count_if(F.col("polarity") > 0).cast("boolean").cast("int").alias("p"),
             F.count_if(F.col("polarity") < 0).cast("boolean").cast("int").alias("q"),
         )
-        matched = lookup_join(_word_counts(df, key, tokens), table, "word", [key], "inner")
-        hits = matched.groupBy(key).agg(
+        matched = lookup_join(_word_counts(numbered, tokens), table, "word", ["_row"], "inner")
+        hits = matched.groupBy("_row").agg(
             F.sum(F.col("n") * F.col("p")).alias("_positive"),
             F.sum(F.col("n") * F.col("q")).alias("_negative"),
         )
-        counted = df.join(hits, key, "left").fillna(0, ["_positive", "_negative"])
+        counted = numbered.join(hits, "_row", "left").fillna(0, ["_positive", "_negative"])
         scores = hit_scores(F.col("_positive"), F.col("_negative"))
     scores = unless_blank(text_column, scores)
     return counted.select(*df.columns, sentiment_columns(scores))
@@ -118,12 +137,16 @@ def score_emotion(
     output: str = "emotion",
     default: str = "NEUTRAL",
     max_chars: int | None = None,
-    key: str = "post_id",
+    match: str = "inline",
 ) -> DataFrame:
-    """The emotion with most words in the text, ties by name; ``default`` when there is none."""
+    """The emotion with most words in the text, ties by name; ``default`` when there is none.
+
+    ``match`` as for ``score_sentiment``.
+    """
+    _check_match(match)
     tokens = _scored_words(text_column, max_chars)
-    rows = _inline_rows(lexicon, ("word", "emotion"))
-    if rows is not None:
+    if match == "inline":
+        rows = _rows(lexicon, ("word", "emotion"))
         # Most hits first, then the name: the least of (-hits, name).
         classes = sorted({e for _, e in rows}) or [default]
 
@@ -140,13 +163,14 @@ def score_emotion(
 
         best, counted = F.array_min(bind(_known_words(tokens, rows), ranked)), df
     else:
+        numbered = _numbered(df)
         table = _as_table(df, lexicon, "word string, emotion string").distinct()
         table = table.groupBy("word").agg(F.collect_list("emotion").alias("emotions"))
-        matched = lookup_join(_word_counts(df, key, tokens), table, "word", [key], "inner")
-        per_class = matched.select(key, "n", F.explode("emotions").alias("emotion"))
-        per_class = per_class.groupBy(key, "emotion").agg((-F.sum("n")).alias("rank"))
-        top = per_class.groupBy(key).agg(F.min(F.struct("rank", "emotion")).alias("_best"))
-        best, counted = F.col("_best"), df.join(top, key, "left")
+        matched = lookup_join(_word_counts(numbered, tokens), table, "word", ["_row"], "inner")
+        per_class = matched.select("_row", "n", F.explode("emotions").alias("emotion"))
+        per_class = per_class.groupBy("_row", "emotion").agg((-F.sum("n")).alias("rank"))
+        top = per_class.groupBy("_row").agg(F.min(F.struct("rank", "emotion")).alias("_best"))
+        best, counted = F.col("_best"), numbered.join(top, "_row", "left")
     label = bind(best, lambda b: F.when(b["rank"] < 0, b["emotion"]).otherwise(F.lit(default)))
     return counted.select(*df.columns, once(F.struct(label.alias(output))).alias(output))
 
@@ -159,29 +183,47 @@ def score_with_model(
     model_factory: Callable[[], Model],
     text_column: str = "text_cleaned",
     batch_size: int = 32,
-    max_chars: int = MODEL_MAX_CHARS,
+    max_chars: int | None = None,
     adapt: Callable[[Column], Column] = lambda items: items,
+    failures: Accumulator | None = None,
 ) -> DataFrame:
-    """Score with any model that maps texts to lists of ``{label, score}``.
+    """Score with any model that maps texts to lists of ``{label, score}``, one for each text.
 
-    ``model_factory`` runs once per task, in the worker. ``adapt`` may rewrite the raw output, as
-    ``star_scores`` does for five-star labels.
+    ``model_factory`` runs once per Python worker. Whole texts are scored unless ``max_chars`` is
+    given. ``adapt`` may rewrite the raw output, as ``star_scores`` does for five-star labels. A text
+    on which the model fails gets the default scores and adds 1 to ``failures``; a model that
+    returns another number of results than it got texts is an error.
     """
     if text_column not in df.columns:
         return df
+    model_id = uuid.uuid4().hex
 
     # Everything a worker needs is nested here, so the function travels without the package.
+    def loaded() -> Model:
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("_hearsay_models", types.ModuleType("_hearsay_models"))
+        if model_id not in kept.__dict__:
+            setattr(kept, model_id, model_factory())
+        return getattr(kept, model_id)
+
     def score_batch(model: Model, texts: list[str]) -> list[list[dict] | None]:
         """A batch that fails is retried text by text; a text that fails has no score."""
         try:
-            return list(model(texts))
+            results = list(model(texts))
         except Exception:
-            if len(texts) == 1:
-                return [None]
-            return [score_batch(model, [t])[0] for t in texts]
+            if len(texts) > 1:
+                return [score_batch(model, [t])[0] for t in texts]
+            if failures is not None:
+                failures.add(1)
+            return [None]
+        if len(results) != len(texts):
+            raise ValueError(f"the model gave {len(results)} results for {len(texts)} texts")
+        return results
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = model_factory()
+        model = loaded()
         for texts in batches:
             found = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             filled = [i for i, t in enumerate(texts) if t is not None and t.strip()]
@@ -194,7 +236,8 @@ def score_with_model(
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     model_scores = F.pandas_udf(score, MODEL_OUTPUT)
-    raw = df.withColumn("_raw", model_scores(truncate(text_column, max_chars)))
+    text = F.col(text_column) if max_chars is None else truncate(text_column, max_chars)
+    raw = df.withColumn("_raw", model_scores(text))
     scores = F.coalesce(normalize_scores(adapt(F.col("_raw"))), default_scores())
     return raw.select(*df.columns, sentiment_columns(unless_blank(text_column, scores)))
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions.scores import SENTIMENT_COLUMNS
-from ..functions.stats import to_datetime
-from ..functions.text import words
+from ..functions.stats import DATE_FORMATS, to_datetime
 from ..schema import SENTIMENT_LABELS
 from .quantiles import exact_quantiles
+from .scratch import store
 from .topn import first_per_group
 
 LABEL = SENTIMENT_COLUMNS["label"]
@@ -59,7 +60,12 @@ def distinct_values(df: DataFrame, column: str = LABEL) -> DataFrame:
 
 
 def sentiment_statistics(df: DataFrame) -> DataFrame:
-    """One row: size, mean of each score, and mean, median and sample deviation of confidence."""
+    """One row: size, mean of each score, and mean, median and sample deviation of confidence.
+
+    The score columns alone are stored first, so posts are scored once.
+    """
+    columns = [SENTIMENT_COLUMNS[c] for c in SENTIMENT_COLUMNS if c != "label"]
+    df = store(df.select(*columns), "scores")
     averages = df.agg(
         F.count("*").alias("total_posts"),
         F.avg(SENTIMENT_COLUMNS["positive_score"]).alias("avg_positive"),
@@ -110,8 +116,16 @@ def _label_counts(labels: Sequence[str], column: str) -> list[Column]:
     return [F.count_if(F.col(column) == name).alias(name) for name in labels]
 
 
-def _bucketed(df: DataFrame, date_column: str, period: str, label: str) -> DataFrame:
-    parsed = to_datetime(date_column, df.schema[date_column].dataType)
+def _all_labels(df: DataFrame) -> list[str]:
+    """The usual labels, then all others found; labels are classes, so they are few."""
+    found = distinct_values(df.where(F.col(LABEL).isNotNull())).collect()
+    return [*SENTIMENT_LABELS, *sorted({r[0] for r in found} - set(SENTIMENT_LABELS))]
+
+
+def _bucketed(
+    df: DataFrame, date_column: str, period: str, label: str, formats: Sequence[str]
+) -> DataFrame:
+    parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
     bucketed = df.where(F.col(LABEL).isNotNull()).select(
         time_bucket(parsed, period, label).alias("bucket"), LABEL
     )
@@ -122,36 +136,45 @@ def sentiment_trends(
     df: DataFrame,
     date_column: str = "date",
     period: str = "D",
-    labels: Sequence[str] = SENTIMENT_LABELS,
+    labels: Sequence[str] | None = None,
     label: str = "end",
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Percentage of each label per time bucket, of all labelled posts in it.
 
-    Only buckets with posts appear. The labels are listed, so the columns are fixed and one
-    aggregation is enough.
+    Only buckets with posts appear. Without ``labels`` every label found has a column (one small
+    job finds them); with them the columns are fixed and one aggregation is enough.
     """
-    counts = _bucketed(df, date_column, period, label).groupBy("bucket").agg(
+    labels = _all_labels(df) if labels is None else labels
+    counts = _bucketed(df, date_column, period, label, formats).groupBy("bucket").agg(
         *_label_counts(labels, LABEL), F.count("*").alias("_all")
     )
     percents = [(F.col(n) / F.col("_all") * 100).alias(n) for n in labels]
     return counts.select("bucket", *percents)
 
 
-def sentiment_timeline(df: DataFrame, date_column: str = "date") -> DataFrame:
+def sentiment_timeline(
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+) -> DataFrame:
     """Posts per day and label, in long form."""
-    days = _bucketed(df, date_column, "D", "start")
+    days = _bucketed(df, date_column, "D", "start", formats)
     return days.groupBy("bucket", LABEL).agg(F.count("*").alias("count"))
 
 
 def sentiment_timeline_wide(
-    df: DataFrame, date_column: str = "date", labels: Sequence[str] = SENTIMENT_LABELS
+    df: DataFrame,
+    date_column: str = "date",
+    labels: Sequence[str] | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
-    days = _bucketed(df, date_column, "D", "start")
+    """Posts per day with a column for each label, by default for every label found."""
+    labels = _all_labels(df) if labels is None else labels
+    days = _bucketed(df, date_column, "D", "start", formats)
     return days.groupBy("bucket").agg(*_label_counts(labels, LABEL))
 
 
 def _explode_words(df: DataFrame, text_column: str, stopwords: Sequence[str], *keep: str) -> DataFrame:
-    tokens = words(F.lower(text_column))
+    tokens = F.regexp_extract_all(F.lower(text_column), F.lit(P.WORD_RUN), F.lit(0))
     if stopwords:
         stop = sorted(set(stopwords))
         tokens = F.filter(tokens, lambda w: ~w.isin(stop))

@@ -49,14 +49,18 @@ def fit_topics(
     k: int = NUM_TOPICS,
     max_iter: int = 20,
     seed: int = RANDOM_SEED,
+    subsampling_rate: float = 1.0,
     **term_options,
 ) -> TopicModel:
+    """Every iteration reads all texts; a lower ``subsampling_rate`` reads that share, drawn anew
+    each time, which is faster and may miss texts altogether."""
     terms = fit_counts(df.select(text_column), text_column, **term_options)
     vectors = terms.transform(df.select(text_column), text_column, "_features")
     lda = LDA(
         k=k,
         seed=seed,
         maxIter=max_iter,
+        subsamplingRate=subsampling_rate,
         featuresCol="_features",
         topicDistributionCol="topic_weights",
     )

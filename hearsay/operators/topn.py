@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import SALTS
+from .joins import salts_of
 
 # Slices of the hash space in a sample: 16 ** HEX_DIGITS of them.
 HEX_DIGITS = 5
@@ -16,28 +16,36 @@ HEX_DIGITS = 5
 def first_per_group(
     df: DataFrame,
     group: str,
-    order_by: Sequence[Column],
+    order_by: Sequence[Column | str],
     n: int,
     salt_by: Sequence[str],
-    salts: int = SALTS,
+    salts: int | None = None,
     rank_as: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of each group, and optionally their rank.
+    """The first ``n`` rows of each group, and optionally their rank; ``keep`` names the columns
+    that are wanted of them.
 
     ``order_by`` should be a total order.
 
     Rows are ranked within salted parts of a group first, and then only the first ``n`` of each
     part within the group. A hot group is thereby shared by ``salts`` tasks, and none receives
-    what all scan tasks have kept of it.
+    what all scan tasks have kept of it. Tasks drop what cannot be among the first ``n`` before
+    they send rows; Spark does so up to a threshold, which is raised here for a larger ``n``.
     """
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n > int(df.sparkSession.conf.get(limit)):
+        df.sparkSession.conf.set(limit, n)
 
     def ranked(frame: DataFrame, *keys: str) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order_by)
         return frame.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
 
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts or salts_of(df)))
     parts = ranked(df.withColumn("_salt", salt), group, "_salt").drop("_salt", "_rank")
     first = ranked(parts, group)
+    if keep is not None:
+        first = first.select(*keep, "_rank")
     return first.withColumnRenamed("_rank", rank_as) if rank_as else first.drop("_rank")
 
 

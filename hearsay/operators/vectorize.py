@@ -28,9 +28,8 @@ from ..functions.stats import TEXT_STATS, TIME_FEATURES
 from ..functions.text import as_column, bind
 from ..schema import MAX_DF, MAX_FEATURES, MIN_DF
 from .features import add_text_features, add_time_features
-from .joins import lookup_join
-
-MAX_LITERAL_NAMES = 5000
+from .quantiles import exact_quantiles
+from .scratch import store
 
 Proportion = int | float
 
@@ -107,16 +106,14 @@ class TermModel:
 
 
 def name_entries(entries: DataFrame, names: Sequence[str], output: str) -> DataFrame:
-    """Add the name at each ``index``: from a literal array, or a table when that would be long.
+    """Add the name at each ``index``.
 
-    Either way there are as many names as vector positions, which ``max_features`` bounds.
+    The table of names is broadcast: it has as many rows as the vectors have positions, which
+    ``max_features`` bounds, and comes from the driver anyway.
     """
-    if len(names) <= MAX_LITERAL_NAMES:
-        literal = F.array(*[F.lit(n) for n in names])
-        return entries.withColumn(output, F.get(literal, F.col("index")))
     schema = f"index int, {output} string"
     table = entries.sparkSession.createDataFrame(list(enumerate(names)), schema)
-    return lookup_join(entries, table, "index", ["index", "value"], "inner")
+    return entries.join(F.broadcast(table), "index")
 
 
 def explode_vector(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -126,7 +123,7 @@ def explode_vector(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     return df.select(*keys, F.inline(entries).alias("index", "value"))
 
 
-def _document_limit(limit: Proportion, n_docs: int) -> float:
+def document_limit(limit: Proportion, n_docs: int) -> float:
     return limit * n_docs if isinstance(limit, float) else limit
 
 
@@ -159,8 +156,8 @@ def fit_terms(
         return F.transform(t, entry)
 
     n_docs = df.count()
-    in_range = (F.col("docs") >= _document_limit(min_df, n_docs)) & (
-        F.col("docs") <= _document_limit(max_df, n_docs)
+    in_range = (F.col("docs") >= document_limit(min_df, n_docs)) & (
+        F.col("docs") <= document_limit(max_df, n_docs)
     )
     entries = bind(F.sort_array(terms(text_column, ngram_range, stop)), flagged)
     chosen = (
@@ -259,3 +256,95 @@ sentiment_features = partial(feature_matrix, include_temporal=False, vectorizer_
 topic_features = partial(
     feature_matrix, include_text_stats=False, include_temporal=False, vectorizer_type="count"
 )
+
+
+@dataclass(frozen=True)
+class MatrixScaler:
+    """Centre and width of every position of a feature matrix.
+
+    An entry that is not stored is 0; once scaled it is ``zeros[position]``, so a scaled matrix needs
+    no dense rows.
+    """
+
+    names: tuple[str, ...]
+    centers: tuple[float, ...]
+    widths: tuple[float, ...]
+
+    @property
+    def zeros(self) -> tuple[float, ...]:
+        return tuple(-c / w for c, w in zip(self.centers, self.widths))
+
+    def long_form(self, matrix: FeatureMatrix, keys: Sequence[str]) -> DataFrame:
+        """``(*keys, feature, value)``, scaled, for the entries that were not zero."""
+        table = matrix.frame.sparkSession.createDataFrame(
+            list(zip(self.names, self.centers, self.widths)), "feature string, c double, w double"
+        )
+        # One row a position, as in name_entries.
+        scaled = ((F.col("value") - F.col("c")) / F.col("w")).alias("value")
+        entries = matrix.long_form(keys).join(F.broadcast(table), "feature")
+        return entries.select(*keys, "feature", scaled)
+
+
+def fit_matrix_scaler(matrix: FeatureMatrix, method: str = "standard") -> MatrixScaler:
+    """Standard, minmax or robust scaling of every position, zeros counted, NaN left out.
+
+    Statistics come from the stored entries; what reaches the driver is one row a position.
+    """
+    entries = store(
+        matrix.frame.select(_sparse_parts("features").alias("_parts"))
+        .select(
+            F.inline(
+                F.arrays_zip(
+                    F.col("_parts.indices").alias("index"), F.col("_parts.values").alias("value")
+                )
+            )
+        )
+        .where("value != 0"),
+        "entries",
+    )
+    total = matrix.frame.count()
+    number = F.nanvl("value", F.lit(None).cast("double"))
+    stats = {
+        r["index"]: r
+        for r in entries.groupBy("index")
+        .agg(
+            F.count(number).alias("n"),
+            F.count_if(F.isnan("value")).alias("nan"),
+            F.sum(number).alias("sum"),
+            F.avg(number).alias("avg"),
+            F.var_pop(number).alias("var"),
+            F.min(number).alias("min"),
+            F.max(number).alias("max"),
+        )
+        .collect()
+    }
+    zeros = {i: total - r["n"] - r["nan"] for i, r in stats.items()}
+    centers, widths = [0.0] * len(matrix.names), [0.0] * len(matrix.names)
+    if method == "robust":
+        rest = entries.sparkSession.createDataFrame(
+            [(i, 0.0, n) for i, n in zeros.items()], "index int, value double, times bigint"
+        )
+        weighed = entries.withColumn("times", F.lit(1).cast("bigint")).unionByName(rest)
+        found = exact_quantiles(
+            weighed, {"v": "value"}, (0.25, 0.5, 0.75), by=("index",), weight="times"
+        )
+        quantiles = {(r["index"], r["prob"]): r["value"] for r in found.collect()}
+        for i in {i for i, _ in quantiles}:
+            centers[i] = quantiles[i, 0.5]
+            widths[i] = quantiles[i, 0.75] - quantiles[i, 0.25]
+    elif method in ("standard", "minmax"):
+        for i, r in stats.items():
+            n = r["n"] + zeros[i]
+            if not r["n"]:
+                continue
+            if method == "standard":
+                share = r["n"] / n
+                centers[i] = r["sum"] / n
+                # Spread of the stored entries, and that between them and the zeros.
+                widths[i] = math.sqrt(share * (r["var"] + (1 - share) * r["avg"] ** 2))
+            else:
+                ends = [r["min"], r["max"], *([0.0] if zeros[i] else [])]
+                centers[i], widths[i] = min(ends), max(ends) - min(ends)
+    else:
+        raise ValueError(f"no such scaling: {method!r} (standard, minmax or robust)")
+    return MatrixScaler(matrix.names, tuple(centers), tuple(w or 1.0 for w in widths))

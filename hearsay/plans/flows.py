@@ -37,7 +37,8 @@ def collect(
     order = [*newest_first, F.col(key)]
     tagged = hashtag_quota(tag_posts(posts, tags), order, total, tags, (key,))
     position = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("source_hashtag"))
-    return dedup_posts(tagged, (position, key)).where(is_not_blank("text"))
+    unique = (key, "source_hashtag")
+    return dedup_posts(tagged, (position,), key=unique).where(is_not_blank("text"))
 
 
 def preprocess(posts: DataFrame, cleaner: Cleaner = moderate_clean) -> DataFrame:

@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import to_datetime
-from ..schema import POST
+from ..schema import POST, REQUIRED_COLUMNS
 
 # One quoted file with embedded line breaks is read by one task, so files are kept to this many rows.
 CSV_ROWS_PER_FILE = 250_000
 
 
-def read_parquet(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A Parquet table. One read by fewer tasks than there are cores is spread over all of them.
-
-    That is the case for small files only, which cannot be split inside a row group; on anything
-    larger the scan itself is parallel enough and nothing is shuffled.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
-    return df
-
-
 def write_by_day(df: DataFrame, path: str, date_column: str = "date", day_column: str = "day") -> None:
     """Parquet in one folder per day, so that a date filter reads only its days.
 
@@ -38,18 +26,41 @@ def write_by_day(df: DataFrame, path: str, date_column: str = "date", day_column
     dated.write.mode("overwrite").partitionBy(day_column).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = POST) -> DataFrame:
-    """Quoted CSV with a header; quoted fields may hold line breaks, empty fields are null."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = POST,
+    required: Sequence[str] = REQUIRED_COLUMNS,
+    multi_line: bool = True,
+) -> DataFrame:
+    """Quoted CSV with a header, read by column name; empty fields are null.
+
+    Columns of ``schema`` take its types, in its order, and are null where the file lacks them; other
+    columns follow as text. A missing ``required`` column is an error, and so is a file whose header
+    differs from the first one's. ``multi_line`` lets quoted fields hold line breaks, but then a file
+    is read by one task: turn it off for large files known to have none.
+    """
+    table = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("lineSep", "\n")
         .option("nullValue", "")
+        .option("mode", "FAILFAST")
         .csv(path)
     )
+    missing = [c for c in required if c not in table.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    known = [
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in table.columns
+         else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema
+    ]
+    others = [F.col(f"`{c}`") for c in table.columns if c not in schema.fieldNames()]
+    return table.select(*known, *others)
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_ROWS_PER_FILE) -> None:
@@ -67,8 +78,12 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_ROWS_PER_FILE)
     )
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType = POST) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType = POST, mode: str = "FAILFAST"
+) -> DataFrame:
+    """One JSON object per line. A line that is none fails the read; ``mode="PERMISSIVE"`` reads it
+    as nulls and ``"DROPMALFORMED"`` leaves it out."""
+    return spark.read.schema(schema).option("mode", mode).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -91,7 +106,7 @@ def load_or_create(
         if not table.isEmpty():
             return table
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     if create is None:
         return spark.createDataFrame([], schema)

@@ -13,10 +13,12 @@ from ..functions.text import as_column, is_not_blank
 from ..operators.dedup import dedup_posts
 from ..operators.topn import first_per_group
 from ..schema import DEFAULT_HASHTAGS, DEFAULT_MAX_POSTS, RAW_POST
+from .files import read_json
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_POST).json(path)
+def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """Nested records, one JSON object per line; see ``read_json`` for ``mode``."""
+    return read_json(spark, path, RAW_POST, mode)
 
 
 def flatten_posts(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +90,12 @@ def tag_posts(df: DataFrame, tags: Sequence[str], text_column: str = "text") ->
     return df.drop("source_hashtag").select("*", found.alias("source_hashtag"))
 
 
-def collect_posts(raw: DataFrame, order_by: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
-    """Flatten, keep the first row of each text, drop blank texts."""
-    posts = dedup_posts(flatten_posts(raw, keep), order_by)
+def collect_posts(
+    raw: DataFrame,
+    order_by: Sequence[Column | str],
+    keep: Sequence[str] = ("post_id",),
+    key: str | Sequence[str] = "post_id",
+) -> DataFrame:
+    """Flatten, keep the first row of each text, drop blank texts. ``key`` must be among ``keep``."""
+    posts = dedup_posts(flatten_posts(raw, keep), order_by, key=key)
     return posts.where(is_not_blank("text"))

@@ -105,6 +105,65 @@ def test_scalers(spark):
         features.fit_scaler(df, ["x"], "other")
 
 
+def test_crowded_values_are_not_sorted_in_one_task(spark):
+    """Distinct values packed into one logarithmic bin: still exact, and by several rounds."""
+    rng = np.random.default_rng(8)
+    values = 1 - rng.random(20_000) * 1e-6
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    probs = (0.01, 0.5, 0.75)
+    got = exact_quantiles(df, {"v": "v"}, probs).collect()
+    assert {r["prob"]: r["value"] for r in got} == pytest.approx(
+        {p: float(np.quantile(values, p)) for p in probs}, rel=1e-15
+    )
+
+
+def test_infinite_and_weighted_values(spark):
+    rows = [(math.inf, 1), (-math.inf, 1), (1.0, 3), (2.0, 0), (5.0, 2), (math.nan, 9), (None, 9)]
+    df = spark.createDataFrame(rows, "v double, times bigint")
+    got = exact_quantiles(df, {"v": "v"}, (0.0, 0.5, 1.0), weight="times").collect()
+    assert {r["prob"]: r["value"] for r in got} == {0.0: -math.inf, 0.5: 1.0, 1.0: math.inf}
+    assert {r["count"] for r in got} == {7}
+
+
+def test_scalers_leave_nan_out(spark):
+    values = [1.0, 2.0, 4.0, math.nan]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = np.array(values[:3])
+    wanted = {
+        "standard": (known - known.mean()) / known.std(),
+        "minmax": (known - 1) / 3,
+        "robust": (known - 2) / 1.5,
+    }
+    for method, want in wanted.items():
+        got = features.fit_scaler(df, ["x"], method).transform(df).where("NOT isnan(x)")
+        assert [r["x_scaled"] for r in got.orderBy("x").collect()] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("method", ["standard", "minmax", "robust"])
+def test_matrix_scaling(spark, method):
+    rows = [(1, "good dog. bad DOG!"), (2, "good dog"), (3, "old cat, good cat"), (4, "x y z")]
+    df = spark.createDataFrame(rows, "post_id bigint, text_cleaned string")
+    matrix = vec.sentiment_features(df, min_df=1, max_df=1.0, stopwords=())
+    dense = {
+        r["post_id"]: r["v"]
+        for r in matrix.frame.select("post_id", vector_to_array("features").alias("v")).collect()
+    }
+    x = np.array([dense[i] for i in sorted(dense)])
+    q1, q2, q3 = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+    center, width = {
+        "standard": (x.mean(0), x.std(0)),
+        "minmax": (x.min(0), np.ptp(x, axis=0)),
+        "robust": (q2, q3 - q1),
+    }[method]
+    want = (x - center) / np.where(width < 1e-12, 1, width)
+    scaler = vec.fit_matrix_scaler(matrix, method)
+    got = np.tile(scaler.zeros, (len(x), 1))
+    place = {n: i for i, n in enumerate(matrix.names)}
+    for r in scaler.long_form(matrix, ["post_id"]).collect():
+        got[r["post_id"] - 1, place[r["feature"]]] = r["value"]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 DOCS = [
     "the cat sat on the mat",
     "The CAT ate; the dog sat!",
@@ -168,14 +227,6 @@ def test_terms_match_brute_force(spark, ngrams, max_features, min_df, max_df, tf
     assert got == pytest.approx(want)
 
 
-def test_long_vocabularies_are_named_by_a_join(spark, monkeypatch):
-    df = spark.createDataFrame(list(enumerate(DOCS)), "id bigint, text_cleaned string")
-    model = vec.fit_tfidf(df, min_df=1, max_df=1.0)
-    short = model.long_form(df, ["id"]).collect()
-    monkeypatch.setattr(vec, "MAX_LITERAL_NAMES", 0)
-    assert sorted(model.long_form(df, ["id"]).collect()) == sorted(short)
-
-
 def test_default_stopwords_and_empty_vocabulary(spark):
     df = spark.createDataFrame([(1, "the the and"), (2, "the and")], "id bigint, text_cleaned string")
     with pytest.raises(ValueError):
@@ -203,12 +254,12 @@ def test_feature_matrix_positions(spark):
 
 def test_keywords(spark):
     df = spark.createDataFrame(list(enumerate(DOCS)), "id bigint, text_cleaned string")
-    model = vec.fit_tfidf(df, ngram_range=(1, 1), min_df=1, max_df=1.0, stopwords=BASIC_STOPWORDS)
+    options = {"min_df": 1, "max_df": 1.0, "stopwords": BASIC_STOPWORDS}
     want = Counter()
     for (_, term), w in brute_force(DOCS, (1, 1), 1000, 1, 1.0, BASIC_STOPWORDS, True).items():
         want[term] += w
-    assert {r["term"]: r["score"] for r in keyword_scores(df, model).collect()} == pytest.approx(want)
-    top = [r["term"] for r in top_keywords(df, model, 3).collect()]
+    assert {r["term"]: r["score"] for r in keyword_scores(df, **options).collect()} == pytest.approx(want)
+    top = [r["term"] for r in top_keywords(df, 3, **options).collect()]
     assert top == sorted(want, key=lambda t: (-want[t], t))[:3]
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hearsay.operators import filters, topn
 from hearsay.operators.dedup import dedup_posts
+from hearsay.operators.entities import entity_counts
+from hearsay.operators.filters import coerce_dates
 from hearsay.operators.joins import fits_broadcast, lookup_join
 from hearsay.operators.scratch import new_path, shared_dir
 from hearsay.operators.topn import first_per_group, sample_rows
@@ -70,15 +72,97 @@ def test_configured_folder_is_used():
             getCheckpointDir = staticmethod(lambda: None)
 
     assert shared_dir(Session) == "/some/shared/folder"
-    assert new_path(Session, "x").startswith("/some/shared/folder/x-")
 
 
-def test_small_file_is_spread_by_key(spark):
-    path = new_path(spark, "parquet")
-    spark.range(100).coalesce(1).write.parquet(path)
-    spread = files.read_parquet(spark, path, spread_by="id")
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert files.read_parquet(spark, path).rdd.getNumPartitions() == 1
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def test_csv_goes_by_name(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_text('url,extra,text,date,user,likes\nu1,e1,"a, b",2024-01-01,me,3\nu2,,x,d,you,many\n')
+    got = files.read_csv(spark, str(path))
+    assert got.columns == [*POST.fieldNames(), "extra"]
+    first, second = got.orderBy("url").collect()
+    assert (first["text"], first["likes"], first["url"], first["extra"]) == ("a, b", 3, "u1", "e1")
+    assert (second["likes"], second["extra"], second["username"]) == (None, None, None)
+    path.write_text("url,date,user\nu,d,me\n")
+    with pytest.raises(ValueError, match="text"):
+        files.read_csv(spark, str(path))
+
+
+def test_csv_without_line_breaks_can_be_split(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_text("text,date,user\na,b,c\n")
+    assert files.read_csv(spark, str(path), multi_line=False).first()["text"] == "a"
+
+
+def test_bad_json_lines_are_not_hidden(spark, tmp_path):
+    path = tmp_path / "posts.json"
+    path.write_text('{"text": "a"}\n{"text": \n')
+    with pytest.raises(Exception):
+        files.read_json(spark, str(path)).collect()
+    with pytest.raises(Exception):
+        src.read_raw(spark, str(path)).collect()
+    kept = src.read_raw(spark, str(path), mode="DROPMALFORMED").collect()
+    assert [r["text"] for r in kept] == ["a"]
+
+
+def test_dedup_takes_any_order(spark):
+    rows = [(1, "a", 5), (2, "a", 9), (3, "a", 9), (4, None, 1), (5, None, 2), (6, "b", 0)]
+    df = spark.createDataFrame(rows, "post_id bigint, text string, n int").repartition(3)
+    newest = dedup_posts(df, [F.desc("n")])
+    assert newest.columns == df.columns
+    assert sorted(r["post_id"] for r in newest.collect()) == [2, 5, 6]
+    assert sorted(r["post_id"] for r in dedup_posts(df, []).collect()) == [1, 4, 6]
+
+
+def test_large_quota_is_still_trimmed_early(spark):
+    df = spark.range(20_000).select(F.col("id").alias("post_id"), F.concat(F.lit("t"), F.col("id") % 2).alias("source_hashtag"))
+    taken = src.hashtag_quota(df, [F.col("post_id")], 10_000, ["t0", "t1"])
+    assert taken.count() == 10_000
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Jan 5, 2024", "2024-01-05 00:00:00"),
+        ("01/05/2024", "2024-01-05 00:00:00"),
+        ("Mon, 01 Jan 2024 10:00:00 +0200", "2024-01-01 08:00:00"),
+        ("Mar 31, 2023 · 5:23 PM UTC", "2023-03-31 17:23:00"),
+        ("2024-01-31T23:00:00-08:00", "2024-02-01 07:00:00"),
+        ("2024-01-31T23:00:00Z", "2024-01-31 23:00:00"),
+        ("2024-01-31 23:00:00.25+01:00", "2024-01-31 22:00:00.250000"),
+        ("2024-01-31", "2024-01-31 00:00:00"),
+        ("garbage", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_everyday_dates(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "date string")
+    got = coerce_dates(df).first()["date"]
+    assert (None if got is None else str(got)) == expected
+
+
+def test_names_are_found_by_words(spark):
+    text = "Yesterday Amazon and IBM cut jobs, PayPal and LinkedIn too. Amazon again; amazon, New York Times"
+    names = ["Amazon", "IBM", "PayPal", "LinkedIn", "New York", "New York Times", "York"]
+    table = spark.createDataFrame([(n, "ORG") for n in names], "name string, type string")
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text_cleaned string")
+    got = {r["name"]: r["count"] for r in entity_counts(df, table).collect()}
+    assert got == {"Amazon": 2, "IBM": 1, "PayPal": 1, "LinkedIn": 1, "New York Times": 1}
+    assert entity_counts(df, table.limit(0)).count() == 0
 
 
 def test_flatten_defaults(spark):

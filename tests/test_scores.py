@@ -72,26 +72,50 @@ def assert_scores(df, expected):
         assert got[1:] == pytest.approx(want[1:])
 
 
-@pytest.mark.parametrize("inline_words", [20_000, 2])
+@pytest.mark.parametrize("match", ["inline", "join"])
 @pytest.mark.parametrize("as_frame", [True, False])
-def test_word_list_inline_and_joined_agree(spark, posts, monkeypatch, inline_words, as_frame):
-    monkeypatch.setattr(sent, "MAX_INLINE_WORDS", inline_words)
-    lexicon = spark.createDataFrame(LEXICON, "word string, polarity int") if as_frame else LEXICON
-    scored = sent.score_sentiment(posts, lexicon)
+def test_word_list_inline_and_joined_agree(spark, posts, match, as_frame):
+    words = [*LEXICON, (None, 1)]
+    lexicon = spark.createDataFrame(words, "word string, polarity int") if as_frame else words
+    scored = sent.score_sentiment(posts, lexicon, match=match)
     assert scored.columns == [*posts.columns, *COLUMNS]
     assert_scores(scored, EXPECTED)
 
 
-@pytest.mark.parametrize("inline_words", [20_000, 2])
-def test_emotions_inline_and_joined_agree(posts, monkeypatch, inline_words):
-    monkeypatch.setattr(sent, "MAX_INLINE_WORDS", inline_words)
+@pytest.mark.parametrize("match", ["inline", "join"])
+def test_emotions_inline_and_joined_agree(posts, match):
     lexicon = [("good", "JOY"), ("bad", "FEAR"), ("odd", "JOY"), ("odd", "FEAR"), ("day", "FEAR")]
-    got = sent.score_emotion(posts, lexicon).orderBy("post_id").collect()
+    got = sent.score_emotion(posts, lexicon, match=match).orderBy("post_id").collect()
     assert [r["emotion"] for r in got] == [
         "JOY", "FEAR", "NEUTRAL", "NEUTRAL", "NEUTRAL", "NEUTRAL", "FEAR", "JOY"
     ]
 
 
+def test_both_matches_agree_for_repeated_null_and_absent_keys(spark):
+    rows = [(1, "good day"), (1, "bad, bad good!"), (None, "good"), (None, "(bad)")]
+    keyed = spark.createDataFrame(rows, "post_id bigint, text_cleaned string")
+    for df in (keyed, keyed.drop("post_id")):
+        inline, joined = (
+            sorted(map(str, sent.score_sentiment(df, LEXICON, match=m).collect()))
+            for m in ("inline", "join")
+        )
+        assert inline == joined and len(inline) == 4
+        moods = [("good", "JOY"), ("bad", "FEAR")]
+        inline, joined = (
+            sorted(map(str, sent.score_emotion(df, moods, match=m).collect()))
+            for m in ("inline", "join")
+        )
+        assert inline == joined and sum("FEAR" in r for r in inline) == 2
+
+
+def test_long_word_lists_are_no_silent_switch(posts, monkeypatch):
+    monkeypatch.setattr(sent, "MAX_INLINE_WORDS", 2)
+    with pytest.raises(ValueError, match="join"):
+        sent.score_sentiment(posts, LEXICON)
+    with pytest.raises(ValueError):
+        sent.score_sentiment(posts, LEXICON, match="other")
+
+
 def test_empty_word_lists_give_defaults(posts):
     assert_scores(sent.score_sentiment(posts, []), [DEFAULT] * len(TEXTS))
     assert {r["emotion"] for r in sent.score_emotion(posts, []).collect()} == {"NEUTRAL"}
@@ -122,13 +146,35 @@ def test_model_gets_batches_and_failures_are_neutral(posts):
     assert_scores(scored, [good, DEFAULT, good, DEFAULT, DEFAULT, DEFAULT, DEFAULT, good])
 
 
-def test_model_sees_at_most_512_characters(spark):
+def test_model_sees_whole_texts_unless_limited(spark):
     df = spark.createDataFrame([(1, "a" * 600)], "post_id bigint, text_cleaned string")
 
     def factory():
         return lambda texts: [[{"label": str(len(t)), "score": 1.0}] for t in texts]
 
-    assert sent.score_with_model(df, factory).first()["sentiment_label"] == "512"
+    assert sent.score_with_model(df, factory).first()["sentiment_label"] == "600"
+    assert sent.score_with_model(df, factory, max_chars=512).first()["sentiment_label"] == "512"
+
+
+def test_model_with_too_few_results_is_an_error(posts):
+    def factory():
+        return lambda texts: [[{"label": "pos", "score": 1.0}]]
+
+    with pytest.raises(Exception, match="results for"):
+        sent.score_with_model(posts.coalesce(1), factory).collect()
+
+
+def test_failures_are_counted(spark, posts):
+    def factory():
+        def model(texts):
+            raise RuntimeError
+
+        return model
+
+    failures = spark.sparkContext.accumulator(0)
+    scored = sent.score_with_model(posts, factory, failures=failures).collect()
+    filled = sum(bool(r["text_cleaned"] and r["text_cleaned"].strip()) for r in scored)
+    assert failures.value == filled > 0
 
 
 def test_missing_column_returns_input(posts):

@@ -87,9 +87,9 @@ def test_timelines_agree(scored):
     long = summary.sentiment_timeline(df).collect()
     assert sum(r["count"] for r in long) == pdf.dropna(subset=["date", "sentiment_label"]).shape[0]
     wide = {r["bucket"]: r for r in summary.sentiment_timeline_wide(df).collect()}
+    assert "1 STAR" in summary.sentiment_trends(df).columns
     for r in long:
-        if r["sentiment_label"] != "1 STAR":
-            assert wide[r["bucket"]][r["sentiment_label"]] == r["count"]
+        assert wide[r["bucket"]][r["sentiment_label"]] == r["count"]
 
 
 def test_top_words(scored):

@@ -44,6 +44,15 @@ FLAT_ITEMS = (V.DATED, V.NOISY_DATED, FLAT_NOISY)
 
 for name in ("csv_roundtrip", "json_roundtrip", "load_or_create"):
     register(name, f"SELECT {FLAT} FROM flat", *FLAT_ITEMS)
+register(
+    "csv_reordered",
+    """SELECT text, date, "user", NULL::VARCHAR AS username, likes, NULL::BIGINT AS retweets,
+      NULL::BIGINT AS replies, NULL::VARCHAR AS source_hashtag, url FROM flat""",
+    *FLAT_ITEMS,
+)
+register(
+    "csv_extra_columns", f"SELECT {FLAT}, lower(text) AS text_cleaned FROM flat", *FLAT_ITEMS
+)
 register("flatten_posts", f"SELECT {FLAT} FROM raw", *FLAT_ITEMS, RAW)
 register(
     "collect_raw",
@@ -76,6 +85,22 @@ register(
 )
 
 
+register(
+    "preset_posts",
+    """SELECT post_id, date, CASE source_hashtag WHEN 'src0' THEN 'layoffs' WHEN 'src1' THEN 'jobcuts'
+      ELSE 'recession' END AS source_hashtag
+    FROM dated WHERE source_hashtag IN ('src0', 'src1', 'src2')
+    QUALIFY row_number() OVER (PARTITION BY source_hashtag ORDER BY date DESC, post_id) <= 20""",
+    V.DATED,
+)
+register(
+    "hashtag_quota_large",
+    f"""SELECT post_id, source_hashtag, date FROM dated WHERE source_hashtag IN {TAG_LIST}
+    QUALIFY row_number() OVER (PARTITION BY source_hashtag ORDER BY date DESC, post_id) <= 5000""",
+    V.DATED,
+)
+
+
 def collected(tags: tuple[str, ...], per_tag: int) -> str:
     """WITH item ``collected``: quota per tag, then the first row of each text."""
     values = ", ".join(f"('{t}', {i})" for i, t in enumerate(tags))
@@ -102,12 +127,27 @@ register(
     f"""SELECT * FROM posts WHERE {Q.is_not_blank('text')}
     QUALIFY row_number() OVER (PARTITION BY text ORDER BY post_id) = 1""",
 )
+register(
+    "dedup_newest",
+    f"""SELECT post_id, text, date FROM dated WHERE {Q.is_not_blank('text')}
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY date DESC, post_id) = 1""",
+    V.DATED,
+)
 register(
     "sample_posts",
     "SELECT post_id, text FROM posts ORDER BY md5(concat(post_id, '42')), post_id LIMIT 100",
 )
 PARSED = "parsed AS (SELECT post_id, TRY_CAST(date AS TIMESTAMP) AS date FROM text_dates)"
 register("coerce_dates", "SELECT * FROM parsed", V.DATED, V.TEXT_DATES, PARSED)
+register(
+    "coerce_dates_mixed",
+    """SELECT post_id, CASE lang
+      WHEN 'en' THEN date_trunc('day', date)
+      WHEN 'fr' THEN date_trunc('day', date)
+      WHEN 'de' THEN date_trunc('second', date) - INTERVAL 2 HOUR
+      ELSE date_trunc('second', date) + INTERVAL 8 HOUR END AS date FROM dated""",
+    V.DATED,
+)
 register(
     "filter_by_date",
     """SELECT * FROM parsed
@@ -287,6 +327,41 @@ register(
 register("sentiment_features", matrix(matrix_stats), V.DATED, MATRIX_POSTS, matrix_tfidf)
 register("topic_features", matrix(), V.DATED, MATRIX_POSTS, matrix_counts)
 
+# Absent entries of the matrix are zeros and count in every statistic.
+for method, center, width in (
+    ("standard", "s / n", "sqrt(greatest(q / n - (s / n) * (s / n), 0))"),
+    ("minmax", "least(low, z)", "greatest(high, z) - least(low, z)"),
+    ("robust", "q2", "q3 - q1"),
+):
+    register(
+        f"scale_matrix_{method}",
+        f"""SELECT post_id, feature, round((value - {center}) / (CASE WHEN abs({width}) < 1e-12
+          THEN 1 ELSE {width} END), 6) AS value FROM entries JOIN fitted USING (feature)""",
+        f"""matrix_posts AS (SELECT * FROM
+  (SELECT post_id, {Q.clean('text', 'moderate')} AS text_cleaned FROM posts)
+  WHERE {Q.is_not_blank('text_cleaned')})""",
+        matrix_tfidf,
+        "entries AS (SELECT post_id, feature, value FROM ("
+        + " UNION ALL ".join(
+            [
+                *(
+                    f"SELECT post_id, '{n}' AS feature, CAST({x} AS DOUBLE) AS value FROM matrix_posts"
+                    for n, x in matrix_stats.items()
+                ),
+                "SELECT post_id, term AS feature, value FROM weights",
+            ]
+        )
+        + ") WHERE value <> 0)",
+        """n_posts AS (SELECT count(*) AS n FROM matrix_posts),
+names AS (SELECT DISTINCT feature FROM entries),
+filled AS (SELECT names.feature, coalesce(value, 0) AS value
+  FROM names CROSS JOIN matrix_posts LEFT JOIN entries USING (feature, post_id)),
+fitted AS (SELECT feature, sum(value) AS s, sum(value * value) AS q, min(value) AS low,
+  max(value) AS high, count(*)::DOUBLE AS n, min(value) AS z,
+  quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+  quantile_cont(value, 0.75) AS q3 FROM filled GROUP BY feature)""",
+    )
+
 # Scoring -------------------------------------------------------------------------------------
 
 PREPROCESSED = f"""preprocessed AS (SELECT * FROM
@@ -300,16 +375,25 @@ register(
     PREPROCESSED,
     Q.scored("preprocessed", V.LEXICON, "text_cleaned"),
 )
-# The limit of 512 characters is what these two operators do.
-for name in ("score_sentiment_truncated", "score_sentiment_udf"):
-    register(name, SCORES, Q.scored("posts", V.LEXICON, "text", 512))
-# The model of score_sentiment_udf calls a text without known words a tie, which is negative.
-ORACLES["score_sentiment_udf"] = (
-    ORACLES["score_sentiment_udf"]
-    .replace("WHEN p + n = 0 THEN 'NEUTRAL'", "WHEN p + n = 0 THEN 'NEGATIVE'")
-    .replace("THEN 0.33::DOUBLE", "THEN 0.5::DOUBLE")
-    .replace("THEN 0.34::DOUBLE", "THEN 0.0::DOUBLE")
-    .replace("WHEN p + n = 0 THEN 0.0::DOUBLE ELSE greatest", "WHEN p + n = 0 THEN 0.5::DOUBLE ELSE greatest")
+ORACLES["score_sentiment_joined"] = ORACLES["score_sentiment"]
+register(
+    "score_sentiment_trained_checks",
+    "SELECT doc_id AS post_id, TRUE AS known_label, TRUE AS adds_up, TRUE AS is_largest FROM documents",
+)
+register("score_sentiment_truncated", SCORES, Q.scored("posts", V.LEXICON, "text", 512))
+# The model of this query splits on blanks and calls a text without known words a tie, which is
+# negative.
+register(
+    "score_sentiment_udf",
+    """SELECT post_id, CASE WHEN p > n THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment_label,
+      round(greatest(pos, neg), 6) AS sentiment_score, round(pos, 6) AS sentiment_positive,
+      round(neg, 6) AS sentiment_negative, 0.0::DOUBLE AS sentiment_neutral
+    FROM shares""",
+    f"""udf_words AS (SELECT post_id, {Q.words('lower(text)')} AS tokens FROM posts),
+udf_hits AS (SELECT post_id, {Q.hits('tokens', [w for w, p in V.LEXICON if p > 0])} AS p,
+  {Q.hits('tokens', [w for w, p in V.LEXICON if p < 0])} AS n FROM udf_words),
+shares AS (SELECT *, CASE WHEN p + n = 0 THEN 0.5 ELSE p::DOUBLE / (p + n) END AS pos,
+  CASE WHEN p + n = 0 THEN 0.5 ELSE n::DOUBLE / (p + n) END AS neg FROM udf_hits)""",
 )
 register(
     "normalize_scores",
@@ -331,7 +415,7 @@ register(
 
 def emotions() -> str:
     names = sorted({e for _, e in V.EMOTIONS})
-    tokens = f"string_split_regex(lower(text), {Q.quote(Q.SPACES)})"
+    tokens = f"regexp_extract_all(lower(text), '[{Q.WORD}]+')"
     counts = ", ".join(
         f"{Q.hits('tokens', [w for w, e in V.EMOTIONS if e == n])} AS {n}" for n in names
     )
@@ -344,6 +428,7 @@ emotions AS (SELECT post_id, CASE WHEN {most} = 0 THEN 'NEUTRAL' {cases} END AS
 
 
 register("emotion_labels", "SELECT * FROM emotions", emotions())
+ORACLES["emotion_labels_joined"] = ORACLES["emotion_labels"]
 register(
     "emotion_distribution",
     """SELECT emotion, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share
@@ -422,7 +507,7 @@ register(
 register(
     "top_words",
     f"""SELECT word, count(*) AS count
-    FROM (SELECT unnest({Q.words('lower(text_cleaned)')}) AS word FROM preprocessed)
+    FROM (SELECT unnest({Q.tokens('lower(text_cleaned)')}) AS word FROM preprocessed)
     WHERE NOT list_contains({Q.string_list(BASIC_STOPWORDS)}, word)
     GROUP BY word ORDER BY count DESC, word LIMIT 100""",
     V.NOISY,
@@ -431,7 +516,7 @@ register(
 register(
     "top_words_negative",
     f"""SELECT word, count(*) AS count
-    FROM (SELECT unnest({Q.words('lower(text)')}) AS word FROM scored
+    FROM (SELECT unnest({Q.tokens('lower(text)')}) AS word FROM scored
           WHERE sentiment_label = 'NEGATIVE')
     GROUP BY word ORDER BY count DESC, word LIMIT 100""",
     *SCORED,
@@ -440,7 +525,7 @@ register(
     "top_words_by_sentiment",
     f"""SELECT sentiment_label, word, count(*) AS count, CAST(row_number() OVER (
         PARTITION BY sentiment_label ORDER BY count(*) DESC, word) AS INTEGER) AS rank
-    FROM (SELECT sentiment_label, unnest({Q.words('lower(text)')}) AS word FROM scored)
+    FROM (SELECT sentiment_label, unnest({Q.tokens('lower(text)')}) AS word FROM scored)
     GROUP BY sentiment_label, word QUALIFY rank <= 100""",
     *SCORED,
 )
@@ -471,7 +556,7 @@ register(
 
 # Keywords, entities --------------------------------------------------------------------------
 
-KEYWORDS = Q.term_weights("posts", ngrams=(1, 1))
+KEYWORDS = Q.term_weights("posts", ngrams=(1, 1), max_features=None)
 register(
     "keyword_scores",
     "SELECT term, round(sum(value), 6) AS score FROM weights GROUP BY term",
@@ -486,11 +571,14 @@ register(
 gazetteer = ", ".join(f"({Q.quote(n)}, {Q.quote(t)})" for n, t in V.GAZETTEER)
 register(
     "entity_counts",
-    f"""SELECT type, name, count(*) AS count
-    FROM (SELECT unnest(regexp_extract_all({Q.clean('text', 'ner')}, {Q.quote(Q.NAME_RUN)})) AS name
-          FROM noisy)
+    # No name of the table holds another or meets it, so every occurrence counts.
+    f"""SELECT type, name, count(*) AS count FROM runs
     JOIN (VALUES {gazetteer}) AS g(name, type) USING (name) GROUP BY type, name""",
     V.NOISY,
+    f"""name_words AS (SELECT {Q.clean('text', 'ner')} AS t FROM noisy),
+word_lists AS (SELECT regexp_extract_all(t, '[{Q.WORD}]+') AS w FROM name_words),
+runs AS (SELECT array_to_string(w[i + 1:i + n], ' ') AS name
+  FROM word_lists, (VALUES (1), (2), (3)) AS sizes(n), unnest(range(0, len(w) - n + 1)) AS r(i))""",
 )
 register(
     "entity_candidates",
@@ -498,3 +586,43 @@ register(
     FROM (SELECT unnest(regexp_extract_all(text, {Q.quote(Q.NAME_RUN)})) AS name FROM posts)
     GROUP BY name""",
 )
+
+TOPIC_POSTS = f"""topic_posts AS (SELECT * FROM
+  (SELECT post_id, {Q.clean('text', 'topic')} AS text_cleaned FROM posts)
+  WHERE {Q.is_not_blank('text_cleaned')})"""
+register(
+    "lda_topic_checks",
+    "SELECT post_id, TRUE AS in_range, TRUE AS adds_up, TRUE AS is_heaviest FROM topic_posts",
+    TOPIC_POSTS,
+)
+register(
+    "topic_top_words_checks",
+    "SELECT t::INTEGER AS topic, 10 AS terms, TRUE AS falls FROM range(5) AS r(t)",
+)
+register(
+    "topic_distribution_checks",
+    "SELECT count(*) AS posts, TRUE AS few_topics FROM topic_posts",
+    TOPIC_POSTS,
+)
+register(
+    "topic_cluster_checks",
+    "SELECT post_id, TRUE AS in_range, TRUE AS placed FROM topic_posts",
+    TOPIC_POSTS,
+)
+register(
+    "dashboard",
+    f"""SELECT 'distribution' AS report, count(DISTINCT sentiment_label) AS "rows", count(*) AS posts
+      FROM scored
+    UNION ALL SELECT 'statistics', 1, NULL
+    UNION ALL SELECT 'confidence', count(DISTINCT sentiment_label), count(*) FROM scored
+    UNION ALL SELECT 'timeline', count(DISTINCT (CAST(date AS DATE), sentiment_label)), count(*)
+      FROM scored
+    UNION ALL SELECT 'timeline_wide', count(DISTINCT CAST(date AS DATE)), NULL FROM scored
+    UNION ALL SELECT 'trends', count(DISTINCT CAST(date AS DATE)), NULL FROM scored
+    UNION ALL SELECT 'words', least(100, count(DISTINCT word)), NULL FROM dashboard_words
+    UNION ALL SELECT 'words_by_label', sum(least(100, n)), NULL FROM
+      (SELECT count(DISTINCT word) AS n FROM dashboard_words GROUP BY sentiment_label)""",
+    *SCORED,
+    f"""dashboard_words AS (
+  SELECT sentiment_label, unnest({Q.tokens('lower(text)')}) AS word FROM scored)""",
+)

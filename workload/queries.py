@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions import scores as S
@@ -14,7 +16,7 @@ from hearsay.functions.text import BASIC_STOPWORDS
 from hearsay.operators import dedup, entities, features, filters, keywords, summary, topics
 from hearsay.operators import sentiment as sent
 from hearsay.operators import vectorize as vec
-from hearsay.operators.scratch import cut_lineage, new_path
+from hearsay.operators.scratch import cut_lineage, new_path, store
 from hearsay.operators.topn import sample_rows
 from hearsay.plans import flows
 from hearsay.schema import POST
@@ -42,10 +44,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 # Sources and sinks ---------------------------------------------------------------------------
 
 
-def _flat_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flat_noisy(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Noisy posts in the flat post columns, dates as text."""
     noisy = V.add_noise(V.dated_posts(spark, sf_dir))
     return noisy.select(
+        *more,
         "post_id",
         "text",
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
@@ -75,8 +78,7 @@ def _nested(flat: DataFrame) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = V.posts(spark, sf_dir).select("post_id", F.col("lang").alias("post_lang"))
-    return _nested(_flat_noisy(spark, sf_dir).join(langs, "post_id"))
+    return _nested(_flat_noisy(spark, sf_dir, F.col("lang").alias("post_lang")))
 
 
 @query
@@ -86,6 +88,23 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path)
 
 
+@query
+def csv_reordered(spark, sf_dir):
+    """A file whose columns stand in another order, some missing."""
+    path = new_path(spark, "csv")
+    files.write_csv(_flat_noisy(spark, sf_dir).select("url", "text", "date", "user", "likes"), path)
+    return files.read_csv(spark, path)
+
+
+@query
+def csv_extra_columns(spark, sf_dir):
+    """A processed table read again, with its columns beyond those of a post."""
+    path = new_path(spark, "csv")
+    more = _flat_noisy(spark, sf_dir).withColumn("text_cleaned", F.lower("text"))
+    files.write_csv(more.select("text_cleaned", *FLAT), path)
+    return files.read_csv(spark, path)
+
+
 @query
 def json_roundtrip(spark, sf_dir):
     path = new_path(spark, "json")
@@ -135,6 +154,25 @@ def hashtag_quota(spark, sf_dir):
     return src.hashtag_quota(dated, [F.desc("date"), F.col("post_id")], 100, TAGS)
 
 
+@query
+def preset_posts(spark, sf_dir):
+    """The three ready-made selections, over posts whose sources stand for their tags."""
+    names = {"src0": "layoffs", "src1": "jobcuts", "src2": "recession"}
+    tag = F.col("source_hashtag")
+    for source, name in names.items():
+        tag = F.when(F.col("source_hashtag") == source, name).otherwise(tag)
+    posts = V.dated_posts(spark, sf_dir).select("post_id", "date", tag.alias("source_hashtag"))
+    order = [F.desc("date"), F.col("post_id")]
+    presets = (src.layoff_posts, src.jobcut_posts, src.recession_posts)
+    return reduce(DataFrame.unionByName, (p(posts, order, 20) for p in presets))
+
+
+@query
+def hashtag_quota_large(spark, sf_dir):
+    dated = V.dated_posts(spark, sf_dir).select("post_id", "source_hashtag", "date")
+    return src.hashtag_quota(dated, [F.desc("date"), F.col("post_id")], 20_000, TAGS)
+
+
 @query
 def collect_by_tags(spark, sf_dir):
     noisy = V.add_noise(V.dated_posts(spark, sf_dir)).select("post_id", "text", "date")
@@ -150,6 +188,12 @@ def dedup_posts(spark, sf_dir):
     return dedup.dedup_posts(posts, ["post_id"]).where(X.is_not_blank("text"))
 
 
+@query
+def dedup_newest(spark, sf_dir):
+    posts = V.dated_posts(spark, sf_dir).select("post_id", "text", "date")
+    return dedup.dedup_posts(posts, [F.desc("date")]).where(X.is_not_blank("text"))
+
+
 @query
 def sample_posts(spark, sf_dir):
     return sample_rows(V.posts(spark, sf_dir).select("post_id", "text"), "post_id", 100, 42)
@@ -165,6 +209,19 @@ def coerce_dates(spark, sf_dir):
     return filters.coerce_dates(V.text_dates(spark, sf_dir))
 
 
+@query
+def coerce_dates_mixed(spark, sf_dir):
+    """Dates as people and feeds write them, one form for each language."""
+    dated = V.dated_posts(spark, sf_dir)
+    forms = {"en": "MMM d, yyyy", "fr": "MM/dd/yyyy", "de": "EEE, dd MMM yyyy HH:mm:ss"}
+    text = F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-08:00"))
+    for lang, form in forms.items():
+        zone = F.lit(" +0200" if lang == "de" else "")
+        written = F.concat(F.date_format("date", form), zone)
+        text = F.when(F.col("lang") == lang, written).otherwise(text)
+    return filters.coerce_dates(dated.select("post_id", text.alias("date")))
+
+
 @query
 def preprocess_posts(spark, sf_dir):
     posts = V.noisy_posts(spark, sf_dir).select("post_id", "text")
@@ -347,6 +404,21 @@ QUERIES["sentiment_features"] = _matrix(vec.sentiment_features)
 QUERIES["topic_features"] = _matrix(vec.topic_features)
 
 
+def _scaled_matrix(method: str) -> Query:
+    def run(spark, sf_dir):
+        posts = V.posts(spark, sf_dir).select("post_id", "text")
+        cleaned = store(filters.clean_posts(posts).drop("text"), "cleaned")
+        matrix = vec.sentiment_features(cleaned, stopwords=BASIC_STOPWORDS)
+        return rounded(vec.fit_matrix_scaler(matrix, method).long_form(matrix, ["post_id"]), "value")
+
+    return run
+
+
+QUERIES["scale_matrix_standard"] = _scaled_matrix("standard")
+QUERIES["scale_matrix_minmax"] = _scaled_matrix("minmax")
+QUERIES["scale_matrix_robust"] = _scaled_matrix("robust")
+
+
 # Scoring -------------------------------------------------------------------------------------
 
 
@@ -397,6 +469,32 @@ def score_sentiment_trained(spark, sf_dir):
     return _scores(scorer.transform(posts, "text"))
 
 
+@query
+def score_sentiment_joined(spark, sf_dir):
+    cleaned = flows.preprocess(V.noisy_posts(spark, sf_dir).select("post_id", "text"))
+    return _scores(sent.score_sentiment(cleaned, V.LEXICON, match="join"))
+
+
+@query
+def emotion_labels_joined(spark, sf_dir):
+    posts = V.posts(spark, sf_dir).select("post_id", "text")
+    return sent.score_emotion(posts, V.EMOTIONS, "text", match="join").drop("text")
+
+
+@query
+def score_sentiment_trained_checks(spark, sf_dir):
+    """What holds for every post whatever was learned: one row, a known label, shares of 1."""
+    scored = score_sentiment_trained(spark, sf_dir)
+    total = F.col("sentiment_positive") + F.col("sentiment_negative")
+    larger = F.greatest("sentiment_positive", "sentiment_negative")
+    return scored.select(
+        "post_id",
+        F.col("sentiment_label").isin("POSITIVE", "NEGATIVE").alias("known_label"),
+        (F.abs(total - 1) < 1e-5).alias("adds_up"),
+        (F.col("sentiment_score") == larger).alias("is_largest"),
+    )
+
+
 @query
 def normalize_scores(spark, sf_dir):
     scored = V.scored_posts(spark, sf_dir)
@@ -503,6 +601,21 @@ def top_words_by_sentiment(spark, sf_dir):
     return summary.top_words_by_label(V.scored_posts(spark, sf_dir), "text")
 
 
+@query
+def dashboard(spark, sf_dir):
+    """Rows of each report table, and the posts that its counts add up to."""
+    scored = store(V.scored_posts(spark, sf_dir), "scored")
+    parts = []
+    for name, table in summary.dashboard(scored, "text").items():
+        posts = F.sum("count") if "count" in table.columns and "words" not in name else F.lit(None)
+        parts.append(
+            table.agg(F.count("*").alias("rows"), posts.cast("bigint").alias("posts")).select(
+                F.lit(name).alias("report"), "rows", "posts"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def quick_start(spark, sf_dir):
     """Flagship: clean noisy posts, score them, and summarise the confident ones."""
@@ -527,20 +640,16 @@ def full_flow(spark, sf_dir):
 # Keywords, entities, topics ------------------------------------------------------------------
 
 
-def _keyword_model(posts: DataFrame) -> vec.TermModel:
-    return vec.fit_tfidf(posts, "text", ngram_range=(1, 1), stopwords=BASIC_STOPWORDS)
-
-
 @query
 def keyword_scores(spark, sf_dir):
-    posts = V.posts(spark, sf_dir).select("text")
-    return rounded(keywords.keyword_scores(posts, _keyword_model(posts), "text"), "score")
+    posts = V.posts(spark, sf_dir)
+    return rounded(keywords.keyword_scores(posts, "text", stopwords=BASIC_STOPWORDS), "score")
 
 
 @query
 def top_keywords(spark, sf_dir):
-    posts = V.posts(spark, sf_dir).select("text")
-    return rounded(keywords.top_keywords(posts, _keyword_model(posts), 20, "text"), "score")
+    posts = V.posts(spark, sf_dir)
+    return rounded(keywords.top_keywords(posts, 20, "text", stopwords=BASIC_STOPWORDS), "score")
 
 
 @query
@@ -555,10 +664,12 @@ def entity_candidates(spark, sf_dir):
     return entities.candidate_counts(V.posts(spark, sf_dir), "text")
 
 
+@cache
 def _topics(spark, sf_dir) -> tuple[topics.TopicModel, DataFrame]:
+    """Fitted once for all topic queries of a session."""
     posts = V.posts(spark, sf_dir).select("post_id", "text")
-    cleaned = cut_lineage(filters.clean_posts(posts, cleaner=X.topic_clean).drop("text"))
-    model = topics.fit_topics(cleaned, max_iter=10)
+    cleaned = store(filters.clean_posts(posts, cleaner=X.topic_clean).drop("text"), "cleaned")
+    model = topics.fit_topics(cleaned)
     return model, model.transform(cleaned)
 
 
@@ -581,3 +692,45 @@ def topic_distribution(spark, sf_dir):
 def topic_clusters(spark, sf_dir):
     clustered = topics.topic_clusters(_topics(spark, sf_dir)[1])
     return clustered.select("post_id", "topic", "cluster", "x", "y")
+
+
+@query
+def lda_topic_checks(spark, sf_dir):
+    """What holds for every post whatever was learned: one row, a topic, weights that add to 1, or
+    to 0 where it has no word of the vocabulary."""
+    weights = vector_to_array("topic_weights")
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    heaviest = F.get(weights, F.col("topic")) == F.array_max(weights)
+    return _topics(spark, sf_dir)[1].select(
+        "post_id",
+        F.col("topic").between(0, 4).alias("in_range"),
+        ((F.abs(total - 1) < 1e-6) | (total == 0)).alias("adds_up"),
+        heaviest.alias("is_heaviest"),
+    )
+
+
+@query
+def topic_top_words_checks(spark, sf_dir):
+    """Ten words of the vocabulary for each topic, by falling weight."""
+    model = _topics(spark, sf_dir)[0]
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    ranked = model.top_words().withColumn("falls", F.coalesce(before >= F.col("weight"), F.lit(True)))
+    return ranked.groupBy("topic").agg(
+        F.count_distinct("term").alias("terms"), F.bool_and("falls").alias("falls")
+    )
+
+
+@query
+def topic_distribution_checks(spark, sf_dir):
+    counts = topics.topic_distribution(_topics(spark, sf_dir)[1])
+    return counts.agg(F.sum("count").alias("posts"), (F.count("*") <= 5).alias("few_topics"))
+
+
+@query
+def topic_cluster_checks(spark, sf_dir):
+    clustered = topics.topic_clusters(_topics(spark, sf_dir)[1])
+    return clustered.select(
+        "post_id",
+        F.col("cluster").between(0, 4).alias("in_range"),
+        (~F.isnan("x") & ~F.isnan("y")).alias("placed"),
+    )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from hearsay.functions.patterns import DIGIT, SPACE_CHARS, URL
+from hearsay.functions.patterns import SPACE_CHARS
 from hearsay.functions.text import BASIC_STOPWORDS
 
 # RE2 has neither the White_Space property nor look-behind nor possessive repeats, so the checking
-# engine gets plain patterns. Only lists that read the same in both are taken from the package.
+# engine gets plain patterns. They are fixed values, like EMOJI and CHAINS below.
 SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -22,6 +22,10 @@ HASHTAG = f"#[{WORD}]+"
 TAG_WORD = f"#([{WORD}]+)"
 NUMBER = r"\p{Nd}+"
 PUNCTUATION = f"[^{WORD}{SPACE}]"
+# In the URL class the range from the dollar sign to the underscore holds all but a-z and "!".
+URL = r"https?://[a-z!$-_]+"
+# Decimal digits, and the superscripts; the given tables hold no other kind.
+DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}]"
 EMOJI = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
@@ -47,6 +51,11 @@ def words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, {quote(SPACES)}), lambda w: w <> '')"
 
 
+def tokens(x: str) -> str:
+    """Runs of word characters."""
+    return f"regexp_extract_all({x}, '[{WORD}]+')"
+
+
 def is_not_blank(x: str) -> str:
     return f"regexp_matches({x}, {quote(NON_SPACE)})"
 
@@ -126,7 +135,7 @@ def hits(tokens: str, vocabulary: Iterable[str]) -> str:
 def scored(source: str, lexicon, text: str = "text", max_chars: int | None = None) -> str:
     """WITH items ending in ``scored``: ``source`` plus the five sentiment columns."""
     used = text if max_chars is None else f"left({text}, {max_chars})"
-    tokens = f"string_split_regex(lower({used}), {quote(SPACES)})"
+    tokens = f"regexp_extract_all(lower({used}), '[{WORD}]+')"
     positive = hits("tokens", sorted({w for w, p in lexicon if p > 0}))
     negative = hits("tokens", sorted({w for w, p in lexicon if p < 0}))
     return f"""tokenized AS (SELECT *, {tokens} AS tokens FROM {source}),
@@ -174,7 +183,7 @@ def term_weights(
     source: str,
     text: str = "text",
     ngrams: tuple[int, int] = (1, 2),
-    max_features: int = 1000,
+    max_features: int | None = 1000,
     min_df: int = 2,
     max_df: float = 0.8,
     stop: Iterable[str] = BASIC_STOPWORDS,
@@ -190,6 +199,7 @@ def term_weights(
         "lambda i: array_to_string(toks[i : i + {k} - 1], ' '))) AS term FROM toks".format(k=k)
         for k in range(ngrams[0], ngrams[1] + 1)
     ).replace("range(1, len(toks) - ", "range(1, 1 + len(toks) - ")
+    most = f"ORDER BY total DESC, term LIMIT {max_features}" if max_features else ""
     value = "w / sqrt(sum(w * w) OVER (PARTITION BY post_id))" if tfidf else "w"
     weight = "tf * (ln((1 + n)::DOUBLE / (1 + docs)) + 1)" if tfidf else "tf::DOUBLE"
     return f"""toks AS (SELECT post_id, {tokens} AS toks FROM {source}),
@@ -198,6 +208,6 @@ tf AS (SELECT post_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 size AS (SELECT count(*) AS n FROM {source}),
 vocab AS (SELECT term, count(*) AS docs, sum(tf) AS total FROM tf GROUP BY term
   HAVING count(*) >= {min_df} AND count(*) <= {max_df} * (SELECT n FROM size)
-  ORDER BY total DESC, term LIMIT {max_features}),
+  {most}),
 raw AS (SELECT post_id, term, {weight} AS w FROM tf JOIN vocab USING (term), size),
 weights AS (SELECT post_id, term, {value} AS value FROM raw)"""

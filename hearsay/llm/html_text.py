@@ -38,12 +38,13 @@ SKIPPED = frozenset(
 )
 NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs "
-    "comment comments cookie cookies consent disclaimer discuss disqus dialog footer gdpr header "
+    "comment comments cookie cookies consent copyright disclaimer discuss disqus dialog footer gdpr header "
     "hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup "
     "promo promoted promotion related respond replies reply rss search share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget alert alertdialog complementary contentinfo "
     "form alerts notices notification notifications recommended outbrain taboola skip".split()
 )
+LAYOUT = frozenset("has with no without is".split())
 HEADER_MAY_STAND_IN = frozenset("article main section".split())
 
 TOKEN = re.compile(
@@ -86,10 +87,12 @@ def _boilerplate(name: str, attrs: str, open_names: set[str]) -> bool:
             return True
         if key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role", "aria-label"):
-            words = WORDS.findall(CAMEL.sub(r"\1 \2", html.unescape(value)).lower())
-            if not NOT_TEXT.isdisjoint(words):
-                return True
+        if key in ("class", "id", "role"):
+            for token in html.unescape(value).strip("\"'").split():
+                words = WORDS.findall(CAMEL.sub(r"\1 \2", token).lower())
+                # "has-sidebar" says something of the layout around the text.
+                if words and words[0] not in LAYOUT and not NOT_TEXT.isdisjoint(words):
+                    return True
     return False
 
 

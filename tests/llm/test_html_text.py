@@ -59,6 +59,11 @@ def test_small_pages(page, text):
     assert html_text.main_text(page.encode()) == text
 
 
+def test_layout_words_do_not_drop_the_article():
+    page = f"<body><div class='content has-sidebar'>{ARTICLE}</div></body>"
+    assert html_text.main_text(page.encode()) == TEXT
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "the text, deep down, is found" + "</div>" * 20_000
     assert html_text.main_text(deep.encode()) == "the text, deep down, is found"

@@ -40,13 +40,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def store(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+    """Write ``df`` once as Parquet in the shared folder and read it back; zstd keeps it small.
 
     Later plans read the files, so they all see the same rows and survive lost executors; the files
     go when the session ends.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -69,6 +69,11 @@ register(
     ON list_contains({TAGS_OF}, tag)""",
     V.NOISY,
 )
+register(
+    "stack_by_tag",
+    """SELECT post_id, text, 'documents' AS source_hashtag FROM posts
+    UNION ALL SELECT event_id, event_type, 'events' FROM events""",
+)
 register(
     "select_by_hashtag",
     f"SELECT post_id, text FROM noisy WHERE list_contains({TAGS_OF}, 'src3')",

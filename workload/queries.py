@@ -133,8 +133,18 @@ def collect_raw(spark, sf_dir):
 
 @query
 def union_by_tag(spark, sf_dir):
-    noisy = V.noisy_posts(spark, sf_dir).select("post_id", "text")
-    return src.union_by_tag({t: src.select_by_hashtag(noisy, t) for t in TAGS})
+    """Posts stamped with each wanted tag they carry, found in one pass."""
+    return src.tag_posts(V.noisy_posts(spark, sf_dir).select("post_id", "text"), TAGS)
+
+
+@query
+def stack_by_tag(spark, sf_dir):
+    """Frames collected apart for each tag, stacked; here two tables of their own."""
+    posts = V.posts(spark, sf_dir).select("post_id", "text")
+    events = V.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("post_id"), F.col("event_type").alias("text")
+    )
+    return src.union_by_tag({"documents": posts, "events": events})
 
 
 @query

@@ -101,8 +101,11 @@ def links(distinct: DataFrame) -> DataFrame:
     least member (or the anchor), which takes no pairs.
     """
     near = Window.partitionBy("anchor")
+    # A row becomes up to 33, so the few files of a narrow table are dealt to all tasks first.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        distinct.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+        distinct.repartition(parts, "fp")
+        .select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
         .withColumn("flipped", F.col("fp").bitwiseXOR(F.col("anchor")))
         .withColumn("weight", F.bit_count("flipped"))
         .withColumns({"n": F.count("*").over(near), "least": F.min("weight").over(near)})

@@ -37,17 +37,18 @@ def with_row_id(df: DataFrame) -> DataFrame:
     )
 
 
-def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
-    """``make()`` once per Python worker. Task code is shipped by value, so its own globals are
-    new in each task; a module that stays loaded keeps the value."""
+def worker_cache(key: str, make: Callable[[], Any], version: Any = None) -> Any:
+    """``make()`` once per Python worker and version; of each key only the last version is kept.
+    Task code is shipped by value, so its own globals are new in each task; a module that stays
+    loaded keeps the value."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
     values = kept.__dict__.setdefault("values", {})
-    if key not in values:
-        values[key] = make()
-    return values[key]
+    if key not in values or values[key][0] != version:
+        values[key] = version, make()
+    return values[key][1]
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:

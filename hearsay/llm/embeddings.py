@@ -2,8 +2,8 @@
 
 Each table joins HASHES quantised Gaussian projections floor((a.v + b) / WIDTH) to one bucket
 number; near vectors share a bucket in some table with high probability. Vectors that share one are
-compared by exact cosine in double precision. A pair counts in the first table that brings
-it together, so counts need no list of pairs, and each bucket sends on a spanning forest of its links.
+compared by exact cosine in double precision. A pair counts in the first table that brings it
+together, so counts need no list of pairs, and each bucket sends on a spanning forest of its links.
 
 At cosine 0.93 (distance 0.374) one projection agrees with probability 0.85, a table with 0.105 and
 some of 24 tables with 0.93; at cosine 0.97 it is over 0.99. Vectors at right angles meet in a table
@@ -77,7 +77,6 @@ def _coded(classes: DataFrame, tables: int, hashes: int, width: float, seed: int
 
 
 def compare_group(
-    ids: np.ndarray,
     sizes: np.ndarray,
     vectors: np.ndarray,
     codes: np.ndarray,
@@ -88,7 +87,7 @@ def compare_group(
     """For each member the rows it is linked to here for the first time, and the least member (by
     position) it is connected to through them. ``side`` is 2 for all members, or 0 and 1 where
     only members of different sides are to be compared."""
-    n = len(ids)
+    n = len(sizes)
     crossed = side[0] != 2
     linked = np.zeros((n, n), dtype=bool)
     for start in range(0, n, BLOCK):
@@ -148,9 +147,8 @@ def _compared(members: DataFrame, threshold: float) -> DataFrame:
             group = group.combine_chunks()
             ids = group.column("cid").to_numpy()
             n = len(ids)
-            flat = lambda c: group.column(c).chunk(0).flatten().to_numpy().reshape(n, -1)
+            flat = lambda c: group.column(c).chunk(0).flatten().to_numpy().reshape(n, -1)
             counts, least = compare_group(
-                ids,
                 group.column("size").to_numpy(),
                 flat("unit"),
                 flat("codes"),

@@ -38,8 +38,8 @@ SKIPPED = frozenset(
 )
 NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs "
-    "comment comments cookie cookies consent copyright disclaimer discuss disqus dialog footer gdpr header "
-    "hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup "
+    "comment comments cookie cookies consent copyright disclaimer discuss disqus dialog footer gdpr "
+    "header hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup "
     "promo promoted promotion related respond replies reply rss search share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget alert alertdialog complementary contentinfo "
     "form alerts notices notification notifications recommended outbrain taboola skip".split()

@@ -15,6 +15,7 @@ its own words by a join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -379,7 +380,7 @@ def score_texts(
     shared = spark.sparkContext.broadcast(
         (scorer(parameters), vocabulary, known_counts, class_n, unseen)
     )
-    token = f"lm-{id(shared)}-{shared._jbroadcast.id() if shared._jbroadcast else 0}"
+    version = uuid.uuid4().hex
     schema = T.StructType(
         [
             T.StructField("rid", T.LongType()),
@@ -394,7 +395,7 @@ def score_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, second, log_z), words_of, top_counts, in_classes, left = worker_cache(
-            token, lambda: shared.value
+            "language model", lambda: shared.value, version
         )
         n_words = len(words_of)
         for batch in batches:

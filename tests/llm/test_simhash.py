@@ -82,6 +82,17 @@ def test_links_match_all_pairs(spark):
     assert roots == {n: want[n] for n in {n for p in pairs for n in p}}
 
 
+def test_top_bit(spark):
+    """The free bit of the code, alone and beside another flipped bit."""
+    top = -(1 << 63)
+    words = [0, top, 1, top | 1, 6, top | 6, 0x7FF, top | 0x7FF]
+    edges = simhash.links(spark.createDataFrame([(w,) for w in words], "fp bigint")).collect()
+    pairs = [
+        (a, b) for a in words for b in words if 0 < bin((a ^ b) % (1 << 64)).count("1") <= 2
+    ]
+    assert components(words, [tuple(r) for r in edges]) == components(words, pairs)
+
+
 def test_long_chain(spark):
     n = 300
     order = list(range(n))

@@ -181,12 +181,12 @@ def initial(symbol_counts: np.ndarray, seed: int = 42) -> dict[str, np.ndarray]:
     }
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows by index: the indices met, and their sums."""
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-    return sorted_at[starts], np.add.reduceat(rows[order], starts, axis=0)
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, for each of the indices 0 to n - 1."""
+    width = rows.shape[1]
+    cells = (at.astype(np.intp) * width)[:, None] + np.arange(width)
+    flat = np.bincount(cells.ravel(), weights=rows.ravel(), minlength=n * width)
+    return flat.reshape(n, width).astype(np.float32)
 
 
 class Trainer:
@@ -200,10 +200,10 @@ class Trainer:
         self.steps_from = np.cumsum(self.p["noise"])
         self.log_noise = np.log(NOISE * self.p["noise"]).astype(np.float32)
 
-    def _move(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
+    def _move(self, name: str, gradient: np.ndarray) -> None:
         squares = self.squares[name]
-        squares[at] += gradient * gradient
-        self.p[name][at] -= self.rate * gradient / np.sqrt(squares[at])
+        squares += gradient * gradient
+        self.p[name] -= self.rate * gradient / np.sqrt(squares)
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, len(self.p["bias"])
@@ -213,24 +213,26 @@ class Trainer:
         true = p["target"][w]
         score = np.einsum("ij,ij->i", query, true) + p["bias"][w] - self.log_noise[w]
         false = p["target"][noise]
-        against = query @ false.T + (p["bias"] - self.log_noise)[noise]
-        # Gradients of -log sigmoid(score) - sum of log sigmoid(-against), per token.
-        up = -1 / (1 + np.exp(np.clip(score, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(against, -30, 30)))
+        # Gradients of -log sigmoid(score) - sum of log sigmoid(-against), per token; the large
+        # table of scores against noise is turned into them in place.
         size = np.float32(1 / len(w))
-        up, down = up * size, down * size
+        up = -size / (1 + np.exp(np.minimum(score, 30)))
+        down = query @ -false.T
+        down -= (p["bias"] - self.log_noise)[noise]
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(size, down, out=down)
         back = up[:, None] * true + down @ false
-        at, sums = _scatter(w, np.concatenate((up[:, None] * query, up[:, None]), axis=1), n)
-        target, bias = np.zeros_like(p["target"]), np.zeros_like(p["bias"])
-        target[at], bias[at] = sums[:, :-1], sums[:, -1]
+        target = _sums(w, up[:, None] * query, n)
+        bias = np.bincount(w, weights=up, minlength=n).astype(np.float32)
         np.add.at(target, noise, down.T @ query)
         np.add.at(bias, noise, down.sum(0))
         context = np.zeros_like(p["context"])
         for name, before in (("c1", w1), ("c2", w2)):
-            at, sums = _scatter(before, back, n)
-            self_vectors = p["context"][at]
-            context[at] += sums @ p[name].T
-            self._move(name, self_vectors.T @ sums)
+            sums = _sums(before, back, n)
+            context += sums @ p[name].T
+            self._move(name, p["context"].T @ sums)
         self._move("context", context)
         self._move("target", target)
         self._move("bias", bias)

@@ -50,6 +50,17 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % CLASSES
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes: the high ones are nearly constant, so the codecs of
+    files and shuffles make little of them."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, a few megabytes at a time; cuts are at white space."""
     at = 0
@@ -95,7 +106,7 @@ class _Block:
             self.rids,
             self.learn,
             self.sizes,
-            np.concatenate(self.tokens).tobytes(),
+            packed(np.concatenate(self.tokens)),
             list(self.ids),
             counts,
         ]
@@ -257,7 +268,7 @@ def train_round(
             for row in range(batch.num_rows):
                 learn = np.array(batch.column(0)[row].as_py(), dtype=bool)
                 sizes = np.array(batch.column(1)[row].as_py())
-                tokens = np.frombuffer(batch.column(2)[row].as_py(), dtype=np.uint32)
+                tokens = unpacked(batch.column(2)[row].as_py())
                 symbols = _symbols(batch.column(3)[row].as_py(), words_of)[tokens]
                 at = _contexts(tokens, sizes)
                 at = at[np.repeat(learn, sizes)]
@@ -405,7 +416,7 @@ def score_texts(
             for row in range(batch.num_rows):
                 block_words = column["words"][row].as_py()
                 sizes = np.array(column["sizes"][row].as_py())
-                tokens = np.frombuffer(column["tokens"][row].as_py(), dtype=np.uint32)
+                tokens = unpacked(column["tokens"][row].as_py())
                 symbol = _symbols(block_words, words_of)
                 count = np.zeros(len(block_words), dtype=np.int64)
                 common = symbol < n_words

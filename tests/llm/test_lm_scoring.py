@@ -82,6 +82,12 @@ def test_repeated_and_null_keys(spark):
     assert [(r["n_tokens"], r["train_tokens"]) for r in rows] == [(3, 9)] * 3
 
 
+def test_packing():
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**32 - 1], dtype=np.uint32)
+    assert (L.unpacked(L.packed(numbers)) == numbers).all()
+    assert len(L.unpacked(L.packed(numbers[:0]))) == 0
+
+
 def test_probabilities_add_up():
     """Over all symbols after any two symbols; and over the words of a class."""
     p = L.initial(np.arange(40.0), seed=1)

@@ -351,7 +351,8 @@ def score_texts(
     spark = docs.sparkSession
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     words = words.select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = store(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
+    learned = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+    totals = store(learned, "totals")
     top = [
         (bytes(r["word"]), r["c"])
         for r in totals.where(F.col("word") != F.lit(END))

@@ -66,34 +66,40 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "length", "linked", "skipped")
+    __slots__ = ("name", "parent", "children", "score", "length", "linked", "skipped", "named",
+                 "odd")
 
     def __init__(self, name: str, parent: Node | None, skipped: bool = False) -> None:
         self.name, self.parent, self.skipped = name, parent, skipped
+        self.named = self.odd = False
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = 0
 
 
-def _boilerplate(name: str, attrs: str, open_names: set[str]) -> bool:
-    """Whether an element is no part of any article by its name, class, id, role or hiding."""
+def _boilerplate(name: str, attrs: str, open_names: set[str]) -> str:
+    """Why an element is no part of any article: "sure" by its name or hiding, "named" by a word in
+    class, id or role, which a wrapper around the article may have too; "" without a reason."""
     if name in SKIPPED or (name == "header" and not open_names & HEADER_MAY_STAND_IN):
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return "sure"
+    if not attrs or name in ("html", "body"):
+        return ""
+    reason = ""
     for key, value in ATTRIBUTE.findall(attrs):
         key = key.lower()
+        if name in ("article", "main") and key not in ("class", "id", "role"):
+            continue
         if key == "hidden" or (key == "aria-hidden" and "true" in value.lower()):
-            return True
+            return "sure"
         if key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "sure"
         if key in ("class", "id", "role"):
             for token in html.unescape(value).strip("\"'").split():
                 words = WORDS.findall(CAMEL.sub(r"\1 \2", token).lower())
                 # "has-sidebar" says something of the layout around the text.
                 if words and words[0] not in LAYOUT and not NOT_TEXT.isdisjoint(words):
-                    return True
-    return False
+                    reason = "named"
+    return reason
 
 
 def parse(page: str) -> Node:
@@ -161,7 +167,11 @@ def parse(page: str) -> Node:
                 close(found)
         attrs = match["attrs"]
         names = {k for k, n in open_names.items() if n} if name == "header" else set()
-        child = Node(name, node, node.skipped or _boilerplate(name, attrs, names))
+        reason = _boilerplate(name, attrs, names)
+        child = Node(name, node, node.skipped or reason == "sure")
+        # An article or main with such a name (a comment, say) is not skipped for it itself.
+        child.odd = reason == "named"
+        child.named = child.odd and name not in ("article", "main")
         node.children.append(child)
         if name in VOID:
             continue
@@ -221,6 +231,35 @@ def blocks(top: Node) -> list[tuple[str, Node, int]]:
     return found
 
 
+def skip_named(root: Node) -> None:
+    """Skips the elements whose names say that they hold no main text, except those around an article
+    or main element or, where a page has none, around most of the unlinked text that is left."""
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if not isinstance(c, str) and not c.skipped]
+    if not any(node.named for node in order):
+        return
+    plain = {id(node): 0 for node in order}
+    for text, owner, links in blocks(root):
+        plain[id(owner)] += len(text) - links
+    holds = set()
+    for node in reversed(order):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            if id(node) in holds or (node.name in ("article", "main") and not node.odd):
+                holds.add(id(node.parent))
+    # From outside in: what is skipped, and all below it, no longer counts.
+    total = plain[id(root)]
+    for node in order:
+        if node.parent is not None and node.parent.skipped:
+            node.skipped = True
+        elif node.named and id(node) not in holds and (holds or 2 * plain[id(node)] <= total):
+            node.skipped = True
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
     scored: list[Node] = []
@@ -279,6 +318,7 @@ def main_text(page: bytes) -> str:
     A page whose blocks are all too short to score gives all its unskipped blocks.
     """
     root = parse(page.decode("utf-8", "replace"))
+    skip_named(root)
     nodes = main_nodes(root) or [root]
     return " ".join(text for node in nodes for text, _, _ in blocks(node))
 

@@ -64,6 +64,25 @@ def test_layout_words_do_not_drop_the_article():
     assert html_text.main_text(page.encode()) == TEXT
 
 
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div>%s</div>", "%s"])
+@pytest.mark.parametrize(
+    "wrapper",
+    ["class='content-sidebar-wrap'", "id='main-no-sidebar'", "class='right-sidebar'",
+     "class='social-enabled'", "role=main class='widget'"],
+)
+def test_names_of_wrappers_do_not_drop_the_article(wrapper, inner):
+    side = "<div class='sidebar'><p>Other things, that one might read, or not.</p></div>"
+    for inside, after in (("", side), (side, "")):
+        page = f"<body><div {wrapper}>{inner % ARTICLE}{inside}</div>{after}</body>"
+        assert html_text.main_text(page.encode()) == TEXT
+
+
+def test_long_comments_beside_an_article_go():
+    comment = "<article class='comment-body'><p>Great, I liked it, really, thank you!</p></article>"
+    page = f"<body><article>{ARTICLE}</article><div id=comments>{comment * 30}</div></body>"
+    assert html_text.main_text(page.encode()) == TEXT
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "the text, deep down, is found" + "</div>" * 20_000
     assert html_text.main_text(deep.encode()) == "the text, deep down, is found"

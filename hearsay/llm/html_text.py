@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Blocks of running text pass points for their length and commas to the elements around them, halved
-at each step; links take points away. The element with most points and its siblings that
-score nearly as well, or read like paragraphs of the same article, make the article. Menus, headers,
+at each step; links take points away. The element with most points, with what its ancestors
+add while that is hardly linked, its siblings that score nearly as well, or read like paragraphs, and
+headings, lists and other small parts between or before these make the article. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
 """
 
@@ -61,6 +62,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
+# Small parts of an article that may score nothing.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl blockquote pre figure table".split())
 LEAST_LENGTH = 25
 SIBLING_SHARE = 0.2
 
@@ -294,17 +297,65 @@ def main_nodes(root: Node) -> list[Node]:
             best = up
             break
         up = up.parent
+    else:
+        best = _climb(best)
     if best.parent is None:
         return [best]
     least = worth(best) * SIBLING_SHARE
-    kept = []
+    beside = []
     for node in best.parent.children:
-        if isinstance(node, str) or node.skipped:
-            continue
-        density = node.linked / max(1, node.length)
-        if node is best or worth(node) >= least or (node.name == "p" and _reads(node, density)):
-            kept.append(node)
-    return kept
+        if isinstance(node, str):
+            # Loose text of the parent stands as a node of its own.
+            text = node
+            if not text.strip():
+                continue
+            node = Node("span", best.parent)
+            node.children, node.length = [text], len(text.strip())
+        if not node.skipped:
+            beside.append(node)
+    keep = [
+        node is best or worth(node) >= least
+        or (node.name == "p" and _reads(node, node.linked / max(1, node.length)))
+        for node in beside
+    ]
+    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+    small = [
+        (node.name in PARTS or node.name in INLINE) and 2 * node.linked < max(1, node.length)
+        for node in beside
+    ]
+    while first and small[first - 1]:
+        first -= 1
+    return [
+        node for i, node in enumerate(beside) if keep[i] or (first <= i <= last and small[i])
+    ]
+
+
+def _climb(best: Node) -> Node:
+    """The outermost ancestor that ``best`` reaches while what stands beside it is mostly unlinked
+    text. Below the body any such text is of the article; in the body itself it must be a share of
+    it, for small texts there belong to the site. Children that are mostly links are skipped."""
+    while best.parent is not None and best.name != "body":
+        up = best.parent
+        prose = 0
+        menus = []
+        for node in up.children:
+            if isinstance(node, str):
+                prose += len(node.strip())
+            elif node is not best and not node.skipped and node.name not in INLINE:
+                if 2 * node.linked > node.length:
+                    menus.append(node)
+                else:
+                    prose += node.length - node.linked
+        further, linked = up.length - best.length, up.linked - best.linked
+        if up.name in ("body", "html", "#root"):
+            if prose < SIBLING_SHARE * (best.length - best.linked):
+                return best
+        elif further and 4 * linked >= further:
+            return best
+        for node in menus:
+            node.skipped = True
+        best = up
+    return best
 
 
 def _reads(node: Node, density: float) -> bool:

@@ -83,6 +83,37 @@ def test_long_comments_beside_an_article_go():
     assert html_text.main_text(page.encode()) == TEXT
 
 
+LINE = "<p>Part {} has words, and more words, in quite a long line of the article.</p>"
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+@pytest.mark.parametrize("menu", ["", "<div><a href=/m>menu of links only</a></div>"])
+def test_all_sections_are_kept(n, menu):
+    parts = "".join(
+        f"<div class=section><h2>Head {i}</h2><div class=body>{LINE.format(i) * (3 + i % 2)}</div></div>"
+        for i in range(n)
+    )
+    text = html_text.main_text(f"<body><div><div>{parts}{menu}</div></div></body>".encode())
+    assert text.count("long line") == sum(3 + i % 2 for i in range(n))
+    assert all(f"Head {i}" in text for i in range(n)) and "menu" not in text
+
+
+def test_small_parts_beside_the_text_are_kept():
+    page = (
+        f"<body><h1>Name</h1><div>{LINE.format(1) * 4}</div><h2>List</h2><ul><li>one<li>two</ul>"
+        f"<p>Short.</p><blockquote>Said so</blockquote><div>{LINE.format(2) * 4}</div>"
+        "<ul><li><a href=/a>menu</a></ul></body>"
+    )
+    text = html_text.main_text(page.encode())
+    assert text.startswith("Name Part 1") and "List one two Short. Said so Part 2" in text
+    assert "menu" not in text
+
+
+def test_heading_before_a_text_div_is_kept():
+    page = f"<body><div><a href=/>home</a></div><h1>Name</h1><div>{LINE.format(1) * 4}</div></body>"
+    assert html_text.main_text(page.encode()).startswith("Name Part 1")
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "the text, deep down, is found" + "</div>" * 20_000
     assert html_text.main_text(deep.encode()) == "the text, deep down, is found"

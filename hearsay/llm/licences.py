@@ -1,9 +1,9 @@
 """Licence texts and notices in documents: Dice coefficient over word bigrams with templates.
 
-A document's lines are normalised to words. A line of which at least half the bigrams occur
-in a template belongs to it; runs of such lines (empty lines between them included) are compared
-with the template as one text. Only templates whose size can still reach the threshold are compared:
-with Dice at least t, the sizes differ by a factor of (2 - t) / t at most.
+A document is normalised to words; any span of words may match, whatever its lines. Dice of at least
+t with a template of m bigrams needs t m / (2 - t) of them in the span and at most (2 - t) m / t
+different bigrams there. Templates with fewer hits in a document are left; of the others the best
+span is found by position, then the best ones before and after it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +55,85 @@ class Templates:
         for i, grams in enumerate(self.grams):
             for g in grams:
                 self.index.setdefault(g, []).append(i)
+        # "this work is licensed under the" is most of many a notice, but tells no licence.
+        most = max(1, len(set(self.names)) // 2)
+        self.telling = {
+            g for g, held in self.index.items() if len({self.names[i] for i in held}) <= most
+        }
 
     def may_match(self, template: int, size: int) -> bool:
         own, t = len(self.grams[template]), self.threshold
         return t * own <= (2 - t) * size + 1e-9 and t * size <= (2 - t) * own + 1e-9
 
+    def find_spans(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """``(licence, dice, first line, last line)`` over all spans of words, best first; spans of
+        one licence do not overlap."""
+        words, line_of = [], []
+        for at, line in enumerate(lines_of(text)):
+            words += line
+            line_of += [at] * len(line)
+        pairs = list(zip(words, words[1:]))
+        hits: dict[int, int] = {}
+        for g in set(pairs) & self.index.keys():
+            for i in self.index[g]:
+                hits[i] = hits.get(i, 0) + 1
+        t = self.threshold
+        near = [i for i, n in hits.items() if n * (2 - t) >= t * len(self.grams[i]) - 1e-9]
+        if not near:
+            return []
+        last: dict[tuple, int] = {}
+        before = np.empty(len(pairs), dtype=np.int64)
+        for p, g in enumerate(pairs):
+            before[p] = last.get(g, -1)
+            last[g] = p
+        telling = np.fromiter((g in self.telling for g in pairs), dtype=bool, count=len(pairs))
+        found = []
+        for i in near:
+            own = self.grams[i]
+            inside = np.fromiter((g in own for g in pairs), dtype=bool, count=len(pairs))
+            found += [
+                (self.names[i], value, a, b) for value, a, b in self.spans(i, inside, telling, before)
+            ]
+        found.sort(key=lambda m: (-m[1], m[0], m[2]))
+        kept: list[tuple[str, float, int, int]] = []
+        for m in found:
+            if all(m[0] != k[0] or m[3] < k[2] or m[2] > k[3] for k in kept):
+                kept.append(m)
+        best: dict[tuple[str, int], tuple[str, float, int, int]] = {}
+        for name, value, a, b in kept:
+            best.setdefault((name, line_of[a]), (name, value, line_of[a], line_of[b + 1]))
+        return sorted(best.values(), key=lambda m: (-m[1], m[0], m[2]))
+
+    def spans(
+        self, template: int, inside: np.ndarray, telling: np.ndarray, before: np.ndarray
+    ) -> list[tuple[float, int, int]]:
+        """``(dice, first bigram, last bigram)`` of the best span and of those beside it. A span holds
+        at least one bigram that at most half of the licences have."""
+        own, t = len(self.grams[template]), self.threshold
+        found, open_parts = [], [(0, len(inside))]
+        while open_parts:
+            start, stop = open_parts.pop()
+            best = (0.0, 0, 0)
+            for a in start + np.flatnonzero(inside[start:stop]):
+                # Bigrams met for the first time from ``a`` on; the window ends where too many are.
+                size, step = 0, 2 * own
+                new = np.empty(0, dtype=bool)
+                while a + len(new) < stop and size <= (2 - t) * own / t:
+                    more = before[a + len(new) : min(stop, a + len(new) + step)] < a
+                    new, size = np.concatenate([new, more]), size + int(more.sum())
+                common = np.cumsum(new & inside[a : a + len(new)])
+                if common[-1] * (2 - t) < t * own - 1e-9:
+                    continue
+                values = 2 * common / (np.cumsum(new) + own)
+                values[np.cumsum((telling & inside)[a : a + len(new)]) == 0] = 0
+                end = int(values.argmax())
+                if values[end] > best[0]:
+                    best = (float(values[end]), int(a), int(a) + end)
+            if best[0] >= t:
+                found.append(best)
+                open_parts += [(start, best[1]), (best[2] + 1, stop)]
+        return found
+
     def runs(self, lines: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
         """``(template, first line, last line)`` of the longest runs of lines that belong to it."""
         open_runs: dict[int, list[int]] = {}
@@ -86,8 +161,8 @@ class Templates:
             yield i, first, last
 
     def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """``(licence, dice, first line, last line)``, best first; of each licence and place the
-        best template."""
+        """``(licence, dice, first line, last line)`` over runs of whole lines only, each with half its
+        bigrams in the template; ``scan`` uses ``find_spans``."""
         lines = lines_of(text)
         best: dict[tuple[str, int], tuple[str, float, int, int]] = {}
         for i, first, last in self.runs(lines):
@@ -139,7 +214,7 @@ def scan(
         )
         for batch in batches:
             found = [
-                [dict(zip(names, m)) for m in known.find(x.as_py())]
+                [dict(zip(names, m)) for m in known.find_spans(x.as_py())]
                 for x in batch.column(batch.num_columns - 1)
             ]
             yield pa.RecordBatch.from_arrays(

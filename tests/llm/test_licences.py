@@ -93,3 +93,44 @@ def test_query_finds_the_notices_of_the_table(spark):
         want = plain(r["text"].encode(), TEMPLATES, L.THRESHOLD)
         assert r["licence"] == (want[0][0] if want else None)
         assert r["licences"] == ",".join(sorted({m[0] for m in want}))
+
+
+def best_span(text, template):
+    """Best Dice over all spans of words."""
+    words = [w for line in L.lines_of(text) for w in line]
+    own = L.bigrams([w for line in L.lines_of(template.encode()) for w in line])
+    spans = (words[a:b] for a in range(len(words)) for b in range(a + 2, len(words) + 1))
+    return max((L.dice(L.bigrams(s), own) for s in spans), default=0.0)
+
+
+def test_spans_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        template = " ".join(rng.choices("abcdefg", k=rng.randrange(3, 9)))
+        words = rng.choices("abcdefgxyz", k=rng.randrange(14)) + template.split()
+        words[rng.randrange(len(words))] = "z"
+        words += rng.choices("abcxyz", k=rng.randrange(8))
+        text = "".join(w + rng.choice("  \n") for w in words).encode()
+        got = L.Templates([("t", template)], 0.7).find_spans(text)
+        want = best_span(text, template)
+        assert (got[0][1] if got else 0.0) == (want if want >= 0.7 else 0.0)
+
+
+def test_notices_are_found_whatever_the_lines():
+    lines = MIT.split("\n")
+    lines.insert(len(lines) // 2, "an inserted line of quite other words")
+    assert KNOWN.find_spans("\n".join(lines).encode())[0][0] == "MIT"
+    text = b"This module is part of foo. Released under the MIT License."
+    assert KNOWN.find_spans(text)[0][:2] == ("MIT", 1.0)
+    flat = ("word " * 300 + " ".join(MIT.split()) + " more prose" * 300).encode()
+    assert KNOWN.find_spans(flat)[0][:2] == ("MIT", 1.0)
+    assert KNOWN.find_spans(b"prose without any notice " * 50) == []
+
+
+def test_an_opening_alone_tells_no_licence():
+    assert KNOWN.find_spans(b"This work is licensed under the terms of Foo.") == []
+
+
+def test_places_of_spans():
+    text = b"Released under the MIT License. " + b"x y z w " * 9 + b"\n\nReleased under the MIT License."
+    assert [m[2:] for m in KNOWN.find_spans(text)] == [(0, 0), (2, 2)]

@@ -1,8 +1,10 @@
 """Licence templates: public licence texts, standard notices and short statements.
 
-Fixed values. Several templates may stand for one licence.
+Fixed values. Several templates may stand for one licence. Full terms stand in ``licence_terms``.
 """
 
+from importlib.resources import files
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
 software and associated documentation files (the "Software"), to deal in the Software without
 restriction, including without limitation the rights to use, copy, modify, merge, publish,
@@ -90,9 +92,22 @@ CREATIVE_COMMONS = (
     ("CC-BY-ND-4.0", "CC BY-ND 4.0", "Attribution-NoDerivatives 4.0"),
     ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "Attribution-NonCommercial-ShareAlike 4.0"),
 )
+CC0_NOTICE = """To the extent possible under law, the author has waived all copyright and related or
+neighboring rights to this work."""
+
+EPL_NOTICE = """This program and the accompanying materials are made available under the terms of the
+Eclipse Public License {version} which is available at https://www.eclipse.org/legal/epl-{url}"""
+
+# Licences whose whole terms are templates.
+TERMS = tuple(
+    (path.name.removesuffix(".txt"), path.read_text(encoding="utf-8"))
+    for path in sorted((files("hearsay.llm") / "licence_terms").iterdir(), key=lambda p: p.name)
+)
+
 GNU = (
     ("GPL-2.0", "General Public License", "2"),
     ("GPL-3.0", "General Public License", "3"),
+    ("LGPL-2.1", "Lesser General Public License", "2.1"),
     ("LGPL-3.0", "Lesser General Public License", "3"),
     ("AGPL-3.0", "Affero General Public License", "3"),
 )
@@ -105,7 +120,30 @@ SHORT = (
     ("MPL-2.0", "Mozilla Public License, Version 2.0"),
     *((name, f"GNU {title}, version {version}") for name, title, version in GNU),
     *((name, short) for name, short, _ in CREATIVE_COMMONS),
+    ("Apache-2.0", "Apache 2.0 License"),
+    ("BSD-3-Clause", "3-Clause BSD License"),
+    ("BSD-2-Clause", "2-Clause BSD License"),
+    ("MPL-1.1", "Mozilla Public License, Version 1.1"),
+    ("GPL-2.0", "GPLv2"),
+    ("GPL-3.0", "GPLv3"),
+    ("LGPL-2.1", "LGPLv2.1"),
+    ("LGPL-3.0", "LGPLv3"),
+    ("AGPL-3.0", "AGPLv3"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("EPL-1.0", "Eclipse Public License, Version 1.0"),
+    ("EPL-2.0", "Eclipse Public License, Version 2.0"),
+    ("Zlib", "zlib License"),
 )
+SPDX = (
+    *((name, name) for name in (
+        "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-1.1", "MPL-2.0",
+        "Unlicense", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+        "AGPL-3.0",
+    )),
+    *((name, name) for name, _, _ in CREATIVE_COMMONS),
+    *((name, f"{name}-{form}") for name, _, _ in GNU for form in ("only", "or-later")),
+)
 
 TEMPLATES = [
     ("MIT", MIT),
@@ -117,6 +155,11 @@ TEMPLATES = [
     *((name, GPL_NOTICE.format(name=title, version=version)) for name, title, version in GNU),
     ("MPL-2.0", MPL_NOTICE),
     ("Unlicense", UNLICENSE),
+    ("CC0-1.0", CC0_NOTICE),
+    ("EPL-1.0", EPL_NOTICE.format(version="1.0", url="v10.html")),
+    ("EPL-2.0", EPL_NOTICE.format(version="2.0", url="2.0/")),
+    *TERMS,
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tag in SPDX),
     *(
         (name, f"This work is licensed under a Creative Commons {title} International License.")
         for name, _, title in CREATIVE_COMMONS
@@ -124,7 +167,8 @@ TEMPLATES = [
     *(
         (name, f"{start} {title}.")
         for start in ("Licensed under the", "Released under the", "Licensed under",
-                      "This work is licensed under the", "Distributed under the terms of the")
+                      "This work is licensed under the", "Distributed under the terms of the",
+                      "Available under the", "Distributed under the")
         for name, title in SHORT
     ),
 ]

@@ -29,8 +29,9 @@ Bigrams = frozenset
 
 
 def lines_of(text: bytes) -> list[list[bytes]]:
-    """The words of each line: ASCII letters and digits, lower-cased; copyright lines are empty."""
-    lowered = COPYRIGHT.sub(b"", text.lower())
+    """The words of each line: ASCII letters and digits, lower-cased, "licence" read
+    as "license"; copyright lines are empty."""
+    lowered = COPYRIGHT.sub(b"", text.lower()).replace(b"licence", b"license")
     return [WORD.findall(line) for line in lowered.split(b"\n")]
 
 

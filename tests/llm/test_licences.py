@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay.llm import licence_texts
 from hearsay.llm import licences as L
 from hearsay.llm.licence_texts import MIT, TEMPLATES
 from hearsay.llm.queries import LLM_QUERIES
@@ -131,6 +132,28 @@ def test_an_opening_alone_tells_no_licence():
     assert KNOWN.find_spans(b"This work is licensed under the terms of Foo.") == []
 
 
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("Released under the MIT licence.", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("Licensed under the Eclipse Public License, Version 2.0.", "EPL-2.0"),
+        ("Released under CC0 1.0.", "CC0-1.0"),
+        ("It is licensed under the GPLv3.", "GPL-3.0"),
+        *((text[len(text) // 20 :], name) for name, text in licence_texts.TERMS),
+    ],
+)
+def test_more_licences_and_forms(text, licence):
+    found = KNOWN.find_spans(text.encode())
+    assert found and found[0][0] == licence
+
+
+def test_terms_are_there():
+    assert len(licence_texts.TERMS) == 8
+
+
 def test_places_of_spans():
     text = b"Released under the MIT License. " + b"x y z w " * 9 + b"\n\nReleased under the MIT License."
     assert [m[2:] for m in KNOWN.find_spans(text)] == [(0, 0), (2, 2)]

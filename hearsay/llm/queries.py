@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearsay.operators.scratch import store
 
 from . import (
+    alignment,
     decontamination,
     embeddings,
     html_text,
@@ -216,3 +217,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     model = language.train(docs, "text", "lang", ~F.col("held_out"))
     return language.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        "groups_sha256",
+    )

@@ -13,6 +13,7 @@ from . import (
     alignment,
     decontamination,
     embeddings,
+    filter_audit,
     html_text,
     language,
     licences,
@@ -231,3 +232,58 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
         "count_sum",
         "groups_sha256",
     )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+LLM_ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(w) < 200 THEN 'A' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)
+                     THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END) AS fails
+  FROM d LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM failed GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT *, left(filter_order, k - 1) AS before, filter_order[k] AS own
+  FROM orders, unnest(range(1, 6)) AS r(k)),
+rows AS (
+  SELECT part, filter_order, k, own,
+         coalesce(sum(n) FILTER (translate(fails, before || own, '') = fails), 0) AS kept,
+         coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, before, '') = fails),
+                  0) AS removed,
+         coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, before, '') <> fails),
+                  0) AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (contains(fails, own) AND translate(fails, before, '') = fails),
+                  0) AS good_lost,
+         coalesce(sum(toxic) FILTER (contains(fails, own) AND translate(fails, before, '') = fails),
+                  0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, k, own)
+SELECT part, filter_order, k::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM rows
+"""

@@ -14,6 +14,7 @@ from . import (
     decontamination,
     embeddings,
     filter_audit,
+    hnsw,
     html_text,
     language,
     licences,
@@ -234,6 +235,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+@query
+def op12_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(

@@ -27,10 +27,14 @@ def utf8(column: str) -> Column:
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add the file and the position of each row, a key even where rows are repeated.
 
-    A frame read straight from files has them; anything else is stored first.
+    A frame read straight from Parquet files has them; anything else is stored first.
     """
     plan = df._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
+    of_files = plan.getClass().getSimpleName() == "LogicalRelation" and (
+        plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+        and plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    )
+    if not of_files or "_metadata" in df.columns:
         df = store(df.withColumnsRenamed({"_metadata": "_metadata_"}), "rows")
     return df.withColumns(
         {FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index").cast("bigint")}

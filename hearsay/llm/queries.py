@@ -218,7 +218,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     model = language.train(docs, "text", "lang", ~F.col("held_out"))
-    return language.predict(docs, model, keep=("doc_id", "held_out"))
+    return language.predict(docs, model, keep=("doc_id", "held_out")).drop("fit")
 
 
 @query

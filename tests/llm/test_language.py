@@ -76,6 +76,28 @@ def test_keep_known(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
 
 
+def test_keep_known_rejects_what_fits_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [
+        "Привет, как дела? Сегодня хорошая погода.", "今日は天気がいいですね。", "Ελληνικά",
+        "sdkjfh qwrtzx lkjhgf mnbvcx asdlkj", "xkcd zzqj vvkw " * 2000, "مرحبا بالعالم",
+    ]
+    more = documents(spark, [*odd, "The cat sat on the mat.", "la casa de la"])
+    more = more.withColumns({"doc_id": F.col("doc_id") + 10_000_000, "lang": F.lit(None).cast("string")})
+    kept = language.keep_known(docs.union(more))
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert sorted(i - 10_000_000 for i in ids if i >= 10_000_000) == [6, 7]
+    with_letter = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert kept.where("doc_id < 10000000").count() == with_letter.count()
+
+
+def test_fit_does_not_grow_with_the_text(spark):
+    docs = documents(spark, ["a b c", "a b c " * 50, "q"])
+    model = language.train(docs.where("doc_id < 2"), "text", "lang", F.lit(True))
+    fits = [r["fit"] for r in language.predict(docs, model, keep=("doc_id",)).sort("doc_id").collect()]
+    assert 0 < fits[1] < 2 * fits[0] and fits[2] < fits[0]
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = LLM_QUERIES["op10_language_id"](spark, sf_dir)

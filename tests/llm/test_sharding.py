@@ -85,3 +85,12 @@ def test_places_are_uniform(spark, small_blocks):
         together += sum(places[i] == places[i + 1] for i in range(199))
     # Neighbours share a shard as often as chance has it: 49 / 199.
     assert abs(together / (199 * runs) - 49 / 199) < 0.04
+
+
+@pytest.mark.parametrize("kind", ["json", "csv", "orc"])
+def test_tables_of_other_formats(spark, tmp_path, kind):
+    docs = documents(spark, ["a b", "c", "a b", "d e f"])
+    docs.write.option("header", True).format(kind).save(str(tmp_path / kind))
+    read = spark.read.schema(docs.schema).option("header", True).format(kind)
+    got = sharding.assign_shards(read.load(str(tmp_path / kind))).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3]

@@ -8,19 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import decontamination, language, mixing, sharding, shingles
+from hearsay.llm import decontamination, language, mixing, sharding, simhash
 from hearsay.operators.scratch import store
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose language is less likely than not."""
+    """Drops texts without a letter, and those that fit none of the learned languages."""
     return language.keep_known(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (shingles of five
-    words, similarity 0.8 or more)."""
-    return shingles.keep_first(docs)
+    """Keeps the document with the smallest id of each group whose fingerprints are linked
+    (shingles of three words, two differing bits)."""
+    return simhash.keep_first(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

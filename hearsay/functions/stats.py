@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import patterns as P
 from .text import as_column, bind, words
@@ -55,44 +52,6 @@ def text_statistics(c: Column | str) -> Column:
     return bind(words(c), rule)
 
 
-# Patterns of everyday dates, and of what may stand around them.
-DATE_FORMATS = (
-    "MMM d, yyyy",
-    "MMM d, yyyy h:mm a",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "M/d/yyyy",
-    "M/d/yyyy HH:mm:ss",
-    "M/d/yyyy h:mm a",
-)
-WEEKDAY = r"^\s*(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
-ZONE = r"(?:(?<=\d)Z|\s*(?:UTC|GMT)|(?<=:\d\d)\s*[+-]\d\d:?\d\d|(?<=\d\.\d{1,9})[+-]\d\d:?\d\d)\s*$"
-OFFSET = r"([+-])(\d\d):?(\d\d)\s*$"
-
-
-def to_datetime(
-    c: Column | str, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS
-) -> Column:
-    """Timestamp without zone, or null where the value cannot be read.
-
-    Text in ISO form is read first, then each of the ``formats``. A weekday before the date and a
-    middle dot in it do not matter. A time with an offset is converted to UTC.
-    """
-    c = as_column(c)
-    if not isinstance(dtype, T.StringType):
-        return c.try_cast("timestamp_ntz")
-    zone = F.regexp_extract(c, ZONE, 0)
-    bare = F.regexp_replace(F.regexp_replace(c, ZONE, ""), WEEKDAY, "")
-    bare = F.trim(F.regexp_replace(bare, r"\s*\x{b7}\s*", " "))
-    tried = [F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    local = F.coalesce(bare.try_cast("timestamp_ntz"), *tried)
-    part = [F.regexp_extract(zone, OFFSET, i) for i in (1, 2, 3)]
-    minutes = part[1].try_cast("int") * 60 + part[2].try_cast("int")
-    minutes = F.coalesce(F.when(part[0] == "-", -minutes).otherwise(minutes), F.lit(0))
-    return local - F.make_dt_interval(mins=minutes)
-
-
 def time_features(d: Column | str) -> dict[str, Column]:
     """Calendar fields of a timestamp; Monday is day 0 and an unknown date is no weekend."""
     d = as_column(d)

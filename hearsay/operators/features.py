@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import DATE_FORMATS, TEXT_STATS, text_statistics, time_features
+from ..functions.stats import TEXT_STATS, text_statistics, time_features
 from ..functions.text import once
 from .filters import coerce_dates
 from .joins import lookup_join
@@ -25,7 +25,7 @@ def add_text_features(df: DataFrame, text_column: str = "text_cleaned") -> DataF
 
 
 def add_time_features(
-    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = ()
 ) -> DataFrame:
     if date_column not in df.columns:
         return df

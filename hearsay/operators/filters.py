@@ -8,8 +8,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import to_datetime
 from ..functions.scores import SENTIMENT_COLUMNS
-from ..functions.stats import DATE_FORMATS, to_datetime
 from ..functions.text import (
     Cleaner,
     as_column,
@@ -54,10 +54,10 @@ def clean_posts(
 
 
 def coerce_dates(
-    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = (), day_first: bool = False
 ) -> DataFrame:
     """Read the date column as timestamps; values that are not dates become null."""
-    parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
+    parsed = to_datetime(date_column, df.schema[date_column].dataType, formats, day_first)
     return df.withColumn(date_column, parsed)
 
 
@@ -67,7 +67,7 @@ def filter_by_date(
     end_date: str | None = None,
     date_column: str = "date",
     day_column: str | None = None,
-    formats: Sequence[str] = DATE_FORMATS,
+    formats: Sequence[str] = (),
 ) -> DataFrame:
     """Both bounds inclusive and optional. A bare end date means its midnight.
 

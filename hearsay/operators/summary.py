@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.dates import to_datetime
 from ..functions.scores import SENTIMENT_COLUMNS
-from ..functions.stats import DATE_FORMATS, to_datetime
 from ..schema import SENTIMENT_LABELS
 from .quantiles import exact_quantiles
 from .scratch import store
@@ -89,27 +92,69 @@ def confidence_boxstats(df: DataFrame, label_column: str = LABEL, score_column:
     return found.groupBy(label_column).agg(*ends, F.max("count").alias("count"))
 
 
-# Bucket start by period, and how the label at the end of the bucket follows from it.
-PERIODS = {"H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
+# Bucket start by unit.
+UNITS = {"H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
+HOURS = {"H": 1, "D": 24}
+MONTHS = {"M": 1, "Q": 3, "Y": 12}
 
 
-def time_bucket(d: Column, period: str = "D", label: str = "end") -> Column:
+@dataclass(frozen=True)
+class Period:
+    """A unit of time, or so many of them together: ``D``, ``W``, ``2W``, ``6H``."""
+
+    many: int
+    unit: str
+
+    @classmethod
+    def parse(cls, period: str) -> Period:
+        found = re.fullmatch(r"([1-9]\d*)?([HDWMQY])", period)
+        if not found:
+            raise ValueError(f"Unsupported period: {period}")
+        return cls(int(found[1] or 1), found[2])
+
+
+def time_bucket(
+    d: Column, period: str = "D", label: str = "end", origin: dt.date | str | None = None
+) -> Column:
     """Bucket of a timestamp. Weeks run Monday to Sunday.
 
-    Weeks, months, quarters and years are labelled by their last day unless ``label='start'``.
+    Weeks, months, quarters and years are labelled by their last day unless ``label='start'``;
+    hours and days by their start. Several units together are counted from ``origin``, the first
+    date: hours and days from its midnight; of longer units, the one that holds the origin ends the
+    first bucket.
     """
-    if period not in PERIODS:
-        raise ValueError(f"Unsupported period: {period}")
-    start = F.date_trunc(PERIODS[period], d).cast("timestamp_ntz")
-    if period == "H":
+    p = Period.parse(period)
+    start = F.date_trunc(UNITS[p.unit], d).cast("timestamp_ntz")
+    if p.many == 1:
+        return _labelled(start, p.unit, label)
+    if origin is None:
+        raise ValueError("Several units together need an origin")
+    origin = F.lit(origin).cast("timestamp_ntz")
+    if p.unit in HOURS:
+        midnight = F.date_trunc("day", origin).cast("timestamp_ntz")
+        hours = HOURS[p.unit] * p.many
+        passed = F.floor(F.timestamp_diff("HOUR", midnight, start) / hours) * hours
+        bucket = F.timestamp_add("HOUR", passed.cast("int"), midnight)
+        return bucket if p.unit == "H" else bucket.cast("date")
+    first = F.date_trunc(UNITS[p.unit], origin).cast("timestamp_ntz")
+    step = "WEEK" if p.unit == "W" else "MONTH"
+    size = MONTHS.get(p.unit, 1)
+    units = F.floor(F.timestamp_diff(step, first, start) / size)
+    last = F.ceil(units / p.many) * p.many
+    if label == "start":
+        last = last - (p.many - 1)
+    return _labelled(F.timestamp_add(step, (last * size).cast("int"), first), p.unit, label)
+
+
+def _labelled(start: Column, unit: str, label: str) -> Column:
+    if unit == "H":
         return start
     first = start.cast("date")
-    if label == "start" or period == "D":
+    if label == "start" or unit == "D":
         return first
-    if period == "W":
+    if unit == "W":
         return F.date_add(first, 6)
-    months = {"M": 0, "Q": 2, "Y": 11}[period]
-    return F.last_day(F.add_months(first, months))
+    return F.last_day(F.add_months(first, MONTHS[unit] - 1))
 
 
 def _label_counts(labels: Sequence[str], column: str) -> list[Column]:
@@ -123,12 +168,18 @@ def _all_labels(df: DataFrame) -> list[str]:
 
 
 def _bucketed(
-    df: DataFrame, date_column: str, period: str, label: str, formats: Sequence[str]
+    df: DataFrame,
+    date_column: str,
+    period: str,
+    label: str,
+    formats: Sequence[str],
+    origin: dt.date | str | None = None,
 ) -> DataFrame:
     parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
-    bucketed = df.where(F.col(LABEL).isNotNull()).select(
-        time_bucket(parsed, period, label).alias("bucket"), LABEL
-    )
+    dated = df.where(F.col(LABEL).isNotNull()).select(parsed.alias("_date"), LABEL)
+    if Period.parse(period).many > 1 and origin is None:
+        origin = dated.agg(F.min("_date").cast("date")).first()[0] or "1970-01-01"
+    bucketed = dated.select(time_bucket(F.col("_date"), period, label, origin).alias("bucket"), LABEL)
     return bucketed.where(F.col("bucket").isNotNull())
 
 
@@ -138,15 +189,17 @@ def sentiment_trends(
     period: str = "D",
     labels: Sequence[str] | None = None,
     label: str = "end",
-    formats: Sequence[str] = DATE_FORMATS,
+    formats: Sequence[str] = (),
+    origin: dt.date | str | None = None,
 ) -> DataFrame:
     """Percentage of each label per time bucket, of all labelled posts in it.
 
-    Only buckets with posts appear. Without ``labels`` every label found has a column (one small
+    ``period`` is ``H``, ``D``, ``W``, ``M``, ``Q`` or ``Y``, or a number of them, counted from
+    ``origin``; without one a small job finds the first date. Only buckets with posts appear. Without ``labels`` every label found has a column (one small
     job finds them); with them the columns are fixed and one aggregation is enough.
     """
     labels = _all_labels(df) if labels is None else labels
-    counts = _bucketed(df, date_column, period, label, formats).groupBy("bucket").agg(
+    counts = _bucketed(df, date_column, period, label, formats, origin).groupBy("bucket").agg(
         *_label_counts(labels, LABEL), F.count("*").alias("_all")
     )
     percents = [(F.col(n) / F.col("_all") * 100).alias(n) for n in labels]
@@ -154,7 +207,7 @@ def sentiment_trends(
 
 
 def sentiment_timeline(
-    df: DataFrame, date_column: str = "date", formats: Sequence[str] = DATE_FORMATS
+    df: DataFrame, date_column: str = "date", formats: Sequence[str] = ()
 ) -> DataFrame:
     """Posts per day and label, in long form."""
     days = _bucketed(df, date_column, "D", "start", formats)
@@ -165,7 +218,7 @@ def sentiment_timeline_wide(
     df: DataFrame,
     date_column: str = "date",
     labels: Sequence[str] | None = None,
-    formats: Sequence[str] = DATE_FORMATS,
+    formats: Sequence[str] = (),
 ) -> DataFrame:
     """Posts per day with a column for each label, by default for every label found."""
     labels = _all_labels(df) if labels is None else labels

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import to_datetime
+from ..functions.dates import to_datetime
 from ..schema import POST, REQUIRED_COLUMNS
 
 # One quoted file with embedded line breaks is read by one task, so files are kept to this many rows.

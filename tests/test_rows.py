@@ -144,6 +144,39 @@ def test_large_quota_is_still_trimmed_early(spark):
         ("2024-01-31T23:00:00Z", "2024-01-31 23:00:00"),
         ("2024-01-31 23:00:00.25+01:00", "2024-01-31 22:00:00.250000"),
         ("2024-01-31", "2024-01-31 00:00:00"),
+        ("2024/01/05", "2024-01-05 00:00:00"),
+        ("2024/1/5 13:04:05", "2024-01-05 13:04:05"),
+        ("2024.01.05 3:04", "2024-01-05 03:04:00"),
+        ("20240105", "2024-01-05 00:00:00"),
+        ("20240105T130405", "2024-01-05 13:04:05"),
+        ("202401051304", "2024-01-05 13:04:00"),
+        ("13/05/2024", "2024-05-13 00:00:00"),
+        ("05-13-2024", "2024-05-13 00:00:00"),
+        ("1/5/2024 3:04 PM", "2024-01-05 15:04:00"),
+        ("1/5/2024 12:04 am", "2024-01-05 00:04:00"),
+        ("1/5/2024 12:04 p.m.", "2024-01-05 12:04:00"),
+        ("05.01.2024 13:04", "2024-01-05 13:04:00"),
+        ("January 5 2024", "2024-01-05 00:00:00"),
+        ("Sept 5th, 2024 at 3pm", "2024-09-05 15:00:00"),
+        ("5 January 2024", "2024-01-05 00:00:00"),
+        ("5th of DECEMBER, 2024 13:04:05.25", "2024-12-05 13:04:05.250000"),
+        ("05-Jan-2024", "2024-01-05 00:00:00"),
+        ("2024 Feb 5", "2024-02-05 00:00:00"),
+        ("Fri Jan 05 13:04:05 +0200 2024", "2024-01-05 11:04:05"),
+        ("1704459845", "2024-01-05 13:04:05"),
+        ("1704459845.5", "2024-01-05 13:04:05.500000"),
+        ("1704459845000", "2024-01-05 13:04:05"),
+        ("1704459845000001", "2024-01-05 13:04:05.000001"),
+        ("1704459845000001999", "2024-01-05 13:04:05.000001"),
+        ("2024-01-05T13:04:05.123456789Z", "2024-01-05 13:04:05.123456"),
+        ("2024", "2024-01-01 00:00:00"),
+        ("2024-02-30", None),
+        ("13/13/2024", None),
+        ("1/5/2024 13:04 PM", None),
+        ("5 Foo 2024", None),
+        ("20241305", None),
+        ("12345", None),
+        ("10:30", None),
         ("garbage", None),
         ("", None),
         (None, None),
@@ -155,6 +188,27 @@ def test_everyday_dates(spark, text, expected):
     assert (None if got is None else str(got)) == expected
 
 
+def test_day_first_and_numbers(spark):
+    df = spark.createDataFrame([("05/01/2024",), ("05/13/2024",), ("13-05-2024",)], "date string")
+    got = [str(r["date"])[:10] for r in coerce_dates(df, day_first=True).collect()]
+    assert got == ["2024-01-05", "2024-05-13", "2024-05-13"]
+    moment = dt.datetime(2024, 1, 5, 13, 4, 5)
+    for kind, value in (("bigint", 1704459845), ("bigint", 1704459845000), ("double", 1704459845.0)):
+        df = spark.createDataFrame([(value,), (None,)], f"date {kind}")
+        assert [r["date"] for r in coerce_dates(df).collect()] == [moment, None]
+
+
+def test_epochs_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("1704459845",), ("2024-01-05 13:04:05 UTC",)], "date string")
+        got = coerce_dates(df).select(F.col("date").cast("string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r[0] for r in got] == ["2024-01-05 13:04:05"] * 2
+
+
 def test_names_are_found_by_words(spark):
     text = "Yesterday Amazon and IBM cut jobs, PayPal and LinkedIn too. Amazon again; amazon, New York Times"
     names = ["Amazon", "IBM", "PayPal", "LinkedIn", "New York", "New York Times", "York"]

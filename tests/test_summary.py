@@ -7,8 +7,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from hearsay.operators import summary
+from hearsay.operators import cube, summary
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +59,9 @@ def test_boxstats(scored):
         assert list(r)[1:] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("period, freq", [("D", "D"), ("W", "W"), ("M", "ME"), ("Q", "QE"), ("Y", "YE"), ("H", "h")])
+@pytest.mark.parametrize("period, freq", [("D", "D"), ("W", "W"), ("M", "ME"), ("Q", "QE"), ("Y", "YE"), ("H", "h"),
+                                            ("2W", "2W"), ("3D", "3D"), ("6H", "6h"), ("2M", "2ME"), ("2Q", "2QE"),
+                                            ("3W", "3W"), ("2Y", "2YE"), ("5M", "5ME"), ("36H", "36h")])
 def test_trends_match_pandas_grouping(scored, period, freq):
     df, pdf = scored
     pdf = pdf.assign(date=pd.to_datetime(pdf.date))
@@ -78,8 +81,14 @@ def test_trend_options(scored):
     df, _ = scored
     starts = summary.sentiment_trends(df, period="W", label="start").collect()
     assert {r["bucket"].weekday() for r in starts} == {0}
-    with pytest.raises(ValueError):
-        summary.sentiment_trends(df, period="X")
+    for period in ("X", "0D", "W2", "-1D", ""):
+        with pytest.raises(ValueError):
+            summary.sentiment_trends(df, period=period)
+    pairs = summary.sentiment_trends(df, period="2W", label="start").collect()
+    ends = summary.sentiment_trends(df, period="2W").collect()
+    assert {r["bucket"] + dt.timedelta(13) for r in pairs} == {r["bucket"] for r in ends}
+    fixed = summary.sentiment_trends(df, period="2W", origin="2001-01-01").collect()
+    assert {(r["bucket"] - dt.date(2001, 1, 7)).days % 14 for r in fixed} == {0}
 
 
 def test_timelines_agree(scored):
@@ -120,3 +129,41 @@ def test_dashboard_has_all_tables(scored):
     df, _ = scored
     for name, table in summary.dashboard(df).items():
         assert table.take(1), name
+
+
+def test_cube_gives_the_reports(scored):
+    df, _ = scored
+    whole = cube.report_cube(df)
+    key = lambda r: str(r)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.collect()), key=key)
+    assert same(cube.cube_distribution(whole), summary.label_distribution(df))
+    assert same(cube.cube_timeline(whole), summary.sentiment_timeline(df))
+    labels = ["POSITIVE", "NEGATIVE", "1 STAR", "NEUTRAL"]
+    wide = summary.sentiment_timeline_wide(df, labels=labels)
+    assert same(cube.cube_timeline_wide(whole, labels), wide)
+    for period in ("D", "W", "2W", "3D", "M", "Y"):
+        assert same(cube.cube_trends(whole, period, labels), summary.sentiment_trends(df, period=period, labels=labels))
+    with pytest.raises(ValueError):
+        cube.cube_trends(whole, "6H")
+    got, want = cube.cube_statistics(whole).first(), summary.sentiment_statistics(df).first()
+    for name in set(got.asDict()) & set(want.asDict()):
+        assert got[name] == pytest.approx(want[name]), name
+    box = {r["sentiment_label"]: r for r in summary.confidence_boxstats(df).collect()}
+    for r in cube.cube_range(whole).collect():
+        assert (r["min"], r["max"], r["count"]) == tuple(box[r[0]][c] for c in ("min", "max", "count"))
+
+
+def test_cubes_merge(scored):
+    df, _ = scored
+    parts = [df.where(F.col("sentiment_score") > 0.5), df.where("NOT coalesce(sentiment_score > 0.5, false)")]
+    merged = cube.merge_cubes(*map(cube.report_cube, parts))
+    rows = lambda x: {tuple(r)[:2]: [None if v is None else round(v, 9) for v in tuple(r)[2:]] for r in x.collect()}
+    assert rows(merged) == rows(cube.report_cube(df))
+    assert rows(cube.merge_cubes(merged, cube.report_cube(df.limit(0)))) == rows(merged)
+    assert cube.cube_statistics(cube.report_cube(df.limit(0))).first()["total_posts"] == 0
+
+
+def test_cube_is_one_scan(scored):
+    df, _ = scored
+    plan = cube.report_cube(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1

@@ -153,10 +153,16 @@ register(
       ELSE date_trunc('second', date) + INTERVAL 8 HOUR END AS date FROM dated""",
     V.DATED,
 )
+register(
+    "coerce_dates_shapes",
+    """SELECT post_id, CASE WHEN post_id % 10 IN (1, 2, 4, 8) THEN date_trunc('day', date)
+      ELSE date_trunc('second', date) END AS date FROM dated""",
+    V.DATED,
+)
 register(
     "filter_by_date",
     """SELECT * FROM parsed
-    WHERE date >= TIMESTAMP '2024-01-05' AND date <= TIMESTAMP '2024-01-20'""",
+    WHERE date >= TIMESTAMP '2024-01-02' AND date <= TIMESTAMP '2024-01-03 12:00:00'""",
     V.DATED,
     V.TEXT_DATES,
     PARSED,
@@ -497,6 +503,60 @@ for name, bucket in (
         f"SELECT {bucket} AS bucket, {percents} FROM scored GROUP BY ALL",
         *SCORED,
     )
+SUNDAYS = """sundays AS (SELECT *, CAST(date_trunc('week', date) AS DATE) + 6 AS sunday,
+  min(CAST(date_trunc('week', date) AS DATE) + 6) OVER () AS first FROM scored)"""
+register(
+    "sentiment_trends_2w",
+    f"""SELECT first + CAST(14 * ceil((sunday - first) / 14) AS INTEGER) AS bucket, {percents}
+    FROM sundays GROUP BY ALL""",
+    *SCORED,
+    SUNDAYS,
+)
+register(
+    "sentiment_trends_6h",
+    f"""SELECT time_bucket(INTERVAL 6 HOUR, date, TIMESTAMP '2000-01-01') AS bucket, {percents}
+    FROM scored GROUP BY ALL""",
+    *SCORED,
+)
+CUBE = ", ".join(
+    f"count({c}) AS {m}_n, round(sum({c}), 6) AS {m}_sum, round(sum({c} * {c}), 6) AS {m}_squares, "
+    f"round(min({c}), 6) AS {m}_min, round(max({c}), 6) AS {m}_max"
+    for m, c in (
+        ("confidence", "sentiment_score"), ("positive", "sentiment_positive"),
+        ("negative", "sentiment_negative"), ("neutral", "sentiment_neutral"),
+    )
+)
+register(
+    "report_cube",
+    f"""SELECT CAST(date AS DATE) AS day, sentiment_label, count(*) AS posts, {CUBE}
+    FROM scored GROUP BY ALL""",
+    *SCORED,
+)
+
+
+def unpivoted(report: str, key: str, table: str, **measures: str) -> str:
+    """Rows ``(report, key, measure, value)`` of the grouped ``table``."""
+    columns = ", ".join(f'CAST({x} AS DOUBLE) AS "{m}"' for m, x in measures.items())
+    group = "GROUP BY key" if key != "'all'" else ""
+    return f"""SELECT '{report}' AS report, key, measure, round(value, 6) AS value FROM (
+      UNPIVOT (SELECT {key} AS key, {columns} FROM {table} {group})
+      ON {", ".join(f'"{m}"' for m in measures)} INTO NAME measure VALUE value)"""
+
+
+REPORTS = (
+    unpivoted("distribution", "sentiment_label", "scored", count="count(*)",
+              share="count(*) / (SELECT count(*) FROM scored)"),
+    unpivoted("range", "sentiment_label", "scored", min="min(sentiment_score)",
+              max="max(sentiment_score)", count="count(*)"),
+    unpivoted("statistics", "'all'", "scored", total_posts="count(*)",
+              avg_positive="avg(sentiment_positive)", avg_negative="avg(sentiment_negative)",
+              mean_confidence="avg(sentiment_score)", std_confidence="stddev_samp(sentiment_score)"),
+    unpivoted("timeline", "concat(CAST(date AS DATE), ' ', sentiment_label)", "scored",
+              count="count(*)"),
+    unpivoted("trends", "CAST(CAST(date_trunc('week', date) AS DATE) + 6 AS VARCHAR)", "scored",
+              **{n: f"count(*) FILTER (sentiment_label = '{n}') / count(*) * 100" for n in LABELS}),
+)
+register("report_cube_tables", " UNION ALL ".join(REPORTS), *SCORED)
 register(
     "sentiment_timeline",
     """SELECT CAST(date AS DATE) AS bucket, sentiment_label, count(*) AS count

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hearsay.functions import scores as S
 from hearsay.functions import text as X
 from hearsay.functions.text import BASIC_STOPWORDS
-from hearsay.operators import dedup, entities, features, filters, keywords, summary, topics
+from hearsay.operators import cube, dedup, entities, features, filters, keywords, summary, topics
 from hearsay.operators import sentiment as sent
 from hearsay.operators import vectorize as vec
 from hearsay.operators.scratch import cut_lineage, new_path, store
@@ -211,7 +211,7 @@ def sample_posts(spark, sf_dir):
 
 @query
 def filter_by_date(spark, sf_dir):
-    return filters.filter_by_date(V.text_dates(spark, sf_dir), "2024-01-05", "2024-01-20")
+    return filters.filter_by_date(V.text_dates(spark, sf_dir), "2024-01-02", "2024-01-03 12:00:00")
 
 
 @query
@@ -232,6 +232,23 @@ def coerce_dates_mixed(spark, sf_dir):
     return filters.coerce_dates(dated.select("post_id", text.alias("date")))
 
 
+#: Forms of a date by post_id modulo ten; half of them drop the time of day.
+DATE_SHAPES = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "yyyyMMdd'T'HHmmss", "d MMMM yyyy",
+    "MMMM d, yyyy h:mm:ss a", "dd.MM.yyyy HH:mm:ss", "EEE MMM dd HH:mm:ss '+0000' yyyy", "MM/dd/yyyy",
+)
+
+
+@query
+def coerce_dates_shapes(spark, sf_dir):
+    """Ten forms of a date, one parse each; the tenth is epoch seconds."""
+    text = F.unix_timestamp("date").cast("string")
+    for i, form in enumerate(DATE_SHAPES):
+        text = F.when(F.col("post_id") % 10 == i, F.date_format("date", form)).otherwise(text)
+    dated = V.dated_posts(spark, sf_dir).select("post_id", text.alias("date"))
+    return filters.coerce_dates(dated)
+
+
 @query
 def preprocess_posts(spark, sf_dir):
     posts = V.noisy_posts(spark, sf_dir).select("post_id", "text")
@@ -583,6 +600,8 @@ def _trends(period: str) -> Query:
 QUERIES["sentiment_trends_day"] = _trends("D")
 QUERIES["sentiment_trends_week"] = _trends("W")
 QUERIES["sentiment_trends_month"] = _trends("M")
+QUERIES["sentiment_trends_2w"] = _trends("2W")
+QUERIES["sentiment_trends_6h"] = _trends("6H")
 
 
 @query
@@ -626,6 +645,55 @@ def dashboard(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _cube(spark, sf_dir) -> DataFrame:
+    return cube.report_cube(V.scored_posts(spark, sf_dir))
+
+
+@query
+def report_cube(spark, sf_dir):
+    made = _cube(spark, sf_dir)
+    return rounded(made, *[c for c, kind in made.dtypes if kind == "double"])
+
+
+@query
+def report_cube_tables(spark, sf_dir):
+    """Values of the report tables, all from one stored cube of two merged halves."""
+    scored = V.scored_posts(spark, sf_dir)
+    halves = [cube.report_cube(scored.where(F.col("post_id") % 2 == i)) for i in (0, 1)]
+    whole = store(cube.merge_cubes(*halves), "cube")
+    tables = {
+        "distribution": (cube.cube_distribution(whole), F.col("sentiment_label"), ("count", "share")),
+        "range": (cube.cube_range(whole), F.col("sentiment_label"), ("min", "max", "count")),
+        "statistics": (
+            cube.cube_statistics(whole),
+            F.lit("all"),
+            ("total_posts", "avg_positive", "avg_negative", "mean_confidence", "std_confidence"),
+        ),
+        "timeline": (
+            cube.cube_timeline(whole),
+            F.concat_ws(" ", F.col("bucket").cast("string"), "sentiment_label"),
+            ("count",),
+        ),
+        "trends": (
+            cube.cube_trends(whole, "W"),
+            F.col("bucket").cast("string"),
+            ("POSITIVE", "NEGATIVE", "NEUTRAL"),
+        ),
+    }
+    parts = []
+    for name, (table, key, measures) in tables.items():
+        pairs = [F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in measures]
+        parts.append(
+            table.select(key.alias("key"), F.explode(F.array(*pairs)).alias("x")).select(
+                F.lit(name).alias("report"),
+                "key",
+                F.col("x.m").alias("measure"),
+                F.round("x.v", 6).alias("value"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def quick_start(spark, sf_dir):
     """Flagship: clean noisy posts, score them, and summarise the confident ones."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..schema import MAX_DF, MIN_DF
 from .joins import lookup_join
 from .scratch import store
-from .vectorize import Proportion, document_limit, english_stopwords, terms
+from .termcounts import TERMS, count_terms
+from .vectorize import Proportion, document_limit, english_stopwords
 
 
 def keyword_scores(
@@ -28,17 +29,10 @@ def keyword_scores(
     kept of them is one row of term counts each.
     """
     stop = tuple(english_stopwords() if stopwords is None else stopwords)
-    grams = terms(text_column, ngram_range, stop)
-    posts = store(
-        df.select(F.monotonically_increasing_id().alias("_row"), grams.alias("terms")), "terms"
-    )
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), text_column)
+    posts = store(count_terms(numbered, text_column, ngram_range, stop, ["_row"]), "terms")
     n_docs = posts.count()
-    counts = (
-        posts.select("_row", F.explode("terms").alias("term"))
-        .groupBy("_row", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    counts = store(counts, "counts")
+    counts = posts.select("_row", F.inline(TERMS).alias("term", "tf"))
     frequencies = (
         counts.groupBy("term")
         .agg(F.count("*").alias("docs"))

@@ -26,7 +26,7 @@ from ..functions.text import bind, once
 from ..schema import MODEL_OUTPUT
 from .joins import lookup_join
 from .scratch import store
-from .vectorize import TermModel, fit_terms
+from .vectorize import TermModel, fit_transform
 
 # The most words that an inline word list may have.
 MAX_INLINE_WORDS = 20_000
@@ -270,8 +270,9 @@ def train_scorer(
     **term_options,
 ) -> TrainedScorer:
     labelled = df.where(F.col(label_column).isNotNull())
-    model = fit_terms(labelled.select(text_column), text_column, **term_options)
-    vectors = model.transform(labelled.select(text_column, label_column), text_column, "_features")
+    model, vectors = fit_transform(
+        labelled, text_column, "_features", keep=[label_column], **term_options
+    )
     classifier = LogisticRegression(
         featuresCol="_features",
         labelCol=label_column,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import NUM_TOPICS, RANDOM_SEED
 from .scratch import cut_lineage
-from .vectorize import TermModel, fit_counts
+from .vectorize import COUNTS, TermModel, fit_transform
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,8 @@ def fit_topics(
 ) -> TopicModel:
     """Every iteration reads all texts; a lower ``subsampling_rate`` reads that share, drawn anew
     each time, which is faster and may miss texts altogether."""
-    terms = fit_counts(df.select(text_column), text_column, **term_options)
-    vectors = terms.transform(df.select(text_column), text_column, "_features")
+    options = {**COUNTS, **term_options}
+    terms, vectors = fit_transform(df, text_column, "_features", keep=(), **options)
     lda = LDA(
         k=k,
         seed=seed,
@@ -65,7 +65,7 @@ def fit_topics(
         topicDistributionCol="topic_weights",
     )
     # Every iteration reads the vectors, so they are computed once; lost blocks are recomputed.
-    vectors = vectors.select("_features").persist()
+    vectors = vectors.persist()
     try:
         return TopicModel(terms, lda.fit(vectors))
     finally:

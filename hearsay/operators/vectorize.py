@@ -1,68 +1,73 @@
 """Count and TF-IDF features over a bounded vocabulary.
 
-Fitting is one aggregation per term. Applying the vocabulary needs no shuffle: every document is
-turned into a sparse vector where it is read.
+Term counts of a document are found once (``count_terms``); fitting is one aggregation over them,
+and the vectors follow from the same counts where they are read, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-    StopWordsRemover,
-    VectorAssembler,
-)
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.ml.feature import StopWordsRemover, VectorAssembler, VectorSizeHint
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import patterns as P
 from ..functions.stats import TEXT_STATS, TIME_FEATURES
-from ..functions.text import as_column, bind
 from ..schema import MAX_DF, MAX_FEATURES, MIN_DF
 from .features import add_text_features, add_time_features
 from .quantiles import exact_quantiles
 from .scratch import store
+from .termcounts import TERMS, count_terms, slices, term_totals
 
 Proportion = int | float
+#: Numbers of a dense matrix that a task holds at a time.
+DENSE_NUMBERS = 1 << 20
+
+# Task code travels with the job, so executors need no copy of this module.
+register_pickle_by_value(sys.modules[__name__])
 
 
 def english_stopwords() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def terms(
-    c: Column | str, ngram_range: tuple[int, int] = (1, 1), stopwords: Sequence[str] = ()
-) -> Column:
-    """Lower-cased tokens of two or more word characters, less stop words, as n-grams."""
-    tokens = F.regexp_extract_all(F.lower(as_column(c)), F.lit(P.TOKEN), F.lit(0))
-    if stopwords:
-        stop = sorted(set(stopwords))
-        tokens = F.filter(tokens, lambda t: ~t.isin(stop))
-    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
-    low, high = ngram_range
-    if high == 1:
-        return tokens
-
-    def grams(t: Column, n: int) -> Column:
-        if n == 1:
-            return t
-        starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(0)))
-
-        def gram(x: Column, i: Column) -> Column:
-            rest = (part for k in range(1, n) for part in (F.lit(" "), F.get(t, i + k)))
-            return F.concat(x, *rest)
+def sparse_vectors(size: int, cuts: np.ndarray, index: np.ndarray, value: np.ndarray) -> pa.Array:
+    """Sparse vectors of ``size`` positions in the layout of ``VectorUDT``; ``cuts`` are where each
+    row's entries begin, and their end."""
+    n, offsets = len(cuts) - 1, pa.array(cuts, pa.int32())
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.zeros(n, np.int8)),
+            pa.array(np.full(n, size, np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array(index.astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(value.astype(float))),
+        ],
+        names=["type", "size", "indices", "values"],
+    )
 
-        return F.transform(starts, gram)
 
-    return bind(tokens, lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
+def dense_vectors(rows: np.ndarray) -> pa.Array:
+    n, size = rows.shape
+    offsets = pa.array(np.arange(n + 1) * size, pa.int32())
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.ones(n, np.int8)),
+            pa.nulls(n, pa.int32()),
+            pa.nulls(n, pa.list_(pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(rows.ravel())),
+        ],
+        names=["type", "size", "indices", "values"],
+    )
 
 
 @dataclass(frozen=True)
@@ -80,29 +85,55 @@ class TermModel:
     def idf(self) -> list[float]:
         return [math.log((1 + self.n_docs) / (1 + df)) + 1 for df in self.doc_freq]
 
+    def vectors(self, counted: DataFrame, output: str = "features") -> DataFrame:
+        """The columns of ``counted`` with a sparse vector in place of its term counts."""
+        others = [c for c in counted.columns if c != TERMS]
+        fields = [counted.schema[c] for c in others]
+        schema = T.StructType([*fields, T.StructField(output, VectorUDT())])
+        vocabulary, size = self.vocabulary, len(self.vocabulary)
+        weights = np.array(self.idf) if self.tfidf else None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(vocabulary, pa.string())
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                entries = lists.flatten()
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                index = pc.fill_null(pc.index_in(entries.field("term"), known), -1).to_numpy()
+                kept = np.flatnonzero(index >= 0)
+                kept = kept[np.lexsort((index[kept], row[kept]))]
+                row, index = row[kept], index[kept]
+                value = entries.field("n").to_numpy()[kept].astype(float)
+                if weights is not None:
+                    value *= weights[index]
+                    length = np.sqrt(np.bincount(row, value * value, minlength=len(lists)))
+                    value /= length[row]
+                cuts = np.searchsorted(row, np.arange(len(lists) + 1))
+                found = sparse_vectors(size, cuts, index, value)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=schema.names)
+
+        return counted.select(*others, TERMS).mapInArrow(run, schema)
+
     def transform(
         self, df: DataFrame, text_column: str = "text_cleaned", output: str = "features"
     ) -> DataFrame:
         """Add a sparse vector column."""
-        with_terms = df.withColumn("_terms", terms(text_column, self.ngram_range, self.stopwords))
-        counts = output if not self.tfidf else "_counts"
-        stages = [CountVectorizerModel.from_vocabulary(list(self.vocabulary), "_terms", counts)]
-        if self.tfidf:
-            weights = Vectors.dense(self.idf)
-            stages += [
-                ElementwiseProduct(scalingVec=weights, inputCol=counts, outputCol="_weighted"),
-                Normalizer(p=2.0, inputCol="_weighted", outputCol=output),
-            ]
-        vectors = PipelineModel(stages).transform(with_terms)
-        return vectors.select(*df.columns, output)
+        counted = count_terms(df, text_column, self.ngram_range, self.stopwords)
+        return self.vectors(counted, output)
+
+    def entries(
+        self, vectors: DataFrame, keys: Sequence[str], column: str = "features"
+    ) -> DataFrame:
+        """``(*keys, term, value)`` for the terms each document has."""
+        stored = explode_vector(vectors, keys, column)
+        return name_entries(stored, self.vocabulary, "term").select(*keys, "term", "value")
 
     def long_form(
         self, df: DataFrame, keys: Sequence[str], text_column: str = "text_cleaned"
     ) -> DataFrame:
-        """``(*keys, term, value)`` for the terms each document has."""
-        vectors = self.transform(df.select(*keys, text_column), text_column, "_features")
-        entries = explode_vector(vectors, keys, "_features")
-        return name_entries(entries, self.vocabulary, "term").select(*keys, "term", "value")
+        """The same for texts that were not fitted."""
+        counted = count_terms(df, text_column, self.ngram_range, self.stopwords, keys)
+        return self.entries(self.vectors(counted), keys)
 
 
 def name_entries(entries: DataFrame, names: Sequence[str], output: str) -> DataFrame:
@@ -127,59 +158,69 @@ def document_limit(limit: Proportion, n_docs: int) -> float:
     return limit * n_docs if isinstance(limit, float) else limit
 
 
-def fit_terms(
+def fit_counted(
+    counted: DataFrame,
+    max_features: int,
+    min_df: Proportion,
+    max_df: Proportion,
+    tfidf: bool,
+    ngram_range: tuple[int, int],
+    stopwords: tuple[str, ...],
+) -> TermModel:
+    """Choose the ``max_features`` most frequent terms whose document frequency is in range. Only
+    the chosen vocabulary reaches the driver."""
+    n_docs = counted.count()
+    in_range = (F.col("docs") >= document_limit(min_df, n_docs)) & (
+        F.col("docs") <= document_limit(max_df, n_docs)
+    )
+    chosen = term_totals(counted).where(in_range)
+    chosen = chosen.orderBy(F.desc("total"), "term").limit(max_features)
+    rows = sorted((r["term"], r["docs"]) for r in chosen.collect())
+    if not rows:
+        raise ValueError("No terms remain: lower min_df or raise max_df")
+    return TermModel(
+        tuple(t for t, _ in rows), tuple(d for _, d in rows), n_docs, tfidf, ngram_range, stopwords
+    )
+
+
+def fit_transform(
     df: DataFrame,
     text_column: str = "text_cleaned",
+    output: str = "features",
+    keep: Sequence[str] | None = None,
     max_features: int = MAX_FEATURES,
     min_df: Proportion = MIN_DF,
     max_df: Proportion = MAX_DF,
     ngram_range: tuple[int, int] = (1, 2),
     stopwords: Sequence[str] | None = None,
     tfidf: bool = True,
-) -> TermModel:
-    """Choose the ``max_features`` most frequent terms whose document frequency is in range.
+) -> tuple[TermModel, DataFrame]:
+    """A fitted vocabulary, and the ``keep`` columns (all) of ``df`` with its vectors.
 
-    A document's terms are sorted so that the first of each run also counts the document. One
-    aggregation by term, combined in each task first, then gives both frequencies; pairs of
-    document and term are never shuffled. Only the chosen vocabulary reaches the driver.
-
-    The input is read twice here and again by ``transform``: store it first when it is costly to
-    compute, as cleaned text is.
+    ``df`` is read once: each row is stored with its term counts, from which all else comes.
     """
     stop = tuple(english_stopwords() if stopwords is None else stopwords)
+    counted = store(count_terms(df, text_column, ngram_range, stop, keep), "terms")
+    model = fit_counted(counted, max_features, min_df, max_df, tfidf, ngram_range, stop)
+    return model, model.vectors(counted, output)
 
-    def flagged(t: Column) -> Column:
-        def entry(x: Column, i: Column) -> Column:
-            is_new = F.coalesce(F.get(t, i - F.lit(1)) != x, F.lit(True))
-            return F.struct(x.alias("term"), is_new.alias("is_new"))
-
-        return F.transform(t, entry)
 
-    n_docs = df.count()
-    in_range = (F.col("docs") >= document_limit(min_df, n_docs)) & (
-        F.col("docs") <= document_limit(max_df, n_docs)
-    )
-    entries = bind(F.sort_array(terms(text_column, ngram_range, stop)), flagged)
-    chosen = (
-        df.select(F.inline(entries))
-        .groupBy("term")
-        .agg(F.count("*").alias("total"), F.count_if("is_new").alias("docs"))
-        .where(in_range)
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-    )
-    rows = sorted((r["term"], r["docs"]) for r in chosen.collect())
-    if not rows:
-        raise ValueError("No terms remain: lower min_df or raise max_df")
-    return TermModel(
-        tuple(t for t, _ in rows), tuple(d for _, d in rows), n_docs, tfidf, ngram_range, stop
-    )
+def fit_terms(
+    df: DataFrame, text_column: str = "text_cleaned", **options
+) -> TermModel:
+    """The vocabulary alone, with the options of ``fit_transform``."""
+    return fit_transform(df, text_column, keep=(), **options)[0]
 
 
-fit_tfidf = partial(fit_terms, tfidf=True)
-fit_counts = partial(fit_terms, tfidf=False, ngram_range=(1, 1))
-fit_basic_tfidf = partial(fit_terms, tfidf=True, max_features=500, ngram_range=(1, 1))
-fit_advanced_tfidf = partial(fit_terms, tfidf=True, max_features=2000, ngram_range=(1, 3))
+# The options of the ready-made vectorisers.
+TFIDF = {"tfidf": True}
+COUNTS = {"tfidf": False, "ngram_range": (1, 1)}
+BASIC_TFIDF = {"tfidf": True, "max_features": 500, "ngram_range": (1, 1)}
+ADVANCED_TFIDF = {"tfidf": True, "max_features": 2000, "ngram_range": (1, 3)}
+fit_tfidf = partial(fit_terms, **TFIDF)
+fit_counts = partial(fit_terms, **COUNTS)
+fit_basic_tfidf = partial(fit_terms, **BASIC_TFIDF)
+fit_advanced_tfidf = partial(fit_terms, **ADVANCED_TFIDF)
 
 
 @dataclass(frozen=True)
@@ -232,7 +273,8 @@ def feature_matrix(
 ) -> FeatureMatrix:
     """Text statistics, calendar fields and term weights in one vector.
 
-    Any ``vectorizer_type`` other than ``'tfidf'`` means counts.
+    Any ``vectorizer_type`` other than ``'tfidf'`` means counts. ``df`` is read once: its rows are
+    stored with their statistics, fields and term counts.
     """
     keep, names = df.columns, []
     if include_text_stats:
@@ -241,13 +283,14 @@ def feature_matrix(
     if include_temporal and "date" in df.columns:
         df = add_time_features(df)
         names += TIME_FEATURES
-    fit = fit_tfidf if vectorizer_type == "tfidf" else fit_counts
-    # Fitted on the text alone, so that the other features are not computed for it.
-    model = fit(df.select(text_column), text_column, **vectorizer_options)
-    vectors = model.transform(df, text_column, "_text_features")
+    options = {**(TFIDF if vectorizer_type == "tfidf" else COUNTS), **vectorizer_options}
+    model, vectors = fit_transform(df, text_column, "_text_features", **options)
+    sized = VectorSizeHint(
+        inputCol="_text_features", size=len(model.vocabulary), handleInvalid="optimistic"
+    )
     assembled = VectorAssembler(
         inputCols=[*names, "_text_features"], outputCol="features", handleInvalid="keep"
-    ).transform(vectors)
+    ).transform(sized.transform(vectors))
     frame = assembled.select(*keep, "features")
     return FeatureMatrix(frame, (*names, *model.vocabulary), model)
 
@@ -284,6 +327,71 @@ class MatrixScaler:
         entries = matrix.long_form(keys).join(F.broadcast(table), "feature")
         return entries.select(*keys, "feature", scaled)
 
+    def transform(self, matrix: FeatureMatrix, output: str = "scaled") -> ScaledMatrix:
+        """The scaled matrix: sparse vectors of value over width, and ``zeros`` to be added to
+        every row. Rows stay as sparse as they were."""
+        widths = np.array(self.widths)
+        parts = _sparse_parts("features")
+
+        def scale(index: np.ndarray, value: np.ndarray) -> np.ndarray:
+            return value / widths[index]
+
+        frame = _mapped(matrix.frame, parts, output, len(self.names), scale, None)
+        return ScaledMatrix(frame, self.names, self.zeros, output)
+
+
+def _mapped(frame, parts, output, size, scale, offset) -> DataFrame:
+    """``frame`` with one more vector column: the entries in ``parts``, scaled, in sparse rows; or
+    added to ``offset`` in dense ones."""
+    schema = T.StructType([*frame.schema.fields, T.StructField(output, VectorUDT())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(np.full(batch.num_rows, size), DENSE_NUMBERS):
+                part = batch.slice(start, stop - start)
+                index, value = part.column(part.num_columns - 1).flatten()
+                cuts = index.offsets.to_numpy() - index.offsets[0].as_py()
+                index, value = index.flatten().to_numpy(), value.flatten().to_numpy()
+                kept = value != 0
+                row = np.repeat(np.arange(part.num_rows), np.diff(cuts))[kept]
+                index, value = index[kept], scale(index[kept], value[kept])
+                if offset is None:
+                    cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    found = sparse_vectors(size, cuts, index, value)
+                else:
+                    rows = np.tile(offset, (part.num_rows, 1))
+                    rows[row, index] += value
+                    found = dense_vectors(rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=schema.names)
+
+    return frame.select("*", parts.alias("_parts")).mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class ScaledMatrix:
+    """Sparse vectors in ``column`` of ``frame``; a row's scaled values are its vector plus
+    ``offset``. A linear model may use both as they are; others read ``dense``."""
+
+    frame: DataFrame
+    names: tuple[str, ...]
+    offset: tuple[float, ...]
+    column: str
+
+    def dense(self, output: str = "dense") -> DataFrame:
+        """``frame`` with the whole scaled vectors, for estimators of ``pyspark.ml``. A task holds
+        a bounded number of them at a time."""
+        same = lambda index, value: value
+        offset = np.array(self.offset)
+        return _mapped(
+            self.frame, _sparse_parts(self.column), output, len(self.names), same, offset
+        )
+
+    def long_form(self, keys: Sequence[str]) -> DataFrame:
+        """``(*keys, feature, value)`` for every position of every row, zeros of the matrix too."""
+        values = F.unwrap_udt("_dense")["values"]
+        every = self.dense("_dense").select(*keys, F.posexplode(values).alias("index", "value"))
+        return name_entries(every, self.names, "feature").select(*keys, "feature", "value")
+
 
 def fit_matrix_scaler(matrix: FeatureMatrix, method: str = "standard") -> MatrixScaler:
     """Standard, minmax or robust scaling of every position, zeros counted, NaN left out.

@@ -164,6 +164,59 @@ def test_matrix_scaling(spark, method):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_scaled_matrix_has_every_position(spark):
+    from pyspark.ml.feature import PCA
+
+    rows = [(1, "good dog. bad DOG!"), (2, "good dog"), (3, "old cat, good cat"), (4, None)]
+    df = spark.createDataFrame(rows, "post_id bigint, text_cleaned string").repartition(2)
+    matrix = vec.sentiment_features(df, min_df=1, max_df=1.0, stopwords=())
+    scaler = vec.fit_matrix_scaler(matrix, "standard")
+    scaled = scaler.transform(matrix)
+    dense = {r["post_id"]: r["v"] for r in scaled.dense().select("post_id", vector_to_array("dense").alias("v")).collect()}
+    raw = {r["post_id"]: r["v"] for r in matrix.frame.select("post_id", vector_to_array("features").alias("v")).collect()}
+    for i, row in raw.items():
+        # The statistics of a null text are null, which the matrix holds as NaN.
+        want = [(v - c) / w for v, c, w in zip(row, scaler.centers, scaler.widths)]
+        assert dense[i] == pytest.approx(want, abs=1e-12, nan_ok=True)
+    sizes = scaled.frame.select(F.size(F.unwrap_udt("scaled")["indices"]).alias("n"), "post_id").collect()
+    assert {r["post_id"]: r["n"] for r in sizes} == {i: sum(v != 0 for v in row) for i, row in raw.items()}
+    long = scaled.long_form(["post_id"]).collect()
+    assert len(long) == 4 * len(matrix.names)
+    assert {(r["post_id"], r["feature"]) for r in long} == {(i, n) for i in raw for n in matrix.names}
+    known = scaled.dense().where("post_id < 4")
+    assert PCA(k=2, inputCol="dense", outputCol="p").fit(known).transform(known).count() == 3
+
+
+def test_ngrams_are_counted_in_slices_of_any_size(spark, monkeypatch):
+    from hearsay.operators import termcounts
+
+    texts = ["a1 b1 a1 b1 a1", None, "", "c1", "b1 a1 b1", "x " * 40, "a1 " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").coalesce(1)
+    want = {}
+    for i, text in enumerate(texts):
+        toks = [t for t in (text or "").split() if len(t) > 1]
+        want[i] = Counter(" ".join(toks[j : j + n]) for n in (1, 2, 3) for j in range(len(toks) - n + 1))
+    for size in (1, 4, 1 << 18):
+        monkeypatch.setattr(termcounts, "SLICE_TOKENS", size)
+        counted = termcounts.count_terms(df, "t", (1, 3), keep=["id"])
+        got = {r["id"]: {e["term"]: e["n"] for e in r["_terms"]} for r in counted.collect()}
+        assert got == want
+    totals = {r["term"]: (r["total"], r["docs"]) for r in termcounts.term_totals(counted).collect()}
+    assert totals["b1 a1"] == (3, 2) and totals["a1"] == (34, 3)
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    """One pass over the texts for vocabulary, frequencies and vectors."""
+    spark.createDataFrame([(i, "a cat sat on a mat") for i in range(9)], "post_id bigint, text_cleaned string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for frame in (
+        vec.fit_transform(df, max_df=1.0)[1],
+        vec.sentiment_features(df, max_df=1.0).frame,
+    ):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in plan and str(tmp_path) not in plan
+
+
 DOCS = [
     "the cat sat on the mat",
     "The CAT ate; the dog sat!",

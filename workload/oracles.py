@@ -373,6 +373,25 @@ fitted AS (SELECT feature, sum(value) AS s, sum(value * value) AS q, min(value)
   quantile_cont(value, 0.75) AS q3 FROM filled GROUP BY feature)""",
     )
 
+stat_rows = " UNION ALL ".join(
+    f"SELECT post_id, '{n}' AS feature, CAST({x} AS DOUBLE) AS value FROM matrix_posts"
+    for n, x in matrix_stats.items()
+)
+register(
+    "scale_matrix_full",
+    """SELECT post_id, feature, round((value - avg(value) OVER same)
+      / coalesce(nullif(stddev_pop(value) OVER same, 0), 1), 6) AS value
+    FROM filled WINDOW same AS (PARTITION BY feature)""",
+    f"""matrix_posts AS (SELECT * FROM
+      (SELECT post_id, {Q.clean('text', 'moderate')} AS text_cleaned FROM posts)
+      WHERE {Q.is_not_blank('text_cleaned')})""",
+    Q.term_weights("matrix_posts", "text_cleaned", max_features=100),
+    f"entries AS ({stat_rows} UNION ALL SELECT post_id, term, value FROM weights)",
+    """filled AS (SELECT post_id, feature, coalesce(value, 0) AS value
+      FROM (SELECT DISTINCT feature FROM entries) CROSS JOIN (SELECT post_id FROM matrix_posts)
+      LEFT JOIN entries USING (feature, post_id))""",
+)
+
 # Scoring -------------------------------------------------------------------------------------
 
 PREPROCESSED = f"""preprocessed AS (SELECT * FROM

@@ -401,19 +401,21 @@ QUERIES["scale_minmax"] = _scaled("minmax")
 QUERIES["scale_robust"] = _scaled("robust")
 
 
-def _terms(fit) -> Query:
+def _terms(options: dict) -> Query:
     def run(spark, sf_dir):
-        posts = V.posts(spark, sf_dir).select("post_id", "text")
-        model = fit(posts, "text", stopwords=BASIC_STOPWORDS)
-        return rounded(model.long_form(posts, ["post_id"], "text"), "value")
+        posts = V.posts(spark, sf_dir)
+        model, vectors = vec.fit_transform(
+            posts, "text", keep=["post_id"], stopwords=BASIC_STOPWORDS, **options
+        )
+        return rounded(model.entries(vectors, ["post_id"]), "value")
 
     return run
 
 
-QUERIES["tfidf_terms"] = _terms(vec.fit_tfidf)
-QUERIES["count_terms"] = _terms(vec.fit_counts)
-QUERIES["tfidf_basic"] = _terms(vec.fit_basic_tfidf)
-QUERIES["tfidf_advanced"] = _terms(vec.fit_advanced_tfidf)
+QUERIES["tfidf_terms"] = _terms(vec.TFIDF)
+QUERIES["count_terms"] = _terms(vec.COUNTS)
+QUERIES["tfidf_basic"] = _terms(vec.BASIC_TFIDF)
+QUERIES["tfidf_advanced"] = _terms(vec.ADVANCED_TFIDF)
 
 
 def _matrix(build) -> Query:
@@ -446,6 +448,16 @@ QUERIES["scale_matrix_minmax"] = _scaled_matrix("minmax")
 QUERIES["scale_matrix_robust"] = _scaled_matrix("robust")
 
 
+@query
+def scale_matrix_full(spark, sf_dir):
+    """Every position of every row of a scaled matrix, zeros of the matrix too."""
+    posts = V.posts(spark, sf_dir).select("post_id", "text")
+    cleaned = store(filters.clean_posts(posts).drop("text"), "cleaned")
+    matrix = vec.sentiment_features(cleaned, stopwords=BASIC_STOPWORDS, max_features=100)
+    scaled = vec.fit_matrix_scaler(matrix, "standard").transform(matrix)
+    return rounded(scaled.long_form(["post_id"]), "value")
+
+
 # Scoring -------------------------------------------------------------------------------------
 
 

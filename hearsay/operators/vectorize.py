@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.ml.feature import StopWordsRemover, VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,11 +142,15 @@ def name_entries(entries: DataFrame, names: Sequence[str], output: str) -> DataF
     The table of names is broadcast: it has as many rows as the vectors have positions, which
     ``max_features`` bounds, and comes from the driver anyway.
     """
-    schema = f"index int, {output} string"
-    table = entries.sparkSession.createDataFrame(list(enumerate(names)), schema)
+    table = name_table(entries.sparkSession, names, output)
     return entries.join(F.broadcast(table), "index")
 
 
+def name_table(spark: SparkSession, names: Sequence[str], output: str) -> DataFrame:
+    """``(index, output)`` of a vocabulary."""
+    return spark.createDataFrame(list(enumerate(names)), f"index int, {output} string")
+
+
 def explode_vector(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """``(*keys, index, value)`` for the stored entries of a sparse vector column."""
     parts = F.unwrap_udt(column)

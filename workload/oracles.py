@@ -710,3 +710,140 @@ register(
     f"""dashboard_words AS (
   SELECT sentiment_label, unnest({Q.tokens('lower(text)')}) AS word FROM scored)""",
 )
+
+# Topics by language ----------------------------------------------------------------------------
+
+FOLD_STEPS = 5
+
+
+def language_topics() -> list[str]:
+    """WITH items up to ``weights(topic, class, term, weight)`` and ``known``, all posts' terms."""
+    counted = Q.term_weights("learned", ngrams=(1, 1), tfidf=False).split("raw AS (")[0].rstrip(",\n")
+    every = Q.term_weights("posts", ngrams=(1, 1), tfidf=False).split("size AS (")[0].rstrip(",\n")
+    for name in ("toks", "grams", "tf"):
+        every = every.replace(f"{name} AS (", f"all_{name} AS (").replace(f"FROM {name}", f"FROM all_{name}")
+    return [
+        "learned AS (SELECT * FROM posts WHERE post_id % 5 <> 0)",
+        counted,
+        every,
+        """seen AS (SELECT lang AS class, term, sum(tf) AS n
+          FROM tf JOIN vocab USING (term) JOIN posts USING (post_id) GROUP BY ALL)""",
+        """classes AS (SELECT class, sum(n) AS words, row_number() OVER (ORDER BY class) - 1 AS topic
+          FROM seen GROUP BY class)""",
+        """weights AS (SELECT CAST(topic AS INTEGER) AS topic, class, v.term,
+            (coalesce(n, 0) + 0.01::DOUBLE) / (words + 0.01::DOUBLE * (SELECT count(*) FROM vocab)) AS weight
+          FROM classes CROSS JOIN vocab v LEFT JOIN seen USING (class, term))""",
+        """known AS MATERIALIZED (SELECT post_id, term, topic, tf, weight,
+            sum(tf) OVER (PARTITION BY post_id, topic) AS words
+          FROM all_tf JOIN weights USING (term))""",
+        "shares0 AS MATERIALIZED (SELECT post_id, topic, 1.0::DOUBLE / (SELECT count(*) FROM classes)"
+        " AS share FROM posts CROSS JOIN classes)",
+        *(
+            f"""shares{i + 1} AS MATERIALIZED (SELECT post_id, topic, coalesce(found.share, old.share) AS share
+          FROM shares{i} old LEFT JOIN (
+            SELECT post_id, topic, sum(tf * joint / z) / any_value(words) AS share FROM (
+              SELECT k.*, weight * share AS joint, sum(weight * share) OVER (PARTITION BY post_id, term) AS z
+              FROM known k JOIN shares{i} USING (post_id, topic)) GROUP BY ALL) found
+          USING (post_id, topic))"""
+            for i in range(FOLD_STEPS)
+        ),
+        f"shares AS MATERIALIZED (SELECT * FROM shares{FOLD_STEPS})",
+        """likely AS (SELECT post_id, sum(tf * ln(z)) AS ll, sum(tf) AS words FROM (
+            SELECT post_id, term, tf, sum(weight * share) AS z
+            FROM known JOIN shares USING (post_id, topic) GROUP BY ALL) GROUP BY post_id)""",
+    ]
+
+
+register(
+    "topic_class_weights",
+    "SELECT topic, class, term, round(weight, 9) AS weight FROM weights",
+    *language_topics(),
+)
+register(
+    "topic_perplexity",
+    """SELECT count(*) AS posts, CAST(coalesce(sum(words), 0) AS BIGINT) AS words,
+      round(exp(-sum(ll) / sum(words)), 4) AS perplexity
+    FROM posts LEFT JOIN likely USING (post_id) WHERE post_id % 5 = 0""",
+    *language_topics(),
+)
+register(
+    "topic_shares",
+    """SELECT post_id, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(topic AS INTEGER) AS topic,
+      round(share, 6) AS share FROM shares LEFT JOIN likely USING (post_id)""",
+    *language_topics(),
+)
+TURNED = "list_transform({m}, lambda r: list_dot_product(r, v))"
+
+
+def axis(name: str, m: str) -> list[str]:
+    """WITH items ending in ``{name}(v, size)``: the main axis of matrix ``m`` by repeated products."""
+    turned = TURNED.format(m="m")
+    length = f"sqrt(list_dot_product({turned}, {turned}))"
+    return [
+        f"""{name}_steps AS (
+          SELECT 0 AS step, [1.0, 0.5, 0.25, 0.125]::DOUBLE[] AS v, 0.0::DOUBLE AS size
+          UNION ALL SELECT step + 1, list_transform({turned}, lambda u: u / {length}), {length}
+          FROM {name}_steps, {m} WHERE step < 600)""",
+        f"""{name} AS MATERIALIZED (SELECT list_transform(v, lambda u: u * sign(v[list_position(
+            list_transform(v, lambda w: round(abs(w), 9)), list_max(list_transform(v, lambda w: round(abs(w), 9))))])) AS v, size
+          FROM {name}_steps WHERE step = 600)""",
+    ]
+
+
+POINTS = [
+    *language_topics(),
+    """wide AS MATERIALIZED (SELECT post_id, list(share ORDER BY topic) AS w FROM shares GROUP BY post_id)""",
+    """m1 AS MATERIALIZED (SELECT list(line ORDER BY i) AS m FROM (
+        SELECT i, list(c ORDER BY j) AS line FROM (
+          SELECT i, j, covar_pop(w[i], w[j]) AS c FROM wide, range(1, 5) AS a(i), range(1, 5) AS b(j)
+          GROUP BY i, j) GROUP BY i))""",
+    *axis("first", "m1"),
+    """m2 AS MATERIALIZED (SELECT list_transform(range(1, 5), lambda i: list_transform(range(1, 5),
+        lambda j: m[i][j] - size * v[i] * v[j])) AS m FROM m1, first)""",
+    *axis("second", "m2"),
+    """points AS MATERIALIZED (SELECT post_id, list_dot_product(w, first.v) AS x,
+        list_dot_product(w, second.v) AS y FROM wide, first, second)""",
+]
+
+
+def register_recursive(name: str, select: str, *items: str) -> None:
+    register(name, select, *items)
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register_recursive("topic_points", "SELECT post_id, round(x, 6) AS x, round(y, 6) AS y FROM points", *POINTS)
+
+
+def clusters(k: int, steps: int) -> list[str]:
+    """WITH items ending in ``clustered(x, y, c)``: the farthest points, then Lloyd's steps."""
+    distance = "(p.x - c.x) ** 2 + (p.y - c.y) ** 2"
+    items = [
+        "p AS MATERIALIZED (SELECT round(x, 4) AS x, round(y, 4) AS y FROM points)",
+        "c0 AS MATERIALIZED (SELECT -1 AS i, avg(x) AS x, avg(y) AS y FROM p)",
+    ]
+    for n in range(1, k + 1):
+        from_ = f"c{n - 1}" if n > 1 else "c0"
+        kept = f"SELECT * FROM c{n - 1} UNION ALL" if n > 1 else ""
+        items.append(
+            f"""c{n} AS MATERIALIZED ({kept} (SELECT {n - 1} AS i, x, y FROM (
+              SELECT p.x, p.y, min({distance}) AS d FROM p, {from_} c GROUP BY p.x, p.y)
+              ORDER BY d DESC, x, y LIMIT 1))"""
+        )
+    last = f"c{k}"
+    for n in range(steps):
+        items += [
+            f"""a{n} AS MATERIALIZED (SELECT p.x, p.y, arg_min(c.i, {distance}) AS i FROM p, {last} c
+              GROUP BY p.x, p.y)""",
+            f"""l{n} AS MATERIALIZED (SELECT i, avg(x) AS x, avg(y) AS y FROM p JOIN a{n} USING (x, y) GROUP BY i)""",
+        ]
+        last = f"l{n}"
+    return items
+
+
+register_recursive(
+    "topic_point_clusters",
+    "SELECT i AS cluster, count(*) AS posts, round(avg(x), 6) AS x, round(avg(y), 6) AS y"
+    " FROM p JOIN a24 USING (x, y) GROUP BY i",
+    *POINTS,
+    *clusters(4, 25),
+)

@@ -16,10 +16,13 @@ from ..functions.text import (
     bind,
     is_not_blank,
     moderate_clean,
+    remove_stopwords,
     strip,
     words,
 )
 from ..schema import REQUIRED_COLUMNS
+from .joins import check_match, inline_rows, lookup_join
+from .scratch import store
 
 LABEL = SENTIMENT_COLUMNS["label"]
 SCORE = SENTIMENT_COLUMNS["score"]
@@ -53,6 +56,44 @@ def clean_posts(
     return df.select(*others)
 
 
+def remove_listed_words(
+    df: DataFrame,
+    words_table: DataFrame,
+    text_column: str = "text",
+    output: str = "text_cleaned",
+    match: str = "join",
+) -> DataFrame:
+    """``remove_stopwords`` with the words of a table (its first column) of any size.
+
+    ``match="join"`` numbers the rows, joins their words to the table, spread so that a frequent
+    word is in no task alone, and puts each text together again by position. ``match="inline"``
+    tests words inside each row, for up to MAX_INLINE_WORDS (more is an error). Both give the same
+    texts: words left, one space between them, null for null. Case does not matter.
+    """
+    check_match(match)
+    listed = words_table.select(F.lower(F.col(words_table.columns[0])).alias("_word"))
+    listed = listed.where(F.col("_word").isNotNull()).distinct()
+    others = [c for c in df.columns if c != output]
+    if match == "inline":
+        rows = inline_rows(listed, ("_word",))
+        return df.select(*others, remove_stopwords(text_column, [r[0] for r in rows]).alias(output))
+    numbered = store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    apart = numbered.select("_row", F.posexplode(words(text_column)).alias("_at", "_as"))
+    known = store(listed.withColumn("_listed", F.lit(True)), "words")
+    marked = lookup_join(
+        apart.withColumn("_word", F.lower("_as")), known, "_word", ["_row", "_at"], "left"
+    )
+    together = (
+        marked.where(F.col("_listed").isNull())
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_as"))).alias("_left"))
+        .select("_row", F.array_join(F.transform("_left", lambda x: x["_as"]), " ").alias("_text"))
+    )
+    none_left = F.when(F.col(text_column).isNotNull(), F.lit(""))
+    joined = numbered.join(together, "_row", "left")
+    return joined.select(*others, F.coalesce("_text", none_left).alias(output))
+
+
 def coerce_dates(
     df: DataFrame, date_column: str = "date", formats: Sequence[str] = (), day_first: bool = False
 ) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 LEAST_SALTS = 32
+# The most words that a word list matched inline may have.
+MAX_INLINE_WORDS = 20_000
 
 
 def salts_of(df: DataFrame) -> int:
@@ -18,6 +20,22 @@ def salts_of(df: DataFrame) -> int:
     return max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def check_match(match: str) -> None:
+    if match not in ("inline", "join"):
+        raise ValueError(f"match must be 'inline' or 'join', not {match!r}")
+
+
+def inline_rows(table: DataFrame, names: Sequence[str]) -> list[tuple]:
+    """The rows of a word list that is to be matched inside each row of another table."""
+    rows = [tuple(r) for r in table.select(*names).limit(MAX_INLINE_WORDS + 1).collect()]
+    check_inline(rows)
+    return rows
+
+
+def check_inline(rows: Sequence) -> None:
+    if len(rows) > MAX_INLINE_WORDS:
+        raise ValueError(f"more than {MAX_INLINE_WORDS} words: use match='join'")
+
 
 def fits_broadcast(
     table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES

@@ -24,24 +24,20 @@ from ..functions.scores import (
 )
 from ..functions.text import bind, once
 from ..schema import MODEL_OUTPUT
-from .joins import lookup_join
+from .joins import check_inline, check_match, inline_rows, lookup_join
 from .scratch import store
 from .vectorize import TermModel, fit_transform
 
-# The most words that an inline word list may have.
-MAX_INLINE_WORDS = 20_000
-
 Lexicon = DataFrame | Iterable[tuple[str, object]]
 
 
 def _rows(lexicon: Lexicon, names: Sequence[str]) -> list[tuple]:
     """The rows of a lexicon that is to be matched inline, lower-cased, without null words."""
     if isinstance(lexicon, DataFrame):
-        rows = lexicon.select(*names).limit(MAX_INLINE_WORDS + 1).collect()
+        rows = inline_rows(lexicon, names)
     else:
         rows = list(lexicon)
-    if len(rows) > MAX_INLINE_WORDS:
-        raise ValueError(f"more than {MAX_INLINE_WORDS} words: use match='join'")
+        check_inline(rows)
     return [(w.lower(), x) for w, x in rows if w is not None and x is not None]
 
 
@@ -80,11 +76,6 @@ def _word_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return exploded.groupBy("_row", "word").agg(F.count("*").alias("n"))
 
 
-def _check_match(match: str) -> None:
-    if match not in ("inline", "join"):
-        raise ValueError(f"match must be 'inline' or 'join', not {match!r}")
-
-
 def score_sentiment(
     df: DataFrame,
     lexicon: Lexicon,
@@ -100,7 +91,7 @@ def score_sentiment(
     of any size: rows are stored with a number, counts of words are joined, and only their
     sums meet the rows again. Both give the same scores for any rows.
     """
-    _check_match(match)
+    check_match(match)
     if text_column not in df.columns:
         return df
     tokens = _scored_words(text_column, max_chars)
@@ -143,7 +134,7 @@ def score_emotion(
 
     ``match`` as for ``score_sentiment``.
     """
-    _check_match(match)
+    check_match(match)
     tokens = _scored_words(text_column, max_chars)
     if match == "inline":
         rows = _rows(lexicon, ("word", "emotion"))

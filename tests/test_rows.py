@@ -8,7 +8,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.operators import filters, topn
+from hearsay.operators import entities, filters, topn
 from hearsay.operators.dedup import dedup_posts
 from hearsay.operators.entities import entity_counts
 from hearsay.operators.filters import coerce_dates
@@ -219,6 +219,66 @@ def test_names_are_found_by_words(spark):
     assert entity_counts(df, table.limit(0)).count() == 0
 
 
+def test_names_share_first_words(spark):
+    names = ["New", "New York", "New York Times", "New Zealand All Blacks", "York Times", "All"]
+    table = spark.createDataFrame([(n, "X") for n in names], "name string, type string")
+    texts = ["New York Times New Zealand All Black New", "All Blacks York Times New York", "new york"]
+    df = spark.createDataFrame([(t,) for t in texts], "text_cleaned string")
+    got = {r["name"]: r["count"] for r in entity_counts(df, table).collect()}
+    assert got == {"New York Times": 1, "New": 2, "All": 2, "York Times": 1, "New York": 1}
+
+
+def test_only_first_words_are_extended(spark):
+    """Runs before the join: one for each length that names with that first word have."""
+    words = [f"w{i}" for i in range(500)]
+    posts = spark.createDataFrame([(i, words) for i in range(4)], "_row bigint, _w array<string>")
+    names = ["w7 w8 w9 w10 w11 w12", "w7 w8", "w100", "w499 w500", "w3 x"]
+    known = spark.createDataFrame([(n,) for n in names], "_run string")
+    firsts = entities._first_words(known)
+    runs = entities.name_runs(posts, firsts, 6).where("_row = 0").collect()
+    assert sorted(r["_run"] for r in runs) == ["w100", "w3 w4", "w7 w8", "w7 w8 w9 w10 w11 w12"]
+    plan = entities.name_runs(posts, firsts, 6)._jdf.queryExecution().executedPlan().toString()
+    # Past the first generator only the words ahead go on, not the text.
+    assert "_w#" not in plan.split("Generate posexplode")[0]
+
+
+def test_a_million_names(spark):
+    first, last = F.concat(F.lit("F"), F.col("id") % 1000), F.concat(F.lit("L"), F.col("id"))
+    names = spark.range(1_000_000).select(F.concat_ws(" ", first, last).alias("name"), F.lit("P").alias("type"))
+    texts = ["F5 L5 and F7 L1007, F7 L1008 or F999 L999999", "F5 L5", "L5 F5"]
+    df = spark.createDataFrame([(t,) for t in texts], "text_cleaned string")
+    got = {r["name"]: r["count"] for r in entity_counts(df, names).collect()}
+    assert got == {"F5 L5": 2, "F7 L1007": 1, "F999 L999999": 1}
+
+
+def test_listed_words_joined_and_inline(spark):
+    texts = ["The cat  sat\ton THE mat", "the the", "", None, "  ", "Élan vital", "a b c a"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    df = df.withColumn("_word", F.lit("clash"))
+    listed = spark.createDataFrame([("the",), ("ON",), ("élan",), ("a",), (None,), ("a",)], "w string")
+    out = {}
+    for match in ("inline", "join"):
+        rows = filters.remove_listed_words(df, listed, match=match)
+        assert rows.columns == ["id", "text", "_word", "text_cleaned"]
+        out[match] = {r["id"]: r["text_cleaned"] for r in rows.collect()}
+    want = ["cat sat mat", "", "", None, "", "vital", "b c"] * 3
+    assert out["inline"] == out["join"] == dict(enumerate(want))
+    same = filters.remove_listed_words(df, listed.limit(0), output="text", match="join")
+    assert same.columns == ["id", "_word", "text"] and same.count() == len(texts)
+    with pytest.raises(ValueError):
+        filters.remove_listed_words(df, listed, match="other")
+
+
+def test_a_hundred_thousand_listed_words(spark):
+    listed = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
+    words = " ".join(f"W{i} keep{i}" for i in range(0, 100_000, 1000))
+    df = spark.createDataFrame([(1, words), (2, "w5 " * 2000 + "end")], "id int, text string")
+    with pytest.raises(ValueError):
+        filters.remove_listed_words(df, listed, match="inline")
+    got = {r["id"]: r["text_cleaned"] for r in filters.remove_listed_words(df, listed).collect()}
+    assert got == {1: " ".join(f"keep{i}" for i in range(0, 100_000, 1000)), 2: "end"}
+
+
 def test_flatten_defaults(spark):
     raw = spark.createDataFrame(
         [("t", "d", ("n", "u"), (1, 2, 3), "tag", "url"), (None,) * 6, ("x", None, (None, "u"), None, None, None)],

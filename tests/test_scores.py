@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hearsay.functions import scores as S
+from hearsay.operators import hashed, joins, topics
 from hearsay.operators import sentiment as sent
-from hearsay.operators import topics
 from hearsay.plans import flows
 
 DEFAULT = ("NEUTRAL", 0.0, 0.33, 0.33, 0.34)
@@ -109,7 +113,7 @@ def test_both_matches_agree_for_repeated_null_and_absent_keys(spark):
 
 
 def test_long_word_lists_are_no_silent_switch(posts, monkeypatch):
-    monkeypatch.setattr(sent, "MAX_INLINE_WORDS", 2)
+    monkeypatch.setattr(joins, "MAX_INLINE_WORDS", 2)
     with pytest.raises(ValueError, match="join"):
         sent.score_sentiment(posts, LEXICON)
     with pytest.raises(ValueError):
@@ -215,3 +219,66 @@ def test_analysis_cleans_only_when_needed(spark):
     kept = df.withColumn("text_cleaned", F.lit("bad"))
     again = flows.analyze(kept, lambda d: sent.score_sentiment(d, LEXICON)).first()
     assert again["sentiment_label"] == "NEGATIVE"
+
+
+def plain_auc(pairs):
+    good = [s for s, y in pairs if y == 1]
+    bad = [s for s, y in pairs if y != 1]
+    won = sum((a > b) + (a == b) / 2 for a in good for b in bad)
+    return won / (len(good) * len(bad)) if good and bad else None
+
+
+@pytest.mark.parametrize("values", [3, 1000])
+def test_auc_by_pairs(spark, values):
+    rng = random.Random(values)
+    rows = [(rng.randrange(values) / 7, rng.choice([0, 1, 1])) for _ in range(300)]
+    rows += [(rows[0][0] + 50, 1), (-1.0, 0)]
+    df = spark.createDataFrame([*rows, (None, 1), (math.nan, 0), (0.5, None)], "s double, y int")
+    got = hashed.auc(df.repartition(5), "s", "y").first()
+    assert got["auc"] == pytest.approx(plain_auc(rows))
+    assert (got["positives"], got["negatives"]) == (sum(y for _, y in rows), sum(1 - y for _, y in rows))
+    alone = hashed.auc(df.where("y = 1"), "s", "y").first()
+    assert alone["auc"] is None and alone["negatives"] == 0
+    assert hashed.auc(df.limit(0), "s", "y").first()["positives"] == 0
+
+
+def test_hashed_scorer_on_held_out_posts(spark):
+    """Separates and is calibrated on posts that neither the weights nor the line have seen."""
+    rng = random.Random(9)
+    good = [f"good{i}" for i in range(40)]
+    bad = [f"bad{i}" for i in range(40)]
+    rows = []
+    for i in range(1500):
+        y = int(rng.random() < 0.6)
+        share = 0.65 if y else 0.35
+        text = " ".join(rng.choice(good if rng.random() < share else bad) for _ in range(12))
+        rows.append((i, text, y))
+    df = spark.createDataFrame(rows, "post_id int, text string, y int").repartition(4)
+    scorer = hashed.train_hashed_scorer(df.where("post_id < 1000"), "y", "text", bits=14, ngram_range=(1, 1), reg_param=0.01)
+    held = scorer.transform(df.where("post_id >= 1000").withColumn("_margin_", F.lit(1)), "text")
+    best = plain_auc([(sum(w.startswith("good") for w in t.split()), y) for i, t, y in rows if i >= 1000])
+    got = hashed.auc(held, "sentiment_positive", "y").first()["auc"]
+    assert got > 0.85 and got > best - 0.06
+    # Of posts called p likely to be good, about p are.
+    found = [(r["sentiment_positive"], r["y"]) for r in held.collect()]
+    for low, high in ((0.0, 0.35), (0.35, 0.65), (0.65, 1.0)):
+        part = [(p, y) for p, y in found if low <= p < high]
+        if len(part) > 60:
+            assert abs(sum(p for p, _ in part) - sum(y for _, y in part)) / len(part) < 0.12
+    blank = scorer.transform(spark.createDataFrame([(None,), (" ",), ("good1",)], "text string"), "text").collect()
+    assert [r["sentiment_label"] for r in blank][:2] == ["NEUTRAL"] * 2
+    assert blank[2]["sentiment_label"] == "POSITIVE"
+
+
+def test_hashed_entries_do_not_depend_on_the_batch(spark):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
+    lists = [[{"term": "a", "n": 3}, {"term": "b", "n": 1}], [], [{"term": "b", "n": 2}]]
+    row, position, value = hashed.hashed_entries(pa.array(lists, kind), 10)
+    assert (row == [0, 0, 2]).all() and position.max() < 1024
+    first = np.array([1 + math.log(3), 1.0])
+    assert sorted(value[:2]) == pytest.approx(sorted(first / np.sqrt((first**2).sum()))) and value[2] == 1
+    again = hashed.hashed_entries(pa.array(lists[2:], kind), 10)
+    assert again[1][0] == position[2]
+    assert [len(x) for x in hashed.hashed_entries(pa.array([[], []], kind), 10)] == [0, 0, 0]

@@ -847,3 +847,52 @@ register_recursive(
     *POINTS,
     *clusters(4, 25),
 )
+
+
+# Stop lists and areas under the curve --------------------------------------------------------------
+
+register(
+    "remove_stopwords_joined",
+    f"""SELECT post_id, array_to_string(list_transform(list_filter(list_transform({Q.words('text')},
+        lambda w: {{'w': w, 'k': lower(w)}}), lambda x: NOT list_contains(stop, x.k)), lambda x: x.w), ' ')
+      AS text_cleaned FROM noisy, listed""",
+    V.NOISY,
+    f"""listed AS (SELECT list(DISTINCT word) AS stop FROM (
+      SELECT lower(unnest(string_split(p_name, ' '))) AS word FROM part
+      UNION SELECT unnest({Q.string_list(BASIC_STOPWORDS)})))""",
+)
+# Pairs of a good and a bad post, from counts by score.
+AUC = """judged AS (SELECT score, quality FROM scores JOIN labels ON post_id = doc_id
+    WHERE quality IS NOT NULL),
+by_score AS (SELECT score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n
+  FROM judged GROUP BY score),
+below AS (SELECT p, n, sum(n) OVER (ORDER BY score) - n AS lower FROM by_score)"""
+PAIRS = """SELECT CAST(coalesce(sum(p), 0) AS BIGINT) AS positives, CAST(coalesce(sum(n), 0) AS BIGINT) AS negatives,
+  round(sum(p * (lower + n / 2)) / (sum(p)::DOUBLE * sum(n)), 6) AS auc FROM below"""
+register(
+    "sentiment_auc",
+    PAIRS,
+    *SCORED,
+    "scores AS (SELECT post_id, sentiment_positive AS score FROM scored)",
+    AUC,
+)
+register(
+    "trained_auc",
+    PAIRS,
+    "judged_posts AS (SELECT p.*, quality::VARCHAR AS class FROM posts p JOIN labels ON post_id = doc_id)",
+    "learned AS (SELECT * FROM judged_posts WHERE post_id % 5 <> 0)",
+    Q.term_weights("learned", ngrams=(1, 1), tfidf=False, stop=()).split("raw AS (")[0].rstrip(",\n"),
+    """held AS (SELECT post_id, term, count(*) AS tf FROM (
+      SELECT post_id, unnest(regexp_extract_all(lower(text), '""" + Q.TOKEN + """')) AS term
+      FROM judged_posts WHERE post_id % 5 = 0) JOIN vocab USING (term) GROUP BY ALL)""",
+    """seen AS (SELECT class, term, sum(tf) AS n FROM tf JOIN vocab USING (term)
+      JOIN judged_posts USING (post_id) GROUP BY ALL)""",
+    "sizes AS (SELECT class, sum(n) AS words FROM seen GROUP BY class)",
+    """shares AS (SELECT class, v.term, ln((coalesce(n, 0) + 0.01::DOUBLE)
+        / (words + 0.01::DOUBLE * (SELECT count(*) FROM vocab))) AS l
+      FROM sizes CROSS JOIN vocab v LEFT JOIN seen USING (class, term))""",
+    """scores AS (SELECT post_id, round((sum(tf * l) FILTER (class = '1') - sum(tf * l) FILTER (class = '0'))
+        / (sum(tf) FILTER (class = '1')), 9) AS score
+      FROM held JOIN shares USING (term) GROUP BY post_id)""",
+    AUC,
+)

@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 from hearsay.functions import scores as S
 from hearsay.functions import text as X
 from hearsay.functions.text import BASIC_STOPWORDS
-from hearsay.operators import cube, dedup, entities, features, filters, keywords, summary, topics
+from hearsay.operators import (
+    cube,
+    dedup,
+    entities,
+    features,
+    filters,
+    hashed,
+    keywords,
+    summary,
+    topics,
+)
 from hearsay.operators import sentiment as sent
 from hearsay.operators import vectorize as vec
 from hearsay.operators.scratch import cut_lineage, new_path, store
@@ -30,6 +40,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TAGS = ("src0", "src1", "src2", "src3")
 SENTIMENT = tuple(S.SENTIMENT_COLUMNS.values())
+#: Posts that topics and classes are not learned from.
+HELD_OUT = "post_id % 5 = 0"
 FLAT = tuple(POST.fieldNames())
 
 
@@ -346,6 +358,15 @@ def clean_with_udf(spark, sf_dir):
     ).select("post_id", "text_cleaned")
 
 
+@query
+def remove_stopwords_joined(spark, sf_dir):
+    """A stop list of any size: here all names of parts' words and the short list."""
+    short = spark.createDataFrame([(w,) for w in BASIC_STOPWORDS], "word string")
+    names = V.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    noisy = V.noisy_posts(spark, sf_dir).select("post_id", "text")
+    return filters.remove_listed_words(noisy, short.union(names)).select("post_id", "text_cleaned")
+
+
 @query
 def array_flatten(spark, sf_dir):
     sentences = F.transform(F.split("text", r"\."), lambda s: X.words(s))
@@ -509,6 +530,52 @@ def score_sentiment_trained(spark, sf_dir):
     return _scores(scorer.transform(posts, "text"))
 
 
+@query
+def score_sentiment_hashed(spark, sf_dir):
+    labels = V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("post_id"), "quality")
+    posts = V.posts(spark, sf_dir).select("post_id", "text")
+    scorer = hashed.train_hashed_scorer(posts.join(labels, "post_id"), "quality", "text")
+    return _scores(scorer.transform(posts, "text"))
+
+
+def _judged(spark, sf_dir, scored: DataFrame) -> DataFrame:
+    labels = V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("post_id"), "quality")
+    found = hashed.auc(scored.join(labels, "post_id"), "score", "quality")
+    return rounded(found, "auc")
+
+
+@query
+def sentiment_auc(spark, sf_dir):
+    """How well the word list's scores tell good posts from bad ones; many scores are tied."""
+    scored = V.scored_posts(spark, sf_dir)
+    return _judged(spark, sf_dir, scored.select("post_id", F.col("sentiment_positive").alias("score")))
+
+
+@query
+def trained_auc(spark, sf_dir):
+    """The same of word shares learned from labelled posts, on the posts that were not learned
+    from. A post's score is the difference of its log-likelihoods a word."""
+    labels = V.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("post_id"), F.col("quality").cast("string").alias("class")
+    )
+    posts = V.posts(spark, sf_dir).join(labels, "post_id")
+    counted = store(count_terms(posts, "text", (1, 1), (), ["post_id", "class"]), "terms")
+    learned = counted.where(f"NOT {HELD_OUT}")
+    model = vec.fit_counted(learned, MAX_FEATURES, MIN_DF, MAX_DF, False, (1, 1), ())
+    weights = store(topics.class_weights(learned, "class", model.vocabulary), "weights")
+    held, parts = counted.where(HELD_OUT).drop("class"), []
+    for c in (0, 1):
+        one = weights.where(F.col("topic") == c).withColumn("topic", F.lit(0))
+        folded = topics.fold_in(held, one, 0).where("words > 0")
+        parts.append(
+            folded.select("post_id", (F.col("log_likelihood") / F.col("words")).alias(f"l{c}"))
+        )
+    scored = parts[0].join(parts[1], "post_id")
+    return _judged(
+        spark, sf_dir, scored.select("post_id", F.round(F.col("l1") - F.col("l0"), 9).alias("score"))
+    )
+
+
 @query
 def score_sentiment_joined(spark, sf_dir):
     cleaned = flows.preprocess(V.noisy_posts(spark, sf_dir).select("post_id", "text"))
@@ -829,7 +896,6 @@ def topic_cluster_checks(spark, sf_dir):
 
 # Topics whose weights SQL can count too: one for each language, learned from four fifths of the posts.
 
-HELD_OUT = "post_id % 5 = 0"
 FOLD_STEPS = 5
 
 

@@ -193,11 +193,15 @@ def initial(symbol_counts: np.ndarray, seed: int = 42) -> dict[str, np.ndarray]:
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index, for each of the indices 0 to n - 1."""
-    width = rows.shape[1]
-    cells = (at.astype(np.intp) * width)[:, None] + np.arange(width)
-    flat = np.bincount(cells.ravel(), weights=rows.ravel(), minlength=n * width)
-    return flat.reshape(n, width).astype(np.float32)
+    """Sums of rows by index, for each of the indices 0 to n - 1: rows in the order of their index
+    are added run by run."""
+    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
+    if len(at):
+        order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+        index = at[order]
+        first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+        out[index[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Trainer:

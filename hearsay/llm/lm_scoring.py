@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,13 +140,12 @@ def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFra
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import secrets
-
-        block = _Block()
+        # A text's number: its task and its place there. The blocks are stored, so it stays.
+        rid, block = (TaskContext.get().partitionId() << 40) - 1, _Block()
         for batch in batches:
             keys, learns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, learn, value in zip(keys, learns, batch.column(2)):
-                rid, before = secrets.randbits(63), [END, END]
+                rid, before = rid + 1, [END, END]
                 for words in _pieces(value.as_py()):
                     block.add(key, rid, learn, before, words)
                     before = (before + words[-2:])[-2:]

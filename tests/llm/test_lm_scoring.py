@@ -150,3 +150,53 @@ def test_context_is_learned():
     first, second, log_z = L.scorer(trainer.p)
     p = lambda a, b: np.exp(first[a, b] + second[5, b] - log_z[5, a])
     assert p(0, 2) > 0.8 and p(1, 3) > 0.8 and p(0, 3) < 0.15
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """Whole scores from given parameters, token by token: symbol after two symbols, normalised over
+    all symbols, and the word's share of its class."""
+    rng, held = np.random.default_rng(8), {}
+
+    def fixed(blocks, parameters, vocabulary, seed, rate):
+        new = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in parameters.items()}
+        new["noise"] = parameters["noise"]
+        held.update(p=new, vocabulary=vocabulary)
+        return new
+
+    monkeypatch.setattr(L, "train_round", fixed)
+    texts = ["the cat sat", "the dog sat on the mat", "a cat", None, "", "new words here the cat", "sat"]
+    learned = 5
+    got = L.score_texts(
+        documents(spark, texts).repartition(3), F.col("doc_id") < learned, vocabulary_size=3, rounds=1
+    )
+    p = {k: v.astype(float) for k, v in held["p"].items()}
+    vocabulary = held["vocabulary"]
+    counts = Counter(w for t in texts[:learned] for w in words(t))
+    rest = {w: n for w, n in counts.items() if w.encode() not in vocabulary}
+    in_class = lambda w: L.word_class(w.encode())
+
+    def symbol(w):
+        return vocabulary.get(w.encode(), len(vocabulary) + in_class(w))
+
+    def log_p(w2, w1, w):
+        query = p["context"][symbol(w1)] @ p["c1"] + p["context"][symbol(w2)] @ p["c2"]
+        every = p["target"] @ query + p["bias"]
+        out = every[symbol(w)] - math.log(sum(math.exp(x) for x in every))
+        if w.encode() in vocabulary:
+            return out
+        same = [n for x, n in rest.items() if in_class(x) == in_class(w)]
+        left = (sum(n == 1 for n in same) + 0.5) / (sum(same) + 1) if same else 1.0
+        share = (1 - left) * rest[w] / sum(same) if w in rest else left
+        return out + math.log(share)
+
+    for r in got.collect():
+        w = ["\n", "\n", *words(texts[r["doc_id"]])]
+        want = sum(log_p(*w[i - 2 : i + 1]) for i in range(2, len(w))) / math.log(10)
+        assert r["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_rows_have_numbers_of_their_own(spark):
+    """Many equal rows over several tasks, keys repeated: none is lost or added to another."""
+    docs = documents(spark, ["same text"] * 500).withColumn("doc_id", F.lit(1).cast("bigint"))
+    rows = L.score_texts(docs.repartition(7), F.lit(True), rounds=1).collect()
+    assert len(rows) == 500 and {r["n_tokens"] for r in rows} == {3}

@@ -65,13 +65,51 @@ def encode_labels(
     for column in columns:
         if column not in df.columns:
             continue
-        codes = label_codes(df, column)
-        key = f"_{column}_value"
-        table = codes.select(F.col("value").alias(key), F.col("code").alias(f"{column}_encoded"))
+        tables[column] = label_codes(df, column)
+        encoded = apply_label_codes(encoded, {column: tables[column]}, salt_by=salt_by)
+    return encoded, tables
+
+
+def apply_label_codes(
+    df: DataFrame,
+    tables: Mapping[str, DataFrame],
+    unseen: int | None = None,
+    salt_by: Sequence[str] = ("post_id",),
+) -> DataFrame:
+    """``<column>_encoded`` columns from the code tables of ``encode_labels``, for other rows.
+
+    Values that the tables do not have get ``unseen`` (null, unless a number is given). The codes of
+    known values never change, whatever else the new rows hold. Missing columns are skipped.
+    """
+    encoded = df
+    for column, codes in tables.items():
+        if column not in df.columns:
+            continue
+        key, output = f"_{column}_value", f"{column}_encoded"
+        table = codes.select(F.col("value").alias(key), F.col("code").alias(output))
         value = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
         encoded = lookup_join(encoded.withColumn(key, value), table, key, salt_by).drop(key)
-        tables[column] = codes
-    return encoded, tables
+        if unseen is not None:
+            encoded = encoded.withColumn(
+                output, F.coalesce(output, F.lit(unseen).cast("bigint"))
+            )
+    return encoded
+
+
+def decode_labels(
+    df: DataFrame, tables: Mapping[str, DataFrame], salt_by: Sequence[str] = ("post_id",)
+) -> DataFrame:
+    """``<column>_decoded`` columns: the values, as text, of codes in ``<column>_encoded``; null for
+    a code that no value has."""
+    decoded = df
+    for column, codes in tables.items():
+        key = f"{column}_encoded"
+        if key in df.columns:
+            table = codes.select(
+                F.col("code").alias(key), F.col("value").alias(f"{column}_decoded")
+            )
+            decoded = lookup_join(decoded, table, key, salt_by)
+    return decoded
 
 
 @dataclass(frozen=True)

@@ -321,3 +321,19 @@ def test_sparse_vectors_stay_sparse(spark):
     model = vec.fit_tfidf(df, min_df=1, max_df=1.0)
     stored = model.transform(df).select(F.unwrap_udt("features")["indices"].alias("i")).collect()
     assert all(r["i"] is not None and len(r["i"]) < len(model.vocabulary) for r in stored)
+
+
+def test_label_codes_on_new_rows(spark):
+    rows = [(1, "b", 3), (2, "a", 10), (3, None, 3), (4, "b", None)]
+    df = spark.createDataFrame(rows, "post_id int, tag string, size int")
+    _, tables = features.encode_labels(df, ["tag", "size"])
+    new = spark.createDataFrame([(7, "c", 3), (8, "b", 99), (9, None, None), (9, "b", 10)], df.schema)
+    coded = features.apply_label_codes(new, tables)
+    got = {(r["post_id"], r["tag"]): (r["tag_encoded"], r["size_encoded"]) for r in coded.collect()}
+    # As text "10" sorts before "3", and missing values are "nan".
+    assert got == {(7, "c"): (None, 1), (8, "b"): (1, None), (9, None): (2, 2), (9, "b"): (1, 0)}
+    filled = features.apply_label_codes(new, tables, unseen=-1).where("post_id < 9").collect()
+    assert sorted((r["tag_encoded"], r["size_encoded"]) for r in filled) == [(-1, 1), (1, -1)]
+    back = features.decode_labels(coded.drop("tag", "size"), tables).where("post_id = 9").collect()
+    assert sorted((r["tag_decoded"], r["size_decoded"]) for r in back) == [("b", "10"), ("nan", "nan")]
+    assert features.apply_label_codes(new.drop("size"), tables).columns == ["post_id", "tag", "tag_encoded"]

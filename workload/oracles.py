@@ -281,6 +281,17 @@ register(
     dense_rank() OVER (ORDER BY source_hashtag) - 1 AS source_hashtag_encoded,
     dense_rank() OVER (ORDER BY lang) - 1 AS lang_encoded FROM posts""",
 )
+register(
+    "label_encode_apply",
+    """SELECT post_id, p.lang, p.tag, CAST(coalesce(t.code, -1) AS BIGINT) AS tag_encoded,
+      CAST(coalesce(l.code, -1) AS BIGINT) AS lang_encoded, t.tag AS tag_decoded, l.lang AS lang_decoded
+    FROM tagged p LEFT JOIN tags t ON p.tag = t.tag LEFT JOIN langs l ON p.lang = l.lang""",
+    "tagged AS (SELECT post_id, lang, concat_ws('-', source_hashtag, n_chars % 7) AS tag FROM posts)",
+    """tags AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS code
+      FROM (SELECT DISTINCT tag FROM tagged WHERE post_id % 4 = 1))""",
+    """langs AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code
+      FROM (SELECT DISTINCT lang FROM tagged WHERE post_id % 4 = 1))""",
+)
 for method, center, width in (
     ("standard", "avg({c})", "stddev_pop({c})"),
     ("minmax", "min({c})", "max({c}) - min({c})"),

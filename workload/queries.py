@@ -409,6 +409,16 @@ def label_encode(spark, sf_dir):
     return features.encode_labels(posts, ["source_hashtag", "lang", "no_such_column"])[0]
 
 
+@query
+def label_encode_apply(spark, sf_dir):
+    """Codes learned from half of the posts, given to all and read back; new values get -1."""
+    tag = F.concat_ws("-", "source_hashtag", F.col("n_chars") % 7)
+    posts = V.posts(spark, sf_dir).select("post_id", "lang", tag.alias("tag"))
+    tables = features.encode_labels(posts.where("post_id % 4 = 1"), ["tag", "lang"])[1]
+    coded = features.apply_label_codes(posts, tables, unseen=-1)
+    return features.decode_labels(coded, tables)
+
+
 def _scaled(method: str) -> Query:
     def run(spark, sf_dir):
         posts = V.posts(spark, sf_dir).select("post_id", "likes", "n_chars")

@@ -3,11 +3,13 @@
 A document is normalised to words; any span of words may match, whatever its lines. Dice of at least
 t with a template of m bigrams needs t m / (2 - t) of them in the span and at most (2 - t) m / t
 different bigrams there. Templates with fewer hits in a document are left; of the others the best
-span is found by position, then the best ones before and after it.
+end of each span is found once, and spans are taken from the best on, so that no two overlap.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -21,17 +23,31 @@ from .common import utf8
 from .licence_texts import TEMPLATES
 
 THRESHOLD = 0.8
-LINE_SHARE = 0.5
+CELLS = 1 << 20  # of windows looked at together
 WORD = re.compile(rb"[a-z0-9]+")
 COPYRIGHT = re.compile(rb"^\W*(?:copyright|\(c\)|\xc2\xa9)[^\n]*\d{4}[^\n]*$", re.MULTILINE)
 
-Bigrams = frozenset
+SPDX = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+SPDX_WORD = re.compile(rb"[a-z0-9.+-]+")
+
+
+def _each_licence(expression: re.Match) -> bytes:
+    """An identifier line for each licence of an SPDX expression; exceptions are no licences."""
+    named, after = [], b""
+    for word in SPDX_WORD.findall(expression[1]):
+        if word not in (b"or", b"and", b"with") and after != b"with":
+            named.append(b"spdx-license-identifier: " + word)
+        after = word
+    # An expression ends with its line, but prose may follow an identifier there.
+    several = re.search(rb"(?<![a-z0-9.+-])(?:or|and|with)(?![a-z0-9.+-])", expression[1])
+    return b" ".join(named) if several and len(named) > 1 else expression[0]
 
 
 def lines_of(text: bytes) -> list[list[bytes]]:
-    """The words of each line: ASCII letters and digits, lower-cased, "licence" read
-    as "license"; copyright lines are empty."""
+    """The words of each line: ASCII letters and digits, lower-cased, "licence" read as "license";
+    copyright lines are empty, and SPDX expressions are spelt out licence by licence."""
     lowered = COPYRIGHT.sub(b"", text.lower()).replace(b"licence", b"license")
+    lowered = SPDX.sub(_each_licence, lowered)
     return [WORD.findall(line) for line in lowered.split(b"\n")]
 
 
@@ -62,13 +78,12 @@ class Templates:
             g for g, held in self.index.items() if len({self.names[i] for i in held}) <= most
         }
 
-    def may_match(self, template: int, size: int) -> bool:
-        own, t = len(self.grams[template]), self.threshold
-        return t * own <= (2 - t) * size + 1e-9 and t * size <= (2 - t) * own + 1e-9
-
     def find_spans(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """``(licence, dice, first line, last line)`` over all spans of words, best first; spans of
-        one licence do not overlap."""
+        """``(licence, dice, first line, last line)`` of spans that do not overlap, best first.
+
+        The best span of all is taken, then the best that does not overlap it, and so on, whatever
+        their licences; equal ones by name, then by place.
+        """
         words, line_of = [], []
         for at, line in enumerate(lines_of(text)):
             words += line
@@ -88,93 +103,94 @@ class Templates:
             before[p] = last.get(g, -1)
             last[g] = p
         telling = np.fromiter((g in self.telling for g in pairs), dtype=bool, count=len(pairs))
-        found = []
+        views = {}
         for i in near:
             own = self.grams[i]
             inside = np.fromiter((g in own for g in pairs), dtype=bool, count=len(pairs))
-            found += [
-                (self.names[i], value, a, b) for value, a, b in self.spans(i, inside, telling, before)
-            ]
-        found.sort(key=lambda m: (-m[1], m[0], m[2]))
-        kept: list[tuple[str, float, int, int]] = []
-        for m in found:
-            if all(m[0] != k[0] or m[3] < k[2] or m[2] > k[3] for k in kept):
-                kept.append(m)
-        best: dict[tuple[str, int], tuple[str, float, int, int]] = {}
-        for name, value, a, b in kept:
-            best.setdefault((name, line_of[a]), (name, value, line_of[a], line_of[b + 1]))
-        return sorted(best.values(), key=lambda m: (-m[1], m[0], m[2]))
-
-    def spans(
-        self, template: int, inside: np.ndarray, telling: np.ndarray, before: np.ndarray
-    ) -> list[tuple[float, int, int]]:
-        """``(dice, first bigram, last bigram)`` of the best span and of those beside it. A span holds
-        at least one bigram that at most half of the licences have."""
-        own, t = len(self.grams[template]), self.threshold
-        found, open_parts = [], [(0, len(inside))]
-        while open_parts:
-            start, stop = open_parts.pop()
-            best = (0.0, 0, 0)
-            for a in start + np.flatnonzero(inside[start:stop]):
-                # Bigrams met for the first time from ``a`` on; the window ends where too many are.
-                size, step = 0, 2 * own
-                new = np.empty(0, dtype=bool)
-                while a + len(new) < stop and size <= (2 - t) * own / t:
-                    more = before[a + len(new) : min(stop, a + len(new) + step)] < a
-                    new, size = np.concatenate([new, more]), size + int(more.sum())
-                common = np.cumsum(new & inside[a : a + len(new)])
-                if common[-1] * (2 - t) < t * own - 1e-9:
-                    continue
-                values = 2 * common / (np.cumsum(new) + own)
-                values[np.cumsum((telling & inside)[a : a + len(new)]) == 0] = 0
-                end = int(values.argmax())
-                if values[end] > best[0]:
-                    best = (float(values[end]), int(a), int(a) + end)
-            if best[0] >= t:
-                found.append(best)
-                open_parts += [(start, best[1]), (best[2] + 1, stop)]
-        return found
-
-    def runs(self, lines: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
-        """``(template, first line, last line)`` of the longest runs of lines that belong to it."""
-        open_runs: dict[int, list[int]] = {}
-        for at, words in enumerate(lines):
-            if not words:
-                continue
-            hits: dict[int, int] = {}
-            pairs = set(zip(words, words[1:]))
-            for g in pairs & self.index.keys():
-                for i in self.index[g]:
-                    hits[i] = hits.get(i, 0) + 1
-            # A line of one word belongs to the runs it stands in.
-            if pairs:
-                belong = {i for i, n in hits.items() if n >= LINE_SHARE * len(pairs)}
-            else:
-                belong = set(open_runs)
-            for i in [i for i in open_runs if i not in belong]:
-                yield i, *open_runs.pop(i)
-            for i in belong:
-                if i in open_runs:
-                    open_runs[i][1] = at
-                else:
-                    open_runs[i] = [at, at]
-        for i, (first, last) in open_runs.items():
-            yield i, first, last
-
-    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """``(licence, dice, first line, last line)`` over runs of whole lines only, each with half its
-        bigrams in the template; ``scan`` uses ``find_spans``."""
-        lines = lines_of(text)
-        best: dict[tuple[str, int], tuple[str, float, int, int]] = {}
-        for i, first, last in self.runs(lines):
-            grams = bigrams([w for line in lines[first : last + 1] for w in line])
-            if not self.may_match(i, len(grams)):
+            views[i] = _View(len(own), hits[i], t, inside, inside & telling, before)
+        return sorted(
+            (
+                (self.names[i], value, line_of[a], line_of[b + 1])
+                for value, a, b, i in self._chosen(views, len(pairs))
+            ),
+            key=lambda m: (-m[1], m[0], m[2]),
+        )
+
+    def _chosen(self, views: dict[int, _View], n: int) -> list[tuple[float, int, int, int]]:
+        """``(dice, first bigram, last bigram, template)`` of the spans that are taken.
+
+        A best span cannot be made better by one more bigram of the template before it, so spans
+        are looked for where a run of such bigrams begins: after another bigram, or after a span
+        that is taken. One that crosses a taken span is cut there and waits again.
+        """
+        heap: list[tuple[float, str, int, int, int]] = []
+
+        def wait(i: int, starts: np.ndarray, stops: np.ndarray) -> None:
+            values, ends = views[i].best_ends(starts, stops)
+            for k in np.flatnonzero(values >= self.threshold - 1e-12):
+                heapq.heappush(
+                    heap, (-float(values[k]), self.names[i], int(starts[k]), int(ends[k]), i)
+                )
+
+        for i, view in views.items():
+            after = np.concatenate(([False], view.inside[:-1]))
+            starts = np.flatnonzero(view.inside & ~after)
+            wait(i, starts, np.full(len(starts), n))
+        taken: list[tuple[int, int]] = []  # in the order of their places
+        chosen = []
+        while heap:
+            value, _, a, b, i = heapq.heappop(heap)
+            at = bisect.bisect_right(taken, (a, n))
+            if at and taken[at - 1][1] >= a:
+                continue  # its start is taken; where that span ends, starts were added
+            if at < len(taken) and taken[at][0] <= b:
+                wait(i, np.array([a]), np.array([taken[at][0]]))
                 continue
-            value = dice(grams, self.grams[i])
-            key = self.names[i], first
-            if value >= self.threshold and (key not in best or value > best[key][1]):
-                best[key] = self.names[i], value, first, last
-        return sorted(best.values(), key=lambda m: (-m[1], m[0], m[2]))
+            taken.insert(at, (a, b))
+            chosen.append((-value, a, b, i))
+            stop = taken[at + 1][0] if at + 1 < len(taken) else n
+            for j, view in views.items():
+                # A run that goes on behind the span; others begin by themselves.
+                if b + 1 < stop and view.inside[b] and view.inside[b + 1]:
+                    wait(j, np.array([b + 1]), np.array([stop]))
+        return chosen
+
+
+class _View:
+    """A document's bigrams as one template sees them."""
+
+    def __init__(self, own: int, held: int, t: float, inside, telling, before) -> None:
+        self.own, self.held, self.t = own, held, t
+        self.inside, self.telling, self.before = inside, telling, before
+
+    def best_ends(self, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best Dice of the spans from each start that end before its stop, and the last bigram of
+        that span. A span holds at least one telling bigram of the template."""
+        values, ends = np.zeros(len(starts)), starts.copy()
+        # Beyond so many different bigrams Dice stays below the threshold.
+        most = (2 - self.t) * self.own / self.t
+        todo, width = np.arange(len(starts)), 2 * self.own + 8
+        while len(todo):
+            rest = []
+            for k in range(0, len(todo), max(1, CELLS // width)):
+                rows = todo[k : k + max(1, CELLS // width)]
+                a, stop = starts[rows, None], stops[rows, None]
+                at = a + np.arange(width)
+                there = at < stop
+                at = np.minimum(at, len(self.inside) - 1)
+                new = (self.before[at] < a) & there
+                size = np.cumsum(new, axis=1, dtype=np.int32)
+                common = np.cumsum(new & self.inside[at], axis=1, dtype=np.int32)
+                tells = np.logical_or.accumulate(self.telling[at] & there, axis=1)
+                dice = np.where(tells & there, 2 * common / (size + self.own), 0.0)
+                best = dice.argmax(axis=1)
+                values[rows], ends[rows] = dice[np.arange(len(rows)), best], starts[rows] + best
+                # Repeated bigrams take room; such windows are looked at again, twice as wide,
+                # unless they have all of the template's bigrams that the document holds.
+                wider = (size[:, -1] <= most) & (common[:, -1] < self.held) & there[:, -1]
+                rest.append(rows[wider])
+            todo, width = np.concatenate(rest), 2 * width
+        return values, ends
 
 
 def scan(
@@ -233,6 +249,6 @@ def best_licence(scanned: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
         *keep,
         F.get("matches", 0)["licence"].alias("licence"),
         F.coalesce(F.get("matches", 0)["dice"], F.lit(0.0)).alias("dice"),
-        F.size(F.array_distinct("matches.first_line")).cast("bigint").alias("n_places"),
+        F.size("matches").cast("bigint").alias("n_places"),
         F.concat_ws(",", licences).alias("licences"),
     )

@@ -43,8 +43,22 @@ NOT_TEXT = frozenset(
     "header hidden masthead menu modal nav navbar navigation newsletter notice pager pagination popup "
     "promo promoted promotion related respond replies reply rss search share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget alert alertdialog complementary contentinfo "
-    "form alerts notices notification notifications recommended outbrain taboola skip".split()
+    "form alerts notices notification notifications recommended outbrain taboola skip "
+    "discussion discussions".split()
 )
+# In a name that also speaks of the article, only these at its ends say that it is no text of it:
+# "post-comments" and "comment-body" are not, "article-header" and "entry-notice" are.
+ARTICLE_WORDS = frozenset("article body content entry example lead main post research story text".split())
+NOT_OF_IT = frozenset(
+    "ad ads advert adverts advertisement comment comments discussion footer nav navigation newsletter "
+    "pagination promo related replies respond share sharing sidebar social sponsored subscribe "
+    "toolbar widget".split()
+)
+# Names of headers, which may hold the headline; elements that no name takes out, and those that
+# only a whole one does ("ad", not "ad-example").
+HEADERS = frozenset("header masthead banner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = frozenset("p pre blockquote".split())
 LAYOUT = frozenset("has with no without is".split())
 HEADER_MAY_STAND_IN = frozenset("article main section".split())
 
@@ -70,19 +84,20 @@ SIBLING_SHARE = 0.2
 
 class Node:
     __slots__ = ("name", "parent", "children", "score", "length", "linked", "skipped", "named",
-                 "odd")
+                 "odd", "headed")
 
     def __init__(self, name: str, parent: Node | None, skipped: bool = False) -> None:
         self.name, self.parent, self.skipped = name, parent, skipped
-        self.named = self.odd = False
+        self.named = self.odd = self.headed = False
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = 0
 
 
 def _boilerplate(name: str, attrs: str, open_names: set[str]) -> str:
-    """Why an element is no part of any article: "sure" by its name or hiding, "named" by a word in
-    class, id or role, which a wrapper around the article may have too; "" without a reason."""
+    """Why an element is no part of any article: "sure" by its name or hiding; "named" by a word in
+    class, id or role, which a wrapper around the article may have too, or "headed" if that word is
+    of a header, which may hold the headline; "" without a reason."""
     if name in SKIPPED or (name == "header" and not open_names & HEADER_MAY_STAND_IN):
         return "sure"
     if not attrs or name in ("html", "body"):
@@ -100,8 +115,15 @@ def _boilerplate(name: str, attrs: str, open_names: set[str]) -> str:
             for token in html.unescape(value).strip("\"'").split():
                 words = WORDS.findall(CAMEL.sub(r"\1 \2", token).lower())
                 # "has-sidebar" says something of the layout around the text.
-                if words and words[0] not in LAYOUT and not NOT_TEXT.isdisjoint(words):
+                if not words or words[0] in LAYOUT or (name in RUNNING and len(words) > 1):
+                    continue
+                marks = NOT_TEXT.intersection(words)
+                if not ARTICLE_WORDS.isdisjoint(words):
+                    marks &= NOT_OF_IT.intersection((words[0], words[-1]))
+                if marks - HEADERS:
                     reason = "named"
+                elif marks and not reason and not open_names & HEADER_MAY_STAND_IN:
+                    reason = "headed"
     return reason
 
 
@@ -169,12 +191,13 @@ def parse(page: str) -> Node:
             while (found := innermost(frozenset(same), frozenset(("table",)))) is not None:
                 close(found)
         attrs = match["attrs"]
-        names = {k for k, n in open_names.items() if n} if name == "header" else set()
+        names = {k for k in HEADER_MAY_STAND_IN if open_names.get(k)}
         reason = _boilerplate(name, attrs, names)
         child = Node(name, node, node.skipped or reason == "sure")
         # An article or main with such a name (a comment, say) is not skipped for it itself.
         child.odd = reason == "named"
-        child.named = child.odd and name not in ("article", "main")
+        child.headed = reason == "headed"
+        child.named = bool(reason) and name not in ("article", "main") and name not in HEADINGS
         node.children.append(child)
         if name in VOID:
             continue
@@ -236,13 +259,18 @@ def blocks(top: Node) -> list[tuple[str, Node, int]]:
 
 def skip_named(root: Node) -> None:
     """Skips the elements whose names say that they hold no main text, except those around an article
-    or main element or, where a page has none, around most of the unlinked text that is left."""
+    or main element or, where a page has none, around most of the unlinked text that is left; and
+    except headers that hold the page's only h1."""
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [c for c in node.children if not isinstance(c, str) and not c.skipped]
+    # Where an article has no such name, others that have one (comments, say) are not it.
+    if any(node.name == "article" and not node.odd for node in order):
+        for node in order:
+            node.named = node.named or (node.name == "article" and node.odd)
     if not any(node.named for node in order):
         return
     plain = {id(node): 0 for node in order}
@@ -254,6 +282,11 @@ def skip_named(root: Node) -> None:
             plain[id(node.parent)] += plain[id(node)]
             if id(node) in holds or (node.name in ("article", "main") and not node.odd):
                 holds.add(id(node.parent))
+    headlines = [node for node in order if node.name == "h1"]
+    up = headlines[0] if len(headlines) == 1 else None
+    while up is not None:
+        up.named = up.named and not up.headed
+        up = up.parent
     # From outside in: what is skipped, and all below it, no longer counts.
     total = plain[id(root)]
     for node in order:
@@ -316,6 +349,7 @@ def main_nodes(root: Node) -> list[Node]:
     keep = [
         node is best or worth(node) >= least
         or (node.name == "p" and _reads(node, node.linked / max(1, node.length)))
+        or (node.name == best.name == "article" and not node.odd and 2 * node.linked < node.length)
         for node in beside
     ]
     first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)

@@ -155,3 +155,30 @@ def test_whole_article_of_given_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S).group(1)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+PROSE = "This is a sentence of prose, long enough to count, with commas, and more words. " * 3
+
+
+@pytest.mark.parametrize(
+    "body, kept, dropped",
+    [
+        ("<article><div class='article-header'><h1>Head</h1><p>Lead it.</p></div><p>{}</p></article>", "Head Lead it.", None),
+        ("<article><p>{}</p><p class='form-example'>Such a form.</p><p>{}</p></article>", "Such a form.", None),
+        ("<article><p class='research-search'>On search.</p><p>{}</p></article>", "On search.", None),
+        ("<div class='wrap'><div class='header'><h1>Head line</h1></div><div class='c'><p>{}</p><p>{}</p></div></div>", "Head line", None),
+        ("<main><article><p>{}</p><p>{}</p></article><article><p>Short second.</p></article></main>", "Short second.", None),
+        ("<article><p>{}</p><div class='entry-notice'>A note of it.</div></article>", "A note of it.", None),
+        ("<article><p>{}</p></article><div id='discussion'><p>Zzz {}</p></div>", None, "Zzz"),
+        ("<article><p>{}</p><div class='post-comments'><p>Zzz {}</p></div></article>", None, "Zzz"),
+        ("<article><p>{}</p><p class='ad'>Zzz buy it.</p></article>", None, "Zzz"),
+        ("<main><article><p>{}</p></article><article class='comment'><p>Zzz {}</p></article></main>", None, "Zzz"),
+        ("<div class='header'><h1>Zzz site</h1><ul><li><a href=x>n</a></li></ul></div><div id='c'><p>{}</p><p>{}</p></div>", None, "Zzz"),
+        ("<article><p>{}</p><div class='ad-slot'>Zzz</div><div class='related-posts'>Zzz two</div></article>", None, "Zzz"),
+    ],
+)
+def test_names_inside_articles(body, kept, dropped):
+    text = html_text.main_text(f"<html><body>{body.replace('{}', PROSE)}</body></html>".encode())
+    assert "a sentence of prose" in text
+    assert kept is None or kept in text
+    assert dropped is None or dropped not in text

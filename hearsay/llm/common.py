@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hearsay.operators.scratch import store
 
@@ -41,6 +42,38 @@ def with_row_id(df: DataFrame) -> DataFrame:
     )
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Stored ``df`` with, by name, the sums of the columns over all rows that ``order`` puts before
+    each row. The order must have no ties, or they are in any order.
+
+    Rows are sorted across the cluster and added up inside their partitions; only one row a
+    partition is added up in one task.
+    """
+    placed = store(
+        df.orderBy(*order).withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_at": F.monotonically_increasing_id(),
+                **{f"_own_{n}": c for n, c in sums.items()},
+            }
+        ),
+        "placed",
+    )
+    held = placed.groupBy("_part").agg(*[F.sum(f"_own_{n}").alias(f"_held_{n}") for n in sums])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(
+        "_part",
+        *[F.coalesce(F.sum(f"_held_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums],
+    )
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = {n: F.coalesce(F.sum(f"_own_{n}").over(before), F.lit(0)) for n in sums}
+    return (
+        placed.withColumns(inside)
+        .join(F.broadcast(starts), "_part")
+        .select(*df.columns, *[(F.col(n) + F.col(f"_start_{n}")).alias(n) for n in sums])
+    )
+
+
 def worker_cache(key: str, make: Callable[[], Any], version: Any = None) -> Any:
     """``make()`` once per Python worker and version; of each key only the last version is kept.
     Task code is shipped by value, so its own globals are new in each task; a module that stays

@@ -8,22 +8,21 @@ sorted, and a smaller budget always takes a subset of a larger one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from hearsay.operators.joins import lookup_join
 from hearsay.operators.scratch import store
 
-from .common import FILE, ROW, utf8, with_row_id
+from .common import FILE, ROW, running_sums, utf8, with_row_id
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 HASH_BITS = 60
 LEVEL_BITS = 12
-MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,85 +41,76 @@ def row_hash(key: str, text: str) -> Column:
     )
 
 
-@dataclass(frozen=True)
-class Budget:
-    source: str | None
-    size: int
-    target: float
+def source_key(source: str | Column) -> Column:
+    """Text that tells all sources apart, null too."""
+    column = F.col(source) if isinstance(source, str) else source
+    return F.coalesce(F.concat(F.lit("s"), column.cast("string")), F.lit("null"))
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MAX_COPIES) -> list[Budget]:
-    """Share the total of all sizes by weight, no source above ``most`` times its size.
+def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """``source, source_size, target`` from ``source, source_size``: the total of all sizes shared
+    by weight, no source above ``most`` times its size.
 
     Sources stand in order of code points, null last, and take the weights in turn. What a source
-    cannot take is shared among the others by weight until none is above its limit.
+    cannot take is shared among the others by weight until none is above its limit: sources reach
+    it in the order of size over weight, so each needs only the sums of those before it.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, full = sum(sizes.values()), set()
-    while True:
-        left = total - sum(most * sizes[s] for s in full)
-        share = sum(weight[s] for s in order if s not in full)
-        over = {
-            s for s in order if s not in full and left * weight[s] > most * sizes[s] * share
-        }
-        if not over:
-            break
-        full |= over
-    return [
-        Budget(s, sizes[s], float(most * sizes[s]) if s in full else left * weight[s] / share)
-        for s in order
-    ]
-
-
-def _thresholds(rows: DataFrame, budgets: list[Budget]) -> dict[str | None, int]:
-    """For each source the hash below which its rows are taken once more.
+    by_name = [F.col("source").isNull(), F.col("source")]
+    listed = running_sums(sizes, by_name, {"place": F.lit(1).cast("bigint")})
+    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = listed.withColumn("weight", turn.cast("bigint"))
+    limit = F.col("source_size") * most
+    filled = running_sums(
+        weighed,
+        [F.col("source_size") / F.col("weight"), *by_name],
+        {"used": limit, "shared": F.col("weight")},
+    )
+    whole = weighed.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    total, shares = whole["n"] or 0, whole["w"] or 0
+    over = (F.lit(total) - F.col("used")) * F.col("weight") > limit * (F.lit(shares) - F.col("shared"))
+    marked = store(filled.withColumn("over", over), "filled")
+    full = marked.where("over").agg(F.sum(limit).alias("n"), F.sum("weight").alias("w")).first()
+    left, share = total - (full["n"] or 0), shares - (full["w"] or 0)
+    even = F.lit(left) * F.col("weight") / F.nullif(F.lit(share), F.lit(0))
+    return marked.select(
+        "source",
+        "source_size",
+        F.when(F.col("over"), limit.cast("double")).otherwise(even).alias("target"),
+    )
+
+
+def _thresholds(rows: DataFrame, rests: DataFrame) -> DataFrame:
+    """``k, below`` for ``rests (k, rest)``: the hash below which a source's rows are taken once more.
 
     Walks down the levels of the histogram; at each, only rows in the one bucket that holds the
-    budget are summed, and one row a source reaches the driver. What is open at the end is one hash
-    value: it is taken if that is nearer to the budget.
+    rest are summed. What is open at the end is one hash value: it is taken if that is nearer.
     """
-    spark = rows.sparkSession
-    schema = T.StructType(
-        [
-            T.StructField("s", rows.schema["source"].dataType),
-            T.StructField("prefix", T.LongType()),
-            T.StructField("rest", T.DoubleType()),
-        ]
-    )
-    found: dict[str | None, int] = {b.source: 0 for b in budgets}
-    state = [
-        (b.source, 0, b.target - b.target // b.size * b.size)
-        for b in budgets
-        if b.size and b.target % b.size
-    ]
+    zero = F.lit(0).cast("bigint")
+    state = store(rests.select("k", zero.alias("prefix"), "rest"), "level")
+    parts = []
     for level in range(LEVEL_BITS, HASH_BITS + 1, LEVEL_BITS):
-        if not state:
-            break
         shift = HASH_BITS - level
-        before = Window.partitionBy("source").orderBy("bucket")
-        inside = rows.join(
-            F.broadcast(spark.createDataFrame(state, schema)),
-            F.col("source").eqNullSafe(F.col("s"))
-            & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")),
+        before = Window.partitionBy("k").orderBy("bucket")
+        inside = lookup_join(rows.select("k", "h", "size"), state, "k", ["h"], "inner").where(
+            F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")
         )
-        met = (
-            inside.groupBy("source", "rest", F.shiftright("h", shift).alias("bucket"))
+        # At most 2 ** LEVEL_BITS buckets a source.
+        met = store(
+            inside.groupBy("k", "rest", F.shiftright("h", shift).alias("bucket"))
             .agg(F.sum("size").alias("size"))
             .withColumn("upto", F.sum("size").over(before))
             .where("upto > rest and upto - size <= rest")
-            .collect()
+            .select("k", "bucket", "size", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest")),
+            "level",
         )
-        for source, prefix, _ in state:  # float dust: where no bucket exceeds the rest, all fits
-            found[source] = (prefix + 1) << (shift + LEVEL_BITS)
-        state = []
-        for r in met:
-            rest = r["rest"] - (r["upto"] - r["size"])
-            if shift == 0:
-                found[r["source"]] = r["bucket"] + (rest > r["size"] - rest)
-            else:
-                state.append((r["source"], r["bucket"], rest))
-    return found
+        # Float dust: where no bucket exceeds the rest, all fits.
+        end = F.shiftleft(F.col("prefix") + 1, shift + LEVEL_BITS)
+        parts.append(state.join(met.select("k"), "k", "left_anti").select("k", end.alias("below")))
+        if shift == 0:
+            more = (F.col("rest") > F.col("size") - F.col("rest")).cast("bigint")
+            parts.append(met.select("k", (F.col("bucket") + more).alias("below")))
+        state = met.select("k", F.col("bucket").alias("prefix"), "rest")
+    return reduce(DataFrame.union, parts)
 
 
 def mix(rows: DataFrame, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
@@ -129,32 +119,28 @@ def mix(rows: DataFrame, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     Each row is taken ``target // source_size`` times, and once more where its hash is below its
     source's threshold, so never more than ``most`` times. The words taken of a source differ from
     its target by less than the size of one hash value's rows. An empty table gives no rows; sources
-    without words have target 0 and their rows 0 copies.
+    without words have target 0 and their rows 0 copies. There may be any number of sources: their
+    table stays distributed, and meets the rows by a join that spreads a large source.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    budgets = targets({r["source"]: r["size"] for r in sums}, weights, most) if sums else []
-    thresholds = _thresholds(rows, budgets)
-    table = rows.sparkSession.createDataFrame(
-        [
-            (b.source, b.size, b.target, int(b.target // b.size) if b.size else 0,
-             thresholds[b.source])
-            for b in budgets
-        ],
-        T.StructType(
-            [
-                T.StructField("s", rows.schema["source"].dataType),
-                T.StructField("source_size", T.LongType()),
-                T.StructField("target", T.DoubleType()),
-                T.StructField("whole", T.LongType()),
-                T.StructField("below", T.LongType()),
-            ]
+    keyed = rows.withColumn("k", source_key("source"))
+    sizes = store(
+        rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), "sources"
+    )
+    size, target = F.col("source_size"), F.col("target")
+    budgets = targets(sizes, weights, most).withColumn("k", source_key("source"))
+    whole = F.when(size > 0, F.floor(target / size)).otherwise(0).cast("bigint")
+    rest = target - whole * size
+    budgets = store(budgets.withColumns({"whole": whole, "rest": rest}), "budgets")
+    below = _thresholds(keyed, budgets.where("source_size > 0 and rest > 0").select("k", "rest"))
+    table = store(
+        budgets.join(below, "k", "left").select(
+            "k", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")
         ),
+        "thresholds",
     )
-    joined = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")))
+    joined = lookup_join(keyed, table, "k", ["h"], "inner")
     copies = F.col("whole") + (F.col("h") < F.col("below")).cast("bigint")
-    return joined.withColumn("copies", copies).drop("s", "whole", "below")
+    return joined.select(*rows.columns, "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(

@@ -26,3 +26,22 @@ def documents(spark, texts, **more):
         (i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)
     ]
     return spark.createDataFrame(rows, DOC)
+
+
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    """``[(source, size, target)]`` in order of code points, null last: shares by weight, limits
+    applied and the rest shared again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        share = sum(weight[s] for s in order if s not in full)
+        over = {s for s in order if s not in full and left * weight[s] > most * sizes[s] * share}
+        if not over:
+            break
+        full |= over
+    return [
+        (s, sizes[s], float(most * sizes[s]) if s in full else left * weight[s] / share)
+        for s in order
+    ]

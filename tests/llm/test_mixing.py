@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,25 +11,54 @@ from pyspark.sql import functions as F
 from hearsay.llm import mixing
 from hearsay.llm.queries import LLM_ORACLES, LLM_QUERIES
 
-from .helpers import DOC
+from .helpers import DOC, plain_targets
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-def test_targets(sizes):
+def test_plain_targets(sizes):
+    """The plain version, which the others are held against, has what the contract asks for."""
     named = {f"s{i:02d}": n for i, n in enumerate(sizes[1:])} | {None: sizes[0]}
-    budgets = mixing.targets(named)
-    assert [b.source for b in budgets] == [*sorted(s for s in named if s), None]
-    total = sum(sizes)
-    assert sum(b.target for b in budgets) == pytest.approx(total)
+    budgets = plain_targets(named)
+    assert [s for s, _, _ in budgets] == [*sorted(s for s in named if s), None]
+    assert sum(t for *_, t in budgets) == pytest.approx(sum(sizes))
     open_ratio = set()
-    for i, b in enumerate(budgets):
-        assert 0 <= b.target <= 3 * b.size + 1e-6
-        if b.target < 3 * b.size - 1e-6:
-            open_ratio.add(round(b.target / mixing.WEIGHTS[i % 3], 6))
+    for i, (_, size, target) in enumerate(budgets):
+        assert 0 <= target <= 3 * size + 1e-6
+        if target < 3 * size - 1e-6:
+            open_ratio.add(round(target / mixing.WEIGHTS[i % 3], 6))
     assert len(open_ratio) <= 1  # all below their limit share by weight
-    for i, b in enumerate(budgets):
-        if open_ratio and b.target >= 3 * b.size - 1e-6:
-            assert b.target / mixing.WEIGHTS[i % 3] <= max(open_ratio) + 1e-5
+    for i, (_, size, target) in enumerate(budgets):
+        if open_ratio and target >= 3 * size - 1e-6:
+            assert target / mixing.WEIGHTS[i % 3] <= max(open_ratio) + 1e-5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "", "é", "日", *(f"s{i}" for i in range(rng.randrange(40)))]
+    sizes = {s: rng.choice([0, 1, 7, rng.randrange(1000), 10**12]) for s in names}
+    if seed == 3:
+        sizes = dict.fromkeys(sizes, 0)
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(df.repartition(3)).collect()}
+    assert got == {s: (n, pytest.approx(t, rel=1e-12)) for s, n, t in plain_targets(sizes)}
+
+
+def test_any_number_of_sources(spark):
+    """More sources than reach a driver: no list of them is made."""
+    n = 150_000
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("s"), F.col("id")).alias("source"),
+        (F.col("id") % 5).alias("size"),
+        F.xxhash64("id").bitwiseAND(F.lit((1 << 60) - 1)).alias("h"),
+    )
+    got = mixing.mix(rows).agg(
+        F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"),
+        F.sum("target").alias("target"), F.sum("size").alias("size"), F.max("copies").alias("most"),
+    ).first()
+    assert got["n"] == n and got["most"] <= 3
+    assert got["target"] == pytest.approx(got["size"], rel=1e-9)
 
 
 def rows_of(spark, rows):

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from hearsay.llm import mixing, sharding, simhash
+from hearsay.llm import sharding, simhash
 
-from .helpers import DOC
+from .helpers import DOC, plain_targets
 from .test_decontamination import plain as plain_contamination
 from .test_simhash import plain_simhash
 
@@ -73,8 +73,8 @@ def test_mixing(steps):
     for r in steps[4].collect():
         taken[r["source"]] += size(r)
     most = max(map(size, rows))
-    for b in mixing.targets(sums):
-        assert abs(taken[b.source] - b.target) <= most / 2
+    for source, _, target in plain_targets(sums):
+        assert abs(taken[source] - target) <= most / 2
     copies = Counter(map(key, steps[4].collect()))
     assert set(copies) <= set(map(key, rows)) and max(copies.values()) <= 3
 

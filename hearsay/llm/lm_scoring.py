@@ -192,20 +192,12 @@ def initial(symbol_counts: np.ndarray, seed: int = 42) -> dict[str, np.ndarray]:
     }
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index, for each of the indices 0 to n - 1: rows in the order of their index
-    are added run by run."""
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    if len(at):
-        order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
-        index = at[order]
-        first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-        out[index[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
-
-
 class Trainer:
-    """Noise-contrastive estimation on batches, with step sizes that shrink by parameter."""
+    """Noise-contrastive estimation on batches, with step sizes that shrink by parameter.
+
+    The large tables of a step are written to the same memory each time: fresh memory would cost
+    more than the arithmetic.
+    """
 
     def __init__(self, parameters: dict[str, np.ndarray], seed: int, rate: float) -> None:
         self.rate = rate
@@ -214,6 +206,28 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.steps_from = np.cumsum(self.p["noise"])
         self.log_noise = np.log(NOISE * self.p["noise"]).astype(np.float32)
+        self.held: dict[str, np.ndarray] = {}
+
+    def _table(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows:
+            self.held[name] = np.empty((rows, columns), dtype=np.float32)
+        return self.held[name][:rows]
+
+    def _taken(self, name: str, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``rows[at]`` in the memory of that name."""
+        out = self._table(name, len(at), rows.shape[1])
+        return np.take(rows, at, axis=0, out=out, mode="clip")
+
+    def _sums(self, name: str, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of rows by symbol: rows in the order of their symbol are added run by run."""
+        n = len(self.p["bias"])
+        out = self._table(name, n, rows.shape[1])
+        out.fill(0)
+        order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+        index = at[order]
+        first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+        out[index[first]] = np.add.reduceat(self._taken("sorted", rows, order), first, axis=0)
+        return out
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         squares = self.squares[name]
@@ -221,31 +235,35 @@ class Trainer:
         self.p[name] -= self.rate * gradient / np.sqrt(squares)
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
-        p, n = self.p, len(self.p["bias"])
+        p, n, size = self.p, len(self.p["bias"]), len(w)
         noise = np.searchsorted(self.steps_from, self.rng.random(NOISE) * self.steps_from[-1])
         noise = np.minimum(noise, n - 1)
-        query = (p["context"] @ p["c1"])[w1] + (p["context"] @ p["c2"])[w2]
-        true = p["target"][w]
+        query = self._taken("query", p["context"] @ p["c1"], w1)
+        spare = self._taken("spare", p["context"] @ p["c2"], w2)
+        query += spare
+        true = self._taken("true", p["target"], w)
         score = np.einsum("ij,ij->i", query, true) + p["bias"][w] - self.log_noise[w]
         false = p["target"][noise]
         # Gradients of -log sigmoid(score) - sum of log sigmoid(-against), per token; the large
         # table of scores against noise is turned into them in place.
-        size = np.float32(1 / len(w))
-        up = -size / (1 + np.exp(np.minimum(score, 30)))
-        down = query @ -false.T
+        share = np.float32(1 / size)
+        up = -share / (1 + np.exp(np.minimum(score, 30)))
+        down = np.matmul(query, -false.T, out=self._table("down", size, NOISE))
         down -= (p["bias"] - self.log_noise)[noise]
         np.minimum(down, 30, out=down)
         np.exp(down, out=down)
         down += 1
-        np.divide(size, down, out=down)
-        back = up[:, None] * true + down @ false
-        target = _sums(w, up[:, None] * query, n)
+        np.divide(share, down, out=down)
+        back = np.matmul(down, false, out=self._table("back", size, WIDTH))
+        back += np.multiply(true, up[:, None], out=spare)
+        target = self._sums("target", w, np.multiply(query, up[:, None], out=spare))
         bias = np.bincount(w, weights=up, minlength=n).astype(np.float32)
         np.add.at(target, noise, down.T @ query)
         np.add.at(bias, noise, down.sum(0))
-        context = np.zeros_like(p["context"])
+        context = self._table("context", n, WIDTH)
+        context.fill(0)
         for name, before in (("c1", w1), ("c2", w2)):
-            sums = _sums(before, back, n)
+            sums = self._sums("before", before, back)
             context += sums @ p[name].T
             self._move(name, p["context"].T @ sums)
         self._move("context", context)

@@ -70,4 +70,5 @@ def lookup_join(
     salts = salts or salts_of(df)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(spread, [on, "_salt"], how).drop("_salt")
+    # Spark's own estimate does not know of the copies and might broadcast them after all.
+    return df.withColumn("_salt", salt).join(spread.hint("merge"), [on, "_salt"], how).drop("_salt")

@@ -163,11 +163,17 @@ def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFra
 
 
 def _symbols(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    first = len(vocabulary)
-    return np.array(
-        [vocabulary[w] if w in vocabulary else first + word_class(w) for w in words],
-        dtype=np.int32,
-    )
+    """The symbol of each word; a class is worked out once for each ending."""
+    first, classes, out = len(vocabulary), {}, []
+    for word in words:
+        symbol = vocabulary.get(word)
+        if symbol is None:
+            end = word[-SUFFIX:]
+            symbol = classes.get(end)
+            if symbol is None:
+                symbol = classes[end] = first + word_class(end)
+        out.append(symbol)
+    return np.array(out, dtype=np.int32)
 
 
 def _contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -167,16 +167,15 @@ def _all_labels(df: DataFrame) -> list[str]:
     return [*SENTIMENT_LABELS, *sorted({r[0] for r in found} - set(SENTIMENT_LABELS))]
 
 
+def _dated(df: DataFrame, date_column: str, formats: Sequence[str]) -> DataFrame:
+    """Times and labels of the labelled posts."""
+    parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
+    return df.where(F.col(LABEL).isNotNull()).select(parsed.alias("_date"), LABEL)
+
+
 def _bucketed(
-    df: DataFrame,
-    date_column: str,
-    period: str,
-    label: str,
-    formats: Sequence[str],
-    origin: dt.date | str | None = None,
+    dated: DataFrame, period: str, label: str, origin: dt.date | str | None = None
 ) -> DataFrame:
-    parsed = to_datetime(date_column, df.schema[date_column].dataType, formats)
-    dated = df.where(F.col(LABEL).isNotNull()).select(parsed.alias("_date"), LABEL)
     if Period.parse(period).many > 1 and origin is None:
         origin = dated.agg(F.min("_date").cast("date")).first()[0] or "1970-01-01"
     bucketed = dated.select(time_bucket(F.col("_date"), period, label, origin).alias("bucket"), LABEL)
@@ -192,14 +191,18 @@ def sentiment_trends(
     formats: Sequence[str] = (),
     origin: dt.date | str | None = None,
 ) -> DataFrame:
-    """Percentage of each label per time bucket, of all labelled posts in it.
+    """Percentage of each label per time bucket, of all labelled posts in it. Posts are read once:
+    their times and labels are stored where several jobs need them.
 
     ``period`` is ``H``, ``D``, ``W``, ``M``, ``Q`` or ``Y``, or a number of them, counted from
     ``origin``; without one a small job finds the first date. Only buckets with posts appear. Without ``labels`` every label found has a column (one small
     job finds them); with them the columns are fixed and one aggregation is enough.
     """
-    labels = _all_labels(df) if labels is None else labels
-    counts = _bucketed(df, date_column, period, label, formats, origin).groupBy("bucket").agg(
+    dated = _dated(df, date_column, formats)
+    if labels is None or (Period.parse(period).many > 1 and origin is None):
+        dated = store(dated, "dated")
+    labels = _all_labels(dated) if labels is None else labels
+    counts = _bucketed(dated, period, label, origin).groupBy("bucket").agg(
         *_label_counts(labels, LABEL), F.count("*").alias("_all")
     )
     percents = [(F.col(n) / F.col("_all") * 100).alias(n) for n in labels]
@@ -210,7 +213,7 @@ def sentiment_timeline(
     df: DataFrame, date_column: str = "date", formats: Sequence[str] = ()
 ) -> DataFrame:
     """Posts per day and label, in long form."""
-    days = _bucketed(df, date_column, "D", "start", formats)
+    days = _bucketed(_dated(df, date_column, formats), "D", "start")
     return days.groupBy("bucket", LABEL).agg(F.count("*").alias("count"))
 
 
@@ -221,8 +224,11 @@ def sentiment_timeline_wide(
     formats: Sequence[str] = (),
 ) -> DataFrame:
     """Posts per day with a column for each label, by default for every label found."""
-    labels = _all_labels(df) if labels is None else labels
-    days = _bucketed(df, date_column, "D", "start", formats)
+    dated = _dated(df, date_column, formats)
+    if labels is None:
+        dated = store(dated, "dated")
+        labels = _all_labels(dated)
+    days = _bucketed(dated, "D", "start")
     return days.groupBy("bucket").agg(*_label_counts(labels, LABEL))
 
 

@@ -22,7 +22,7 @@ from ..functions.scores import (
     truncate,
     unless_blank,
 )
-from ..functions.text import bind, once
+from ..functions.text import bind, is_not_blank, once
 from ..schema import MODEL_OUTPUT
 from .joins import check_inline, check_match, inline_rows, lookup_join
 from .scratch import store
@@ -66,14 +66,16 @@ def _hits(tokens: Column, vocabulary: Iterable[str]) -> Column:
     return F.coalesce(F.size(F.filter(tokens, lambda w: w.isin(wanted))), F.lit(0))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame, **more: Column) -> DataFrame:
     """The rows stored with a number of their own, so that keys may repeat, be null or be absent."""
-    return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return store(df.withColumns({"_row": F.monotonically_increasing_id(), **more}), "rows")
 
 
-def _word_counts(df: DataFrame, tokens: Column) -> DataFrame:
-    exploded = df.select("_row", F.explode(tokens).alias("word"))
-    return exploded.groupBy("_row", "word").agg(F.count("*").alias("n"))
+def _matched_words(df: DataFrame, tokens: Column, table: DataFrame) -> DataFrame:
+    """``_row`` and the columns of the table for each word that it has. Words meet the table before
+    they are counted, so the others are in no shuffle if the table is small."""
+    words = df.select("_row", F.explode(tokens).alias("word"))
+    return lookup_join(words, table, "word", ["_row"], "inner")
 
 
 def score_sentiment(
@@ -88,8 +90,8 @@ def score_sentiment(
     Whole texts are scored; ``max_chars`` sets the input limit of a fixed-length classifier. Case
     does not matter, null words are left out. ``match="inline"`` tests words inside each row, with
     no shuffle, for lists of up to MAX_INLINE_WORDS (more is an error); ``match="join"`` takes lists
-    of any size: rows are stored with a number, counts of words are joined, and only their
-    sums meet the rows again. Both give the same scores for any rows.
+    of any size: rows are stored with a number, words are joined, and only the sums of those
+    found meet the rows again. Both give the same scores for any rows.
     """
     check_match(match)
     if text_column not in df.columns:
@@ -104,21 +106,21 @@ def score_sentiment(
         )
         counted = df
     else:
-        numbered = _numbered(df)
+        # Blank texts are marked here, so no text need meet the sums.
+        numbered = _numbered(df, _blank=~is_not_blank(text_column))
         table = _as_table(df, lexicon, "word string, polarity int")
         table = table.groupBy("word").agg(
             F.count_if(F.col("polarity") > 0).cast("boolean").cast("int").alias("p"),
             F.count_if(F.col("polarity") < 0).cast("boolean").cast("int").alias("q"),
         )
-        matched = lookup_join(_word_counts(numbered, tokens), table, "word", ["_row"], "inner")
-        hits = matched.groupBy("_row").agg(
-            F.sum(F.col("n") * F.col("p")).alias("_positive"),
-            F.sum(F.col("n") * F.col("q")).alias("_negative"),
+        hits = _matched_words(numbered, tokens, table).groupBy("_row").agg(
+            F.sum("p").alias("_positive"), F.sum("q").alias("_negative")
         )
         counted = numbered.join(hits, "_row", "left").fillna(0, ["_positive", "_negative"])
-        scores = hit_scores(F.col("_positive"), F.col("_negative"))
-    scores = unless_blank(text_column, scores)
-    return counted.select(*df.columns, sentiment_columns(scores))
+        found = hit_scores(F.col("_positive"), F.col("_negative"))
+        scores = F.when(F.col("_blank"), default_scores()).otherwise(found)
+        return counted.select(*df.columns, sentiment_columns(scores))
+    return counted.select(*df.columns, sentiment_columns(unless_blank(text_column, scores)))
 
 
 def score_emotion(
@@ -157,9 +159,9 @@ def score_emotion(
         numbered = _numbered(df)
         table = _as_table(df, lexicon, "word string, emotion string").distinct()
         table = table.groupBy("word").agg(F.collect_list("emotion").alias("emotions"))
-        matched = lookup_join(_word_counts(numbered, tokens), table, "word", ["_row"], "inner")
-        per_class = matched.select("_row", "n", F.explode("emotions").alias("emotion"))
-        per_class = per_class.groupBy("_row", "emotion").agg((-F.sum("n")).alias("rank"))
+        matched = _matched_words(numbered, tokens, table)
+        per_class = matched.select("_row", F.explode("emotions").alias("emotion"))
+        per_class = per_class.groupBy("_row", "emotion").agg((-F.count("*")).alias("rank"))
         top = per_class.groupBy("_row").agg(F.min(F.struct("rank", "emotion")).alias("_best"))
         best, counted = F.col("_best"), numbered.join(top, "_row", "left")
     label = bind(best, lambda b: F.when(b["rank"] < 0, b["emotion"]).otherwise(F.lit(default)))

@@ -282,3 +282,17 @@ def test_hashed_entries_do_not_depend_on_the_batch(spark):
     again = hashed.hashed_entries(pa.array(lists[2:], kind), 10)
     assert again[1][0] == position[2]
     assert [len(x) for x in hashed.hashed_entries(pa.array([[], []], kind), 10)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("score, lexicon", [(sent.score_sentiment, [("good", 1), ("bad", -1)])])
+def test_joined_scores_shuffle_no_text(spark, score, lexicon):
+    """Texts are read for their words alone; the sums meet rows without them."""
+    rows = [(1, "good good bad"), (1, "good good bad"), (None, " "), (2, None), (3, "none")]
+    df = spark.createDataFrame(rows, "id int, text_cleaned string")
+    scored = score(df, lexicon, match="join").select("id", "sentiment_label", "sentiment_score")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert sum("text_cleaned" in line for line in schemas) == 1
+    inline = score(df, lexicon).select("id", "sentiment_label", "sentiment_score")
+    key = lambda r: str(tuple(r))
+    assert sorted(scored.collect(), key=key) == sorted(inline.collect(), key=key)

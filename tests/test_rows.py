@@ -431,3 +431,32 @@ def test_collect_flow_keeps_text_under_first_tag(spark):
     df = spark.createDataFrame(rows, "post_id bigint, text string")
     got = flows.collect(df, ("A", "b"), 10)
     assert sorted((r["post_id"], r["source_hashtag"]) for r in got.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_words_that_stay_are_not_gathered(spark):
+    """Positions of listed words are; repeated words and keys, and odd texts come out the same."""
+    rows = [(1, "The cat The  mat"), (1, "The cat The  mat"), (None, "the"), (2, None), (3, ""), (4, " a\tb a ")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    listed = spark.createDataFrame([("the",), ("B",), (None,)], "w string")
+    joined = filters.remove_listed_words(df, listed)
+    inline = filters.remove_listed_words(df, listed, match="inline")
+    key = lambda r: str(tuple(r))
+    assert sorted(joined.collect(), key=key) == sorted(inline.collect(), key=key)
+    gathered = [f.dataType for f in _collected(joined)]
+    assert gathered == ["array<int>"]
+
+
+def _collected(df):
+    """Columns gathered by ``collect_list`` in the plan of ``df``."""
+    from types import SimpleNamespace
+
+    found, plans = [], [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+        if plan.nodeName() == "Aggregate" and "collect_list" in plan.toString().splitlines()[0]:
+            out = plan.output()
+            types = [out.apply(i).dataType().simpleString() for i in range(out.size())]
+            found += [SimpleNamespace(dataType=t) for t in types if t.startswith("array")]
+    return found

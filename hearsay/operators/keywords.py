@@ -13,6 +13,9 @@ from .scratch import store
 from .termcounts import TERMS, count_terms
 from .vectorize import Proportion, document_limit, english_stopwords
 
+#: Terms, at most 64 MB of them, that are sent to every task rather than shuffled with all counts.
+MOST_BROADCAST = 1_000_000
+
 
 def keyword_scores(
     df: DataFrame,
@@ -43,18 +46,22 @@ def keyword_scores(
     )
     idf = F.log(F.lit(1 + n_docs).cast("double") / (1 + F.col("docs"))) + 1
     idf_of = store(frequencies.select("term", idf.alias("idf")), "idf")
-    weighed = lookup_join(counts, idf_of, "term", ["_row"], "inner").select(
-        "_row", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
-    # A post's terms come together once, for its length.
-    whole = weighed.groupBy("_row").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
-        F.collect_list(F.struct("term", "w")).alias("entries"),
+    weight = F.col("tf") * F.col("idf")
+
+    def weighed(counts: DataFrame, *keep: str) -> DataFrame:
+        found = lookup_join(counts, idf_of, "term", ["_row"], "inner", MOST_BROADCAST)
+        return found.select(*keep, "term", weight.alias("w"))
+
+    # Each task adds up the posts it reads; one number a post is shuffled. The terms of a post stay
+    # together in its row when it gets its length.
+    lengths = (
+        weighed(counts, "_row")
+        .groupBy("_row")
+        .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     )
+    long = posts.join(lengths, "_row").select("_row", "length", F.inline(TERMS).alias("term", "tf"))
     return (
-        whole.select("length", F.inline("entries"))
-        .groupBy("term")
-        .agg(F.sum(F.col("w") / F.col("length")).alias("score"))
+        weighed(long, "length").groupBy("term").agg(F.sum(F.col("w") / F.col("length")).alias("score"))
     )
 
 

@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import BASIC_STOPWORDS
-from hearsay.operators import features
+from hearsay.operators import features, termcounts
 from hearsay.operators import vectorize as vec
 from hearsay.operators.keywords import keyword_scores, top_keywords
 from hearsay.operators.quantiles import exact_quantiles
@@ -337,3 +338,47 @@ def test_label_codes_on_new_rows(spark):
     back = features.decode_labels(coded.drop("tag", "size"), tables).where("post_id = 9").collect()
     assert sorted((r["tag_decoded"], r["size_decoded"]) for r in back) == [("b", "10"), ("nan", "nan")]
     assert features.apply_label_codes(new.drop("size"), tables).columns == ["post_id", "tag", "tag_encoded"]
+
+
+def test_batches_are_cut_by_entries():
+    """A task works on a bounded number of entries, whatever a batch holds."""
+    sizes = [3, 0, 5, 9, 1, 1, 0]
+    lists = pa.array([[{"term": f"t{i}", "n": i} for i in range(n)] for n in sizes])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), lists], names=["id", "_terms"])
+    parts = list(termcounts.small_parts(iter([batch, batch.slice(0, 0)]), 6))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 3]
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist()
+    assert max(p.num_rows for p in termcounts.small_parts(iter([batch.slice(3, 1)]), 6)) == 1
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 18])
+@pytest.mark.parametrize("wanted", [1, 5, 40, 1000])
+def test_frequent_totals_are_the_most_frequent(spark, buckets, wanted):
+    """As from the totals of all terms, ties too, whatever shares a bucket."""
+    texts = [" ".join(f"w{(i * i + j * (i % 5 + 1)) % (j % 11 + 3)}" for j in range(i % 17)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "id int, t string").repartition(3)
+    counted = termcounts.count_terms(df, "t", (1, 3), keep=["id"]).persist()
+    in_range = F.col("docs").between(2, 40)
+    top = lambda totals: [
+        tuple(r) for r in totals.orderBy(F.desc("total"), "term").limit(wanted).collect()
+    ]
+    want = top(termcounts.term_totals(counted).where(in_range))
+    got = termcounts.frequent_totals(counted, wanted, in_range, buckets)
+    assert top(got) == want and want
+    counted.unpersist()
+
+
+def test_rare_ngrams_are_not_shuffled(spark):
+    """Most n-grams occur once; only those that may be chosen have exact totals."""
+    texts = [f"so it goes x{i} y{i} z{i} and so it goes" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    counted = termcounts.count_terms(df, "t", (1, 3), keep=["id"])
+    some = termcounts.frequent_totals(counted, 4, F.col("docs") >= 1)
+    assert some.count() < 20 < 2000 < termcounts.term_totals(counted).count()
+
+
+def test_keyword_counts_stay_with_their_post(spark):
+    """Only a number a post is gathered for its length, not its terms."""
+    df = spark.createDataFrame([(i, "a cat sat on a mat") for i in range(9)], "id int, t string")
+    plan = keyword_scores(df, "t", max_df=1.0, stopwords=())._jdf.queryExecution().toString()
+    assert "collect_list" not in plan

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MAX_DF, MIN_DF
-from .joins import lookup_join
 from .scratch import store
 from .termcounts import TERMS, count_terms
 from .vectorize import Proportion, document_limit, english_stopwords
 
-#: Terms, at most 64 MB of them, that are sent to every task rather than shuffled with all counts.
-MOST_BROADCAST = 1_000_000
+#: Terms in most posts, at most so many, that are sent to every task; counts of others are shuffled.
+OFTEN = 200_000
 
 
 def keyword_scores(
@@ -29,28 +28,29 @@ def keyword_scores(
 
     Terms are those whose document frequency is in range, however many there are: counts and
     frequencies stay distributed, and no vocabulary reaches the driver. Texts are read once; what is
-    kept of them is one row of term counts each.
+    kept of them is one row of term counts each. Most counts are of frequent terms, whose weights are
+    broadcast; each of the others is in few posts, so they are joined as they are.
     """
     stop = tuple(english_stopwords() if stopwords is None else stopwords)
     numbered = df.select(F.monotonically_increasing_id().alias("_row"), text_column)
     posts = store(count_terms(numbered, text_column, ngram_range, stop, ["_row"]), "terms")
     n_docs = posts.count()
     counts = posts.select("_row", F.inline(TERMS).alias("term", "tf"))
-    frequencies = (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("docs"))
-        .where(
-            (F.col("docs") >= document_limit(min_df, n_docs))
-            & (F.col("docs") <= document_limit(max_df, n_docs))
-        )
-    )
     idf = F.log(F.lit(1 + n_docs).cast("double") / (1 + F.col("docs"))) + 1
-    idf_of = store(frequencies.select("term", idf.alias("idf")), "idf")
+    frequencies = store(
+        counts.groupBy("term").agg(F.count("*").alias("docs")).withColumn("idf", idf), "idf"
+    )
+    in_range = (F.col("docs") >= document_limit(min_df, n_docs)) & (
+        F.col("docs") <= document_limit(max_df, n_docs)
+    )
+    is_often = F.col("docs") >= _often(frequencies, OFTEN)
+    often, rare = frequencies.where(is_often), frequencies.where(~is_often & in_range)
     weight = F.col("tf") * F.col("idf")
 
     def weighed(counts: DataFrame, *keep: str) -> DataFrame:
-        found = lookup_join(counts, idf_of, "term", ["_row"], "inner", MOST_BROADCAST)
-        return found.select(*keep, "term", weight.alias("w"))
+        near = counts.join(F.broadcast(often.where(in_range)), "term")
+        far = counts.join(F.broadcast(often.select("term")), "term", "left_anti").join(rare, "term")
+        return near.unionByName(far).select(*keep, "term", weight.alias("w"))
 
     # Each task adds up the posts it reads; one number a post is shuffled. The terms of a post stay
     # together in its row when it gets its length.
@@ -65,6 +65,18 @@ def keyword_scores(
     )
 
 
+def _often(frequencies: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` terms reach with their ``docs``."""
+    bands = frequencies.groupBy(F.floor(F.log2("docs")).alias("band")).agg(F.count("*").alias("n"))
+    least, held = 62, 0  # one row a power of two
+    for band, n in sorted(map(tuple, bands.collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = band
+    return 1 << least
+
+
 def top_keywords(
     df: DataFrame, n: int = 20, text_column: str = "text_cleaned", **options
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import BASIC_STOPWORDS
-from hearsay.operators import features, termcounts
+from hearsay.operators import features, keywords, termcounts
 from hearsay.operators import vectorize as vec
 from hearsay.operators.keywords import keyword_scores, top_keywords
 from hearsay.operators.quantiles import exact_quantiles
@@ -382,3 +382,20 @@ def test_keyword_counts_stay_with_their_post(spark):
     df = spark.createDataFrame([(i, "a cat sat on a mat") for i in range(9)], "id int, t string")
     plan = keyword_scores(df, "t", max_df=1.0, stopwords=())._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 3, 10**6])
+def test_keywords_do_not_depend_on_what_is_broadcast(spark, monkeypatch, most):
+    texts = [" ".join(f"w{j % (i + 1)}" for j in range(12)) + " all" for i in range(9)] + [None, ""]
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "id int, t string")
+    monkeypatch.setattr(keywords, "OFTEN", most)
+    got = {r["term"]: r["score"] for r in keyword_scores(df, "t", stopwords=()).collect()}
+    counts = [Counter((t or "").split()) for t in texts]
+    docs = Counter(w for c in counts for w in c)
+    idf = {w: math.log(12 / (1 + n)) + 1 for w, n in docs.items() if 2 <= n <= 0.8 * 11}
+    want = Counter()
+    for c in counts:
+        weights = {w: n * idf[w] for w, n in c.items() if w in idf}
+        length = math.sqrt(sum(x * x for x in weights.values()))
+        want.update({w: x / length for w, x in weights.items()})
+    assert got == pytest.approx(dict(want)) and "all" in docs

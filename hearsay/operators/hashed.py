@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import normalize_scores, sentiment_columns, unless_blank
 from .scratch import cut_lineage, store
-from .termcounts import TERMS, count_terms
+from .termcounts import TERMS, count_terms, small_parts
 from .vectorize import sparse_vectors
 
 BITS = 18
@@ -59,7 +59,7 @@ def hashed_vectors(counted: DataFrame, bits: int, output: str) -> DataFrame:
     schema = T.StructType([*fields, T.StructField(output, VectorUDT())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             row, position, value = hashed_entries(batch.column(batch.num_columns - 1), bits)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             found = sparse_vectors(1 << bits, cuts, position, value)
@@ -75,7 +75,7 @@ def margins(counted: DataFrame, weights: np.ndarray, intercept: float, bits: int
     schema = T.StructType([*fields, T.StructField("_margin", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             row, position, value = hashed_entries(batch.column(batch.num_columns - 1), bits)
             total = np.bincount(row, value * weights[position], minlength=batch.num_rows)
             found = pa.array(total[: batch.num_rows].astype(float) + intercept)

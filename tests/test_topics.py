@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.operators import topics
+from hearsay.operators import termcounts, topics
 from hearsay.operators.termcounts import count_terms, term_totals
 
 
@@ -178,3 +178,29 @@ def test_topic_clusters_of_a_fitted_model(fitted):
     alike = Counter((r["cluster"], r["main"]) for r in rows)
     assert sum(max(alike[c, m] for m in range(3)) for c in range(3)) > 190
     assert topics.topic_clusters(assigned.limit(0), 3).count() == 0
+
+
+def test_topics_are_found_for_what_was_counted(spark, tmp_path):
+    """The same topics as from the texts, which are read once."""
+    planted(spark, 60)[0].coalesce(1).write.parquet(str(tmp_path / "t"))
+    posts = spark.read.parquet(str(tmp_path / "t"))
+    options = {"k": 3, "max_iter": 3, "stopwords": (), "max_df": 1.0}
+    model, assigned = topics.fit_assign(posts, "text", keep=["post_id"], **options)
+    weights = lambda df: {
+        r["post_id"]: (r["topic"], [round(float(w), 6) for w in r["topic_weights"]])
+        for r in df.select("post_id", "topic", "topic_weights").collect()
+    }
+    got, again = weights(assigned), weights(model.transform(posts, "text"))
+    assert len(got) == 60 and got == again
+    assert "MapInArrow" not in assigned._jdf.queryExecution().toString()
+
+
+def test_shares_do_not_depend_on_the_parts_of_a_batch(spark, monkeypatch):
+    posts, weights = planted(spark, 40)
+    counted = count_terms(posts, "text", keep=["post_id"])
+    found = []
+    for most in (1, 50, 1 << 18):
+        monkeypatch.setattr(termcounts.small_parts, "__defaults__", (most,))
+        folded = topics.fold_in(counted, weights, 3).collect()
+        found.append({r["post_id"]: [round(x, 9) for x in r["topic_weights"]] for r in folded})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 40

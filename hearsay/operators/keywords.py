@@ -13,7 +13,7 @@ from .termcounts import TERMS, count_terms
 from .vectorize import Proportion, document_limit, english_stopwords
 
 #: Terms in most posts, at most so many, that are sent to every task; counts of others are shuffled.
-OFTEN = 200_000
+OFTEN = 20_000
 
 
 def keyword_scores(
@@ -48,8 +48,10 @@ def keyword_scores(
     weight = F.col("tf") * F.col("idf")
 
     def weighed(counts: DataFrame, *keep: str) -> DataFrame:
-        near = counts.join(F.broadcast(often.where(in_range)), "term")
-        far = counts.join(F.broadcast(often.select("term")), "term", "left_anti").join(rare, "term")
+        near = counts.join(F.broadcast(often.where(in_range).select("term", "idf")), "term")
+        far = counts.join(F.broadcast(often.select("term")), "term", "left_anti")
+        # Files are far smaller than their rows, so Spark might broadcast too much by their size.
+        far = far.join(rare.select("term", "idf").hint("merge"), "term")
         return near.unionByName(far).select(*keep, "term", weight.alias("w"))
 
     # Each task adds up the posts it reads; one number a post is shuffled. The terms of a post stay
@@ -59,7 +61,9 @@ def keyword_scores(
         .groupBy("_row")
         .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     )
-    long = posts.join(lengths, "_row").select("_row", "length", F.inline(TERMS).alias("term", "tf"))
+    long = posts.join(lengths.hint("merge"), "_row").select(
+        "_row", "length", F.inline(TERMS).alias("term", "tf")
+    )
     return (
         weighed(long, "length").groupBy("term").agg(F.sum(F.col("w") / F.col("length")).alias("score"))
     )

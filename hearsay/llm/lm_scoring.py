@@ -16,16 +16,20 @@ its own words by a join.
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.operators.scratch import store
+from hearsay.operators.termcounts import slices
 
 from .common import utf8, worker_cache
 
@@ -37,10 +41,12 @@ WIDTH = 32
 NOISE = 64
 ROUNDS = 2
 BATCH = 4096
+SHORT_RUN = 8
 RATE = 0.02  # of the first round; the next ones take RATE / 2, RATE / 3, ...
 SQUARES = 1e-9
 BLOCK_TOKENS = 1 << 20
 PIECE_BYTES = 1 << 22
+SCORED_TOKENS = 1 << 17  # scored at a time; a piece is never parted
 
 PARTS = ("target", "context", "bias")  # parameters kept by symbol
 
@@ -78,7 +84,7 @@ class _Block:
     """Pieces of texts with words numbered in order of appearance."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {END: 0}
+        self.ids: dict[bytes, int] = defaultdict(count(1).__next__, {END: 0})
         self.keys: list = []
         self.rids: list[int] = []
         self.learn: list[bool] = []
@@ -87,10 +93,8 @@ class _Block:
         self.total = 0
 
     def add(self, key, rid: int, learn: bool, before: list[bytes], words: list[bytes]) -> None:
-        ids = self.ids
-        numbers = [ids.setdefault(w, len(ids)) for w in before]
-        numbers += [ids.setdefault(w, len(ids)) for w in words]
-        self.tokens.append(np.array(numbers, dtype=np.uint32))
+        numbers = map(self.ids.__getitem__, before + words)
+        self.tokens.append(np.fromiter(numbers, np.uint32, len(before) + len(words)))
         self.keys.append(key)
         self.rids.append(rid)
         self.learn.append(learn)
@@ -162,18 +166,16 @@ def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFra
     return store(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def _symbols(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+def _symbols(words: pa.Array, vocabulary: dict[bytes, int]) -> np.ndarray:
     """The symbol of each word; a class is worked out once for each ending."""
-    first, classes, out = len(vocabulary), {}, []
-    for word in words:
-        symbol = vocabulary.get(word)
-        if symbol is None:
-            end = word[-SUFFIX:]
-            symbol = classes.get(end)
-            if symbol is None:
-                symbol = classes[end] = first + word_class(end)
-        out.append(symbol)
-    return np.array(out, dtype=np.int32)
+    first = len(vocabulary)
+    listed = pc.index_in(words, pa.array(list(vocabulary), words.type))
+    symbols = pc.fill_null(listed, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    other = np.flatnonzero(symbols < 0)
+    ends = pc.binary_slice(words.take(pa.array(other)), -SUFFIX).dictionary_encode()
+    classes = [first + word_class(end) for end in ends.dictionary.to_pylist()]
+    symbols[other] = np.array(classes, dtype=np.int32)[ends.indices.to_numpy()]
+    return symbols
 
 
 def _contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -224,21 +226,51 @@ class Trainer:
         out = self._table(name, len(at), rows.shape[1])
         return np.take(rows, at, axis=0, out=out, mode="clip")
 
+    def _like(self, name: str, table: np.ndarray) -> np.ndarray:
+        shape = table.shape
+        held = self.held.setdefault(f"{name} {shape}", np.empty(0, np.float32))
+        if held.shape != shape:
+            held = self.held[f"{name} {shape}"] = np.empty(shape, dtype=np.float32)
+        return held
+
     def _sums(self, name: str, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sums of rows by symbol: rows in the order of their symbol are added run by run."""
+        """Sums of rows by symbol: rows in the order of their symbol are added run by run.
+
+        Most runs are short: their second rows are added together, then their third rows, and so on.
+        """
         n = len(self.p["bias"])
         out = self._table(name, n, rows.shape[1])
         out.fill(0)
         order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
         index = at[order]
         first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-        out[index[first]] = np.add.reduceat(self._taken("sorted", rows, order), first, axis=0)
+        length = np.diff(first, append=len(index))
+        long = length > SHORT_RUN
+        if long.any():
+            held = self._taken("sorted", rows, order[np.repeat(long, length)])
+            starts = np.cumsum(length[long]) - length[long]
+            out[index[first[long]]] = np.add.reduceat(held, starts, axis=0)
+        if not long.all():
+            first, length = first[~long], length[~long]
+            first = first[np.argsort(-length, kind="stable")]
+            more = len(length) - np.cumsum(np.bincount(length, minlength=SHORT_RUN + 1))
+            rest = np.take(rows, order[first[: more[1]] + 1], axis=0)
+            for at_least in range(2, SHORT_RUN):
+                n = more[at_least]
+                if n:
+                    rest[:n] += np.take(rows, order[first[:n] + at_least], axis=0)
+            total = np.take(rows, order[first], axis=0)
+            total[: more[1]] += rest
+            out[index[first]] = total
         return out
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         squares = self.squares[name]
-        squares += gradient * gradient
-        self.p[name] -= self.rate * gradient / np.sqrt(squares)
+        change = self._like("change", gradient)
+        squares += np.multiply(gradient, gradient, out=change)
+        np.multiply(gradient, self.rate, out=change)
+        change /= np.sqrt(squares, out=self._like("root", gradient))
+        self.p[name] -= change
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
         p, n, size = self.p, len(self.p["bias"]), len(w)
@@ -297,7 +329,7 @@ def train_round(
                 learn = np.array(batch.column(0)[row].as_py(), dtype=bool)
                 sizes = np.array(batch.column(1)[row].as_py())
                 tokens = unpacked(batch.column(2)[row].as_py())
-                symbols = _symbols(batch.column(3)[row].as_py(), words_of)[tokens]
+                symbols = _symbols(batch.column(3)[row].values, words_of)[tokens]
                 at = _contexts(tokens, sizes)
                 at = at[np.repeat(learn, sizes)]
                 for i in range(0, len(at), BATCH):
@@ -443,7 +475,7 @@ def score_texts(
         for batch in batches:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for row in range(batch.num_rows):
-                block_words = column["words"][row].as_py()
+                block_words = column["words"][row].values
                 sizes = np.array(column["sizes"][row].as_py())
                 tokens = unpacked(column["tokens"][row].as_py())
                 symbol = _symbols(block_words, words_of)
@@ -465,23 +497,29 @@ def score_texts(
                         left[k],
                     )
                 inside[other] = np.log(share)
-                at = _contexts(tokens, sizes)
-                symbols = symbol[tokens]
-                w2, w1, w = symbols[at - 2], symbols[at - 1], symbols[at]
-                own = tokens[at]
-                score = first[w1, w] + second[w2, w] - log_z[w2, w1] + inside[own]
-                # Pieces may be empty; sums by piece from running totals would lose digits.
-                piece = np.repeat(np.arange(len(sizes)), sizes)
-                add = lambda v: np.bincount(piece, weights=v, minlength=len(sizes))
+                # A piece's two leading tokens are in its part of the tokens.
+                cuts = np.concatenate(([0], np.cumsum(sizes + 2)))
+                sums = np.zeros((3, len(sizes)))
+                for start, stop in slices(sizes, SCORED_TOKENS):
+                    part, held = tokens[cuts[start] : cuts[stop]], sizes[start:stop]
+                    at = _contexts(part, held)
+                    symbols = symbol[part]
+                    w2, w1, w = symbols[at - 2], symbols[at - 1], symbols[at]
+                    own = part[at]
+                    score = first[w1, w] + second[w2, w] - log_z[w2, w1] + inside[own]
+                    # Pieces may be empty; sums by piece from running totals would lose digits.
+                    piece = np.repeat(np.arange(len(held)), held)
+                    for i, v in enumerate(((count > 0)[own], base[own], score)):
+                        sums[i, start:stop] = np.bincount(piece, weights=v, minlength=len(held))
                 yield pa.RecordBatch.from_arrays(
                     [
                         column["rids"][row].values,
                         column["keys"][row].values,
                         column["learn"][row].values,
                         pa.array(sizes.astype(np.int64)),
-                        pa.array(add((count > 0)[own]).astype(np.int64)),
-                        pa.array(add(base[own])),
-                        pa.array(add(score) / np.log(10)),
+                        pa.array(sums[0].astype(np.int64)),
+                        pa.array(sums[1]),
+                        pa.array(sums[2] / np.log(10)),
                     ],
                     names=schema.names,
                 )

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,26 @@ def test_rows_have_numbers_of_their_own(spark):
     docs = documents(spark, ["same text"] * 500).withColumn("doc_id", F.lit(1).cast("bigint"))
     rows = L.score_texts(docs.repartition(7), F.lit(True), rounds=1).collect()
     assert len(rows) == 500 and {r["n_tokens"] for r in rows} == {3}
+
+
+def test_symbols_of_an_arrow_array():
+    """Words stay in Arrow: those listed by place, others by their last bytes, short ones too."""
+    vocabulary = {L.END: 0, b"the": 1, b"of": 2}
+    words = [b"of", b"a", b"bc", b"walking", b"\xc3\xa9", L.END, b"the", b"king", b""]
+    found = L._symbols(pa.array(words, pa.binary()), vocabulary)
+    want = [vocabulary.get(w, len(vocabulary) + zlib.crc32(w[-3:]) % L.CLASSES) for w in words]
+    assert found.dtype == np.int32 and found.tolist() == want
+    assert L._symbols(pa.array([L.END], pa.binary()), vocabulary).tolist() == [0]
+
+
+@pytest.mark.parametrize("spread", [1, 5, 300, 5000])
+def test_sums_are_those_of_whole_runs(spread):
+    """The same bits as adding every run by itself, for runs of any length."""
+    rng = np.random.default_rng(spread)
+    trainer = L.Trainer(L.initial(np.ones(6000)), 1, 0.05)
+    at = (rng.random(4096) ** 3 * spread).astype(np.int32)
+    rows = rng.standard_normal((4096, L.WIDTH)).astype(np.float32)
+    want = np.zeros((6000, L.WIDTH), np.float32)
+    for symbol in np.unique(at):
+        want[symbol] = np.add.reduceat(rows[at == symbol], [0], axis=0)[0]
+    assert trainer._sums("x", at, rows).tobytes() == want.tobytes()

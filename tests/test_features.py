@@ -206,6 +206,22 @@ def test_ngrams_are_counted_in_slices_of_any_size(spark, monkeypatch):
     assert totals["b1 a1"] == (3, 2) and totals["a1"] == (34, 3)
 
 
+def test_transform_is_one_python_stage(spark, monkeypatch):
+    """Texts become vectors in one worker, the same ones as from their stored counts."""
+    texts = ["red red blue", None, "", "green red blue red blue", "sea", "blue sea " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text_cleaned string").coalesce(1)
+    model = vec.fit_terms(df, stopwords=[], min_df=1, max_df=1.0, ngram_range=(1, 2))
+    counted = termcounts.count_terms(df, "text_cleaned", (1, 2))
+    want = sorted(model.vectors(counted).collect(), key=lambda r: r["id"])
+    for size in (1, 4, 1 << 18):
+        monkeypatch.setattr(vec, "SLICE_TOKENS", size)
+        found = model.transform(df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert sorted(found.collect(), key=lambda r: r["id"]) == want
+    assert model.transform(df, keep=["id"]).columns == ["id", "features"]
+
+
 def test_texts_are_cut_once(spark, tmp_path):
     """One pass over the texts for vocabulary, frequencies and vectors."""
     spark.createDataFrame([(i, "a cat sat on a mat") for i in range(9)], "post_id bigint, text_cleaned string").write.parquet(str(tmp_path / "t"))

@@ -43,15 +43,31 @@ def words(text: str) -> Column:
 
 
 def stored_words(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """The index's own copy of the documents: row number ``rid``, words and the kept columns."""
+    """The index's own copy of the documents: row number ``rid``, words and the kept columns.
+
+    The words of a row are one string with a blank, which no word holds, between them (see
+    ``listed``): a column of word lists would take its writers and readers several times the memory.
+    """
+    found = docs.select(*keep, words(text).alias("words"))
     return store(
-        docs.select(*keep, words(text).alias("words")).withColumns(
-            {"rid": F.monotonically_increasing_id(), "n_words": F.size("words").cast("bigint")}
+        found.withColumns(
+            {
+                "words": F.concat_ws(" ", "words"),
+                "rid": F.monotonically_increasing_id(),
+                "n_words": F.size("words").cast("bigint"),
+            }
         ),
         "words",
     )
 
 
+def listed(joined: str = "words") -> Column:
+    """The words of a stored row in order. Generators take this itself: from a column of it Spark
+    would make a filter too, and split every text twice."""
+    none = F.array().cast("array<string>")
+    return F.when(F.col(joined) != "", F.split(joined, " ")).otherwise(none)
+
+
 def item_windows(items: DataFrame, size: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Stored ``(win, terms, n)`` of the different windows, and ``(win, item)``.
 
@@ -82,7 +98,7 @@ def rarest_first(windows: DataFrame, index: DataFrame) -> DataFrame:
     left out; a window of one word has no second."""
     terms = windows.select("win", "n", F.posexplode("terms").alias("at", "term"))
     vocabulary = store(terms.select("term").distinct(), "vocabulary")
-    tokens = index.select("rid", F.explode("words").alias("term"))
+    tokens = index.select("rid", F.explode(listed()).alias("term"))
     counts = store(
         lookup_join(tokens, vocabulary, "term", ["rid"], "inner")
         .groupBy("term")
@@ -115,7 +131,7 @@ def postings(index: DataFrame, lists: DataFrame) -> DataFrame:
         .distinct(),
         "needed",
     )
-    tokens = index.select("rid", F.posexplode("words").alias("pos", "term"))
+    tokens = index.select("rid", F.posexplode(listed()).alias("pos", "term"))
     return store(lookup_join(tokens, needed, "term", ["rid"], "inner"), "postings")
 
 
@@ -164,6 +180,8 @@ def occurrences(
         texts = texts.join(F.broadcast(rows), "rid", "left_semi")
     placed = texts.join(met, "rid")
     compared = lookup_join(placed, windows, "win", ["rid", "start"], "inner")
+    # Texts are joined as strings and split where they are compared.
+    compared = compared.withColumn("words", listed())
     exact = (F.col("start") >= 0) & (
         F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("n")) == F.col("terms")
     )

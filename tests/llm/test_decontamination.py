@@ -94,3 +94,18 @@ def test_drop_contaminated(spark):
     kept = D.drop_contaminated(docs.union(docs), bench)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 2, 2]
+
+
+def test_words_are_stored_as_one_string(spark):
+    """No column of word lists is written or read, and a stored text is split once."""
+    texts = [None, "", " .,", "One", "one  TWO-three", "café x y\ty", "É   z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    index = D.stored_words(docs, "text", ("doc_id",))
+    assert dict(index.dtypes)["words"] == "string"
+    found = index.select("doc_id", "n_words", D.listed().alias("w")).collect()
+    got = {r["doc_id"]: (r["n_words"], r["w"]) for r in found}
+    want = docs.select("doc_id", D.words("text").alias("w")).collect()
+    assert got == {r["doc_id"]: (len(r["w"]), r["w"]) for r in want}
+    tokens = index.select("rid", F.explode(D.listed()))
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1

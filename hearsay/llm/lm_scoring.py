@@ -9,13 +9,14 @@ words add up to 1: the normalisers of all pairs of symbols come from one matrix
 
 The work is spread by blocks of tokens. Each task trains on its own blocks, starting from the same
 parameters, and the results are averaged by tokens; every training token is used in each round.
-Counts of words are exact over the whole corpus and are never collected: every block gets those of
-its own words by a join.
+Counts of words are exact over the whole corpus and are never collected: words meet by buckets of
+their hash, and every block gets those of its own words back by a join.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -33,7 +34,7 @@ from hearsay.operators.termcounts import slices
 
 from .common import utf8, worker_cache
 
-END = b"\n"  # no word holds white space
+END, BETWEEN = b"\n", b" "  # no word holds white space
 VOCABULARY = 1500
 CLASSES = 512
 SUFFIX = 3
@@ -45,6 +46,7 @@ SHORT_RUN = 8
 RATE = 0.02  # of the first round; the next ones take RATE / 2, RATE / 3, ...
 SQUARES = 1e-9
 BLOCK_TOKENS = 1 << 20
+BUCKETS = 1 << 12  # of words, by their hash
 PIECE_BYTES = 1 << 22
 SCORED_TOKENS = 1 << 17  # scored at a time; a piece is never parted
 
@@ -52,8 +54,6 @@ PARTS = ("target", "context", "bias")  # parameters kept by symbol
 
 
 def word_class(word: bytes) -> int:
-    import zlib
-
     return zlib.crc32(word[-SUFFIX:]) % CLASSES
 
 
@@ -68,6 +68,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def joined(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the numbers between each two cuts."""
+    # The cast is an error, not a wrong number, where 32 bits are too few.
+    at = pa.array(cuts.astype(np.int64) * numbers.itemsize).cast(pa.int32())
+    data = pa.py_buffer(np.ascontiguousarray(numbers))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, at.buffers()[1], data])
+
+
+def numbers_of(parts: pa.Array | pa.ChunkedArray, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(parts.to_pylist()), dtype=dtype)
+
+
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, a few megabytes at a time; cuts are at white space."""
     at = 0
@@ -102,32 +114,50 @@ class _Block:
         self.total += len(words)
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        counts = np.zeros(len(self.ids), dtype=np.int64)
+        """The block as a row; its words are numbered anew, by bucket."""
+        bucket = np.fromiter(map(zlib.crc32, self.ids), np.uint32, len(self.ids)) % BUCKETS
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        counts = np.zeros(len(order), dtype=np.int64)
         learned = [t[2:] for t, learn in zip(self.tokens, self.learn) if learn]
         if learned:
             counts += np.bincount(np.concatenate(learned), minlength=len(counts))
-        values = [
-            self.keys,
-            self.rids,
-            self.learn,
-            self.sizes,
-            packed(np.concatenate(self.tokens)),
-            list(self.ids),
-            counts,
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema
+        held, first = np.unique(bucket[order], return_index=True)
+        cuts = np.append(first, len(order))
+        words = pa.ListArray.from_arrays(
+            pa.array(cuts, pa.int32()), pa.array(list(self.ids), pa.binary()).take(pa.array(order))
         )
+        by_bucket = pa.StructArray.from_arrays(
+            [
+                pa.array(held, pa.int32()),
+                pc.binary_join(words, BETWEEN),
+                joined(counts[order].astype("<u4"), cuts),
+            ],
+            fields=list(schema.field("words").type.value_type),
+        )
+        values = [self.keys, self.rids, self.learn, self.sizes]
+        values.append(packed(place[np.concatenate(self.tokens)]))
+        arrays = [pa.array([v], f.type) for v, f in zip(values, schema)]
+        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), by_bucket))
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFrame:
     """Stored blocks of about BLOCK_TOKENS tokens; a long text may go on in the next block.
 
     A row holds, by text: key, a number of its own, whether it is learned from, how many tokens;
-    then all tokens as numbers (each text led by the two words before it), the block's words, and
-    how often each occurs in learned texts.
+    then all tokens as numbers (each text led by the two words before it), and by bucket of words
+    the block's words in the order of their numbers and how often each occurs in learned texts.
     """
     key_type = docs.schema[key].dataType
+    bucket = T.StructType(
+        [
+            T.StructField("bucket", T.IntegerType()),
+            T.StructField("words", T.BinaryType()),
+            T.StructField("counts", T.BinaryType()),
+        ]
+    )
     schema = T.StructType(
         [
             T.StructField("keys", T.ArrayType(key_type)),
@@ -135,8 +165,7 @@ def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFra
             T.StructField("learn", T.ArrayType(T.BooleanType())),
             T.StructField("sizes", T.ArrayType(T.IntegerType())),
             T.StructField("tokens", T.BinaryType()),
-            T.StructField("words", T.ArrayType(T.BinaryType())),
-            T.StructField("counts", T.ArrayType(T.LongType())),
+            T.StructField("words", T.ArrayType(bucket)),
         ]
     )
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -166,6 +195,53 @@ def token_blocks(docs: DataFrame, text: str, key: str, learn: Column) -> DataFra
     return store(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """Stored counts of the blocks' words over all learned texts.
+
+    A row with a block has, for one of its buckets, the count of each word. A row without has the
+    different words of some buckets that occur in learned texts, with their counts.
+    """
+    groups = max(1, min(BUCKETS, 4 * blocks.count()))
+    by_bucket = blocks.select("block", F.inline("words"))
+
+    def run(group: pa.Table) -> pa.Table:
+        words = group["words"].cast(pa.large_binary()).combine_chunks()
+        words = pc.split_pattern(words, BETWEEN)
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        # Sums of whole numbers are exact in doubles up to 2 ** 53.
+        total = np.bincount(code, numbers_of(group["counts"], "<u4"), len(coded.dictionary))
+        total = total.astype("<i8")
+        seen = np.flatnonzero(total)
+        n = group.num_rows
+        last = pa.nulls(1)
+        return pa.table(
+            {
+                "block": pa.chunked_array([*group["block"].chunks, last.cast(pa.int64())]),
+                "bucket": pa.chunked_array([*group["bucket"].chunks, last.cast(pa.int32())]),
+                "counts": pa.chunked_array(
+                    [joined(total[code], words.offsets.to_numpy()), last.cast(pa.binary())]
+                ),
+                "totals": pa.ListArray.from_arrays(
+                    pa.array([0] * (n + 1) + [len(seen)], pa.int32()),
+                    pa.StructArray.from_arrays(
+                        [
+                            coded.dictionary.take(pa.array(seen)).cast(pa.binary()),
+                            pa.array(total[seen]),
+                        ],
+                        names=["word", "c"],
+                    ),
+                ),
+            }
+        )
+
+    counted = by_bucket.groupBy((F.col("bucket") % groups).alias("group")).applyInArrow(
+        run,
+        "block bigint, bucket int, counts binary, totals array<struct<word binary, c bigint>>",
+    )
+    return store(counted, "totals")
+
+
 def _symbols(words: pa.Array, vocabulary: dict[bytes, int]) -> np.ndarray:
     """The symbol of each word; a class is worked out once for each ending."""
     first = len(vocabulary)
@@ -233,18 +309,25 @@ class Trainer:
             held = self.held[f"{name} {shape}"] = np.empty(shape, dtype=np.float32)
         return held
 
-    def _sums(self, name: str, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def _sums(
+        self, name: str, at: np.ndarray, rows: np.ndarray, places: int | None = None
+    ) -> np.ndarray:
         """Sums of rows by symbol: rows in the order of their symbol are added run by run.
 
         Most runs are short: their second rows are added together, then their third rows, and so on.
+        Where ``at`` is longer than ``rows``, its end is for the last rows once more.
         """
-        n = len(self.p["bias"])
+        n = len(self.p["bias"]) if places is None else places
         out = self._table(name, n, rows.shape[1])
         out.fill(0)
         order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
         index = at[order]
-        first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-        length = np.diff(first, append=len(index))
+        if len(at) > len(rows):
+            order[order >= len(rows)] -= len(at) - len(rows)
+        edge = np.ones(len(index) + 1, dtype=bool)
+        np.not_equal(index[1:], index[:-1], out=edge[1:-1])
+        edge = np.flatnonzero(edge)
+        first, length = edge[:-1], edge[1:] - edge[:-1]
         long = length > SHORT_RUN
         if long.any():
             held = self._taken("sorted", rows, order[np.repeat(long, length)])
@@ -252,14 +335,14 @@ class Trainer:
             out[index[first[long]]] = np.add.reduceat(held, starts, axis=0)
         if not long.all():
             first, length = first[~long], length[~long]
-            first = first[np.argsort(-length, kind="stable")]
+            first = first[np.argsort((SHORT_RUN - length).astype(np.uint8), kind="stable")]
             more = len(length) - np.cumsum(np.bincount(length, minlength=SHORT_RUN + 1))
-            rest = np.take(rows, order[first[: more[1]] + 1], axis=0)
+            rest = self._taken("rest", rows, order[first[: more[1]] + 1])
             for at_least in range(2, SHORT_RUN):
-                n = more[at_least]
-                if n:
-                    rest[:n] += np.take(rows, order[first[:n] + at_least], axis=0)
-            total = np.take(rows, order[first], axis=0)
+                k = more[at_least]
+                if k:
+                    rest[:k] += self._taken("next", rows, order[first[:k] + at_least])
+            total = self._taken("total", rows, order[first])
             total[: more[1]] += rest
             out[index[first]] = total
         return out
@@ -292,18 +375,22 @@ class Trainer:
         np.exp(down, out=down)
         down += 1
         np.divide(share, down, out=down)
-        back = np.matmul(down, false, out=self._table("back", size, WIDTH))
+        # Gradients by token: of the word itself, and of the query, which the vectors of both words
+        # before share. They are added up in one go; each use of a symbol has a place of its own.
+        rows = self._table("rows", 2 * size, WIDTH)
+        np.multiply(query, up[:, None], out=rows[:size])
+        back = np.matmul(down, false, out=rows[size:])
         back += np.multiply(true, up[:, None], out=spare)
-        target = self._sums("target", w, np.multiply(query, up[:, None], out=spare))
+        sums = self._sums("sums", np.concatenate((w, w1 + n, w2 + 2 * n)), rows, 3 * n)
+        target = sums[:n]
         bias = np.bincount(w, weights=up, minlength=n).astype(np.float32)
         np.add.at(target, noise, down.T @ query)
-        np.add.at(bias, noise, down.sum(0))
+        np.add.at(bias, noise, np.einsum("ij->j", down))
         context = self._table("context", n, WIDTH)
         context.fill(0)
-        for name, before in (("c1", w1), ("c2", w2)):
-            sums = self._sums("before", before, back)
-            context += sums @ p[name].T
-            self._move(name, p["context"].T @ sums)
+        for name, before in (("c1", sums[n : 2 * n]), ("c2", sums[2 * n :])):
+            context += before @ p[name].T
+            self._move(name, p["context"].T @ before)
         self._move("context", context)
         self._move("target", target)
         self._move("bias", bias)
@@ -329,7 +416,8 @@ def train_round(
                 learn = np.array(batch.column(0)[row].as_py(), dtype=bool)
                 sizes = np.array(batch.column(1)[row].as_py())
                 tokens = unpacked(batch.column(2)[row].as_py())
-                symbols = _symbols(batch.column(3)[row].values, words_of)[tokens]
+                words = pc.split_pattern(batch.column(3)[row].values, BETWEEN).flatten()
+                symbols = _symbols(words, words_of)[tokens]
                 at = _contexts(tokens, sizes)
                 at = at[np.repeat(learn, sizes)]
                 for i in range(0, len(at), BATCH):
@@ -355,7 +443,7 @@ def train_round(
         )
 
     sums = (
-        blocks.select("learn", "sizes", "tokens", "words")
+        blocks.select("learn", "sizes", "tokens", F.col("words.words").alias("words"))
         .mapInArrow(run, "part int, seen double, v array<double>")
         .groupBy("part")
         .agg(F.sum("seen").alias("seen"), *(F.sum(F.col("v")[i]) for i in range(columns)))
@@ -409,10 +497,8 @@ def score_texts(
     """
     blocks = token_blocks(docs, text, key, learn)
     spark = docs.sparkSession
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    words = words.select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    learned = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    totals = store(learned, "totals")
+    counted = word_counts(blocks)
+    totals = counted.where("block is null").select(F.inline("totals"))
     top = [
         (bytes(r["word"]), r["c"])
         for r in totals.where(F.col("word") != F.lit(END))
@@ -441,19 +527,13 @@ def score_texts(
     parameters = initial(counts, seed)
     for i in range(rounds):
         parameters = train_round(blocks, parameters, vocabulary, seed + i, RATE / (1 + i))
-    # Counts of the other words, for each block those of its own words.
     known = (
-        words.select("block", "at", "word")
-        .join(listed, "word", "left_anti")
-        .join(rest, "word")
+        counted.where("block is not null")
         .groupBy("block")
-        .agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
+        .agg(F.collect_list(F.struct("bucket", "counts")).alias("known"))
     )
     unseen = np.where(class_n > 0, (class_once + 0.5) / (class_n + 1), 1.0)
-    known_counts = counts[: len(vocabulary)].astype(np.int64)
-    shared = spark.sparkContext.broadcast(
-        (scorer(parameters), vocabulary, known_counts, class_n, unseen)
-    )
+    shared = spark.sparkContext.broadcast((scorer(parameters), vocabulary, class_n, unseen))
     version = uuid.uuid4().hex
     schema = T.StructType(
         [
@@ -468,26 +548,23 @@ def score_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (first, second, log_z), words_of, top_counts, in_classes, left = worker_cache(
+        (first, second, log_z), words_of, in_classes, left = worker_cache(
             "language model", lambda: shared.value, version
         )
         n_words = len(words_of)
         for batch in batches:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for row in range(batch.num_rows):
-                block_words = column["words"][row].values
+                words = pc.split_pattern(column["words"][row].values, BETWEEN).flatten()
                 sizes = np.array(column["sizes"][row].as_py())
                 tokens = unpacked(column["tokens"][row].as_py())
-                symbol = _symbols(block_words, words_of)
-                count = np.zeros(len(block_words), dtype=np.int64)
-                common = symbol < n_words
-                count[common] = top_counts[symbol[common]]
-                if column["at"][row].is_valid:
-                    at = column["at"][row].values.to_numpy()
-                    count[at] = column["c"][row].values.to_numpy()
+                symbol = _symbols(words, words_of)
+                held = column["known"][row].values
+                by_bucket = held.take(pc.sort_indices(pc.struct_field(held, "bucket")))
+                count = numbers_of(pc.struct_field(by_bucket, "counts"), "<i8")
                 base = np.log10((count + 1) / (total + distinct + 1))
-                inside = np.zeros(len(block_words))
-                other = np.flatnonzero(~common)
+                inside = np.zeros(len(words))
+                other = np.flatnonzero(symbol >= n_words)
                 k = symbol[other] - n_words
                 seen = count[other] > 0
                 with np.errstate(divide="ignore"):
@@ -525,8 +602,10 @@ def score_texts(
                 )
 
     pieces = (
-        blocks.join(known, "block", "left")
-        .select("rids", "keys", "learn", "sizes", "tokens", "words", "at", "c")
+        blocks.join(known, "block")
+        .select(
+            "rids", "keys", "learn", "sizes", "tokens", F.col("words.words").alias("words"), "known"
+        )
         .mapInArrow(run, schema)
     )
     return (

@@ -224,3 +224,45 @@ def test_sums_are_those_of_whole_runs(spread):
     for symbol in np.unique(at):
         want[symbol] = np.add.reduceat(rows[at == symbol], [0], axis=0)[0]
     assert trainer._sums("x", at, rows).tobytes() == want.tobytes()
+
+
+def test_sums_in_one_go_are_those_of_each():
+    """Places behind the rows take the last rows again; the bits are those of separate sums."""
+    rng = np.random.default_rng(4)
+    trainer = L.Trainer(L.initial(np.ones(700)), 1, 0.05)
+    a, b, c = ((rng.random(900) ** 3 * 700).astype(np.int32) for _ in range(3))
+    x, y = rng.standard_normal((2, 900, L.WIDTH)).astype(np.float32)
+    want = [trainer._sums("w", at, rows).copy() for at, rows in ((a, x), (b, y), (c, y))]
+    every = np.concatenate((a, b + 700, c + 1400))
+    got = trainer._sums("g", every, np.concatenate((x, y)), 2100)
+    assert got.tobytes() == np.concatenate(want).tobytes()
+
+
+def test_a_step_adds_rows_up_once(monkeypatch):
+    calls, sums = [], L.Trainer._sums
+    monkeypatch.setattr(L.Trainer, "_sums", lambda *a: calls.append(a[1]) or sums(*a))
+    trainer, at = L.Trainer(L.initial(np.ones(9)), 1, 0.05), np.arange(9)
+    trainer.step(at, at, at)
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_word_counts(spark, monkeypatch, buckets):
+    """Words move by bucket, not one a row, and every word of a block gets its whole count."""
+    monkeypatch.setattr(L, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(L, "BUCKETS", buckets)
+    texts = [f"The w{i % 5} v{i} é\x0b\x1ct{i % 2}" for i in range(60)] + ["held out", None, ""]
+    docs = documents(spark, texts).repartition(3)
+    blocks = L.token_blocks(docs, "text", "doc_id", F.col("doc_id") < 60)
+    counted = L.word_counts(blocks)
+    want = Counter(w.encode() for t in texts[:60] for w in words(t))
+    totals = counted.where("block is null").select(F.inline("totals")).collect()
+    assert len(totals) == len(want) and {bytes(r["word"]): r["c"] for r in totals} == want
+    own = {(r["block"], r["bucket"]): r["counts"] for r in counted.where("block >= 0").collect()}
+    stored = blocks.collect()
+    assert len(stored) > 3 and len(own) == sum(len(r["words"]) for r in stored)
+    assert all(len(r["words"]) <= buckets for r in stored)
+    for r in stored:
+        for held in r["words"]:
+            c = np.frombuffer(own[r["block"], held["bucket"]], "<i8")
+            assert c.tolist() == [want[bytes(w)] for w in held["words"].split(b" ")]
